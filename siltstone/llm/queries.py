@@ -18,6 +18,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def ranks_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm import bpe
+
+    return bpe.digests(_table(spark, sf_dir, "documents"), ranks_path())
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm import simhash
 
@@ -25,7 +37,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
