@@ -30,6 +30,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), ranks_path())
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm import mixing
+
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("copies")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm import simhash
 
@@ -41,4 +47,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from siltstone.llm import mixing
+
+    return {"op7_mixing": mixing.SQL}
