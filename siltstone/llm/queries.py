@@ -18,6 +18,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm import secrets
+
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def ranks_path() -> str:
     import public_tokenizers
 
