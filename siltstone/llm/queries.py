@@ -24,6 +24,18 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm import ann
+
+    return ann.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm import topk
+
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def ranks_path() -> str:
     import public_tokenizers
 
