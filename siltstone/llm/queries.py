@@ -48,12 +48,24 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), ranks_path())
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm import licences
+
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm import mixing
 
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm import chat
+
+    return chat.render(_table(spark, sf_dir, "conversations"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm import simhash
 
@@ -65,6 +77,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from siltstone.llm import mixing
+    from siltstone.llm import chat, mixing
 
-    return {"op7_mixing": mixing.SQL}
+    return {"op7_mixing": mixing.SQL, "op9_chat": chat.SQL}
