@@ -24,6 +24,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm import html_extract
+
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm import ann
 
