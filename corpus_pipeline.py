@@ -2,14 +2,17 @@
 sources are mixed to their target weights, and texts are encoded as byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of documents.  run() joins the stages without writing between them.
+of documents.  run() joins the stages without writing between them.  Nulls, empty texts, repeated
+rows, empty tables and further columns are treated as the operators' docstrings say; further columns
+stay until the last stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltstone.llm import simhash, toxicity
+from siltstone.llm import bpe, mixing, secrets, simhash, toxicity
+from siltstone.llm.queries import ranks_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +26,33 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.one_of_each(docs, simhash.near_copies(docs))
 
 
-STAGES = [("toxicity", drop_toxic), ("near copies", drop_copies)]
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with its secrets masked; n_chars is that of the masked text."""
+    masked = secrets.mask(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, so that sources have their target weights."""
+    return mixing.take(docs, mixing.mix(docs))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, source, n_tokens, ids, round_trip): every row's text as token ids, and whether they decode to the text."""
+    own = bpe.codec(ranks_path())
+    bpe.small_batches(spark)
+    encoded = docs.select("doc_id", "source", "text", bpe.encode_column(F.col("text"), own).alias("ids"))
+    same = bpe.decode_column(F.col("ids"), own) == F.coalesce("text", F.lit("")).cast("binary")
+    return encoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near copies", drop_copies),
+    ("secrets", mask_secrets),
+    ("mixing", mix_sources),
+    ("byte-level BPE", encode),
+]
 
 #: zstandard dictionaries and fingerprints have no SQL.
 ORACLE_SQL = None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -26,6 +26,11 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def key_of(column: Column) -> Column:
+    """A text for an id of any type that is equal for equal ids, null among them."""
+    return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of few rows, since a text may have any length."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siltstone.llm.common import cut, free_name, pick
+from siltstone.llm.common import cut, free_name, key_of, pick
 
 #: Weights of the sources in order, repeating, and the most copies of a document: fixed values.
 WEIGHTS = (5, 2, 1)
@@ -112,17 +112,13 @@ def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame
 
     Ids that occur in several rows share their copies evenly, the first rows getting what is left over.
     """
-    wanted = mixed.groupBy(F.col(id_col).alias(free_name(docs, "wanted_id"))).agg(
-        F.sum("copies").alias(free_name(docs, "wanted")), F.count("*").alias(free_name(docs, "rows"))
-    )
-    key, copies, rows = (F.col(c) for c in wanted.columns)
-    kept = docs.join(wanted, F.col(id_col).eqNullSafe(key)).filter(copies > 0)
-    number = free_name(docs, "number")
-    kept = kept.withColumn(number, F.when(rows > 1, F.row_number().over(Window.partitionBy(id_col).orderBy(F.lit(0)))).otherwise(1))
-    each = F.floor(copies / rows) + (F.col(number) <= copies % rows).cast("long")
-    copy = free_name(docs, "copy")
-    out = kept.withColumn(copy, F.explode(F.when(each > 0, F.sequence(F.lit(1).cast("long"), each)).otherwise(F.array().cast("array<bigint>"))))
-    return out.select(*[F.col(c) for c in docs.columns])
+    key, wanted, rows, number, copy = (free_name(docs, n) for n in ("key", "wanted", "rows", "number", "copy"))
+    sums = mixed.groupBy(key_of(F.col(id_col)).alias(key)).agg(F.sum("copies").alias(wanted), F.count("*").alias(rows))
+    kept = docs.withColumn(key, key_of(docs[id_col])).join(sums.filter(F.col(wanted) > 0), key)
+    kept = kept.withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0))))
+    each = F.floor(F.col(wanted) / F.col(rows)) + (F.col(number) <= F.col(wanted) % F.col(rows)).cast("long")
+    out = kept.withColumn(copy, F.explode(F.array_repeat(F.lit(1), each.cast("int"))))
+    return out.select(*docs.columns)
 
 
 SQL = r"""
