@@ -30,8 +30,8 @@ from siltstone.llm import vectors
 
 #: Lists that the components are dealt to.
 LISTS = 4
-#: Less than any score.
-NOTHING = np.iinfo(np.int64).min
+#: Less than any score; its negative is a number too.
+NOTHING = np.iinfo(np.int64).min + 1
 
 
 def quantised(x: np.ndarray, scale: float = 1024.0) -> np.ndarray:
