@@ -88,7 +88,7 @@ def _reaching(cutoffs: dict[int, np.ndarray]):
         cutoff = cutoffs[d][:, None]
         sufficient = np.zeros(whole.shape, dtype=bool)
         for scores in local:
-            sufficient |= scores * LISTS >= cutoff
+            sufficient |= scores >= -(-cutoff // LISTS)
         return sufficient & (whole >= cutoff)
 
     return collect
