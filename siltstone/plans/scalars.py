@@ -51,9 +51,9 @@ def x18_rule_checks(spark, sf_dir):
 
 @query("x20_control_tokens", """
 WITH t AS (SELECT conv_id, list(role ORDER BY turn) AS r FROM conversations GROUP BY conv_id)
-SELECT conv_id, CAST(len(list_filter(r, x -> x = 'user')) AS INTEGER) AS n_0, CAST(len(list_filter(r, x -> x = 'assistant')) AS INTEGER) AS n_1,
+SELECT conv_id, CAST(len([x FOR x IN r IF x = 'user']) AS INTEGER) AS n_0, CAST(len([x FOR x IN r IF x = 'assistant']) AS INTEGER) AS n_1,
        CAST(coalesce(list_position(r, 'user'), 0) - 1 AS INTEGER) AS at_0, CAST(coalesce(list_position(r, 'assistant'), 0) - 1 AS INTEGER) AS at_1,
-       len(list_filter(r, x -> x = 'user')) = 1 AND len(list_filter(r, x -> x = 'assistant')) = 1 AND coalesce(list_position(r, 'user'), 0) < coalesce(list_position(r, 'assistant'), 0) AS in_order FROM t""")
+       len([x FOR x IN r IF x = 'user']) = 1 AND len([x FOR x IN r IF x = 'assistant']) = 1 AND coalesce(list_position(r, 'user'), 0) < coalesce(list_position(r, 'assistant'), 0) AS in_order FROM t""")
 def x20_control_tokens(spark, sf_dir):
     own = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("m"))
     roles = F.col("m.role")
