@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltstone.llm import bpe, mixing, secrets, simhash, toxicity
+from siltstone.llm.common import ByPlace, pick
 from siltstone.llm.queries import ranks_path
 
 
@@ -28,8 +29,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with its secrets masked; n_chars is that of the masked text."""
-    masked = secrets.mask(docs)
-    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    own = ByPlace(secrets.mask(docs))
+    length = F.length(own.name("text")).cast(docs.schema["n_chars"].dataType)
+    return own.back(own.df.withColumn(own.name("n_chars"), length))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, ids, round_trip): every row's text as token ids, and whether they decode to the text."""
     own = bpe.codec(ranks_path())
     bpe.small_batches(spark)
-    encoded = docs.select("doc_id", "source", "text", bpe.encode_column(F.col("text"), own).alias("ids"))
+    encoded = pick(docs, "doc_id", "source", "text").withColumn("ids", bpe.encode_column(F.col("text"), own))
     same = bpe.decode_column(F.col("ids"), own) == F.coalesce("text", F.lit("")).cast("binary")
     return encoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

@@ -18,12 +18,20 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*by_place).select(*[F.col(by_place[own.index(n)]).alias(n) for n in names])
 
 
-def free_name(df: DataFrame, base: str) -> str:
-    """base, with underscores before it until no column of df has that name in any case."""
-    taken = {c.lower() for c in df.columns}
-    while base.lower() in taken:
-        base = "_" + base
-    return base
+class ByPlace:
+    """A DataFrame whose columns are known by place while whole rows are handled, so that clashing names cause no ambiguity."""
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.df = df.toDF(*[f"_{i}" for i in range(len(self.names))])
+
+    def name(self, column: str) -> str:
+        """The name that a column goes by; of equals the first."""
+        return f"_{self.names.index(column)}"
+
+    def back(self, df: DataFrame) -> DataFrame:
+        """The own columns of df under their first names."""
+        return df.select(*self.df.columns).toDF(*self.names)
 
 
 def key_of(column: Column) -> Column:

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siltstone.llm.common import cut, free_name, key_of, pick
+from siltstone.llm.common import ByPlace, cut, key_of, pick
 
 #: Weights of the sources in order, repeating, and the most copies of a document: fixed values.
 WEIGHTS = (5, 2, 1)
@@ -112,13 +112,12 @@ def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame
 
     Ids that occur in several rows share their copies evenly, the first rows getting what is left over.
     """
-    key, wanted, rows, number, copy = (free_name(docs, n) for n in ("key", "wanted", "rows", "number", "copy"))
-    sums = mixed.groupBy(key_of(F.col(id_col)).alias(key)).agg(F.sum("copies").alias(wanted), F.count("*").alias(rows))
-    kept = docs.withColumn(key, key_of(docs[id_col])).join(sums.filter(F.col(wanted) > 0), key)
-    kept = kept.withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0))))
-    each = F.floor(F.col(wanted) / F.col(rows)) + (F.col(number) <= F.col(wanted) % F.col(rows)).cast("long")
-    out = kept.withColumn(copy, F.explode(F.array_repeat(F.lit(1), each.cast("int"))))
-    return out.select(*docs.columns)
+    own = ByPlace(docs)
+    sums = mixed.groupBy(key_of(F.col(id_col)).alias("key")).agg(F.sum("copies").alias("wanted"), F.count("*").alias("rows"))
+    kept = own.df.withColumn("key", key_of(F.col(own.name(id_col)))).join(sums.filter("wanted > 0"), "key")
+    kept = kept.withColumn("number", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))))
+    each = F.floor(F.col("wanted") / F.col("rows")) + (F.col("number") <= F.col("wanted") % F.col("rows")).cast("long")
+    return own.back(kept.withColumn("copy", F.explode(F.array_repeat(F.lit(1), each.cast("int")))))
 
 
 SQL = r"""

@@ -34,7 +34,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siltstone.llm.common import pick, small_batches
+from siltstone.llm.common import ByPlace, pick, small_batches
 
 #: Kinds in the order that breaks ties; the first three are the strong ones.
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
@@ -182,4 +182,6 @@ def masked_column(text: Column) -> Column:
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs, all its rows and columns, with the spans of its texts masked."""
     small_batches(docs.sparkSession)
-    return docs.withColumn(text_col, masked_column(F.col(text_col)))
+    own = ByPlace(docs)
+    text = own.name(text_col)
+    return own.back(own.df.withColumn(text, masked_column(F.col(text))))

@@ -30,7 +30,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siltstone.llm.common import cut, free_name, key_of, pick, small_batches
+from siltstone.llm.common import ByPlace, cut, key_of, pick, small_batches
 
 #: Fingerprints in a tile, about.
 TILE = 2048
@@ -268,8 +268,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs without the rows that are not the first of their group; of repeated ids one row stays."""
-    key, row, names = free_name(docs, "key"), free_name(docs, "row"), docs.columns
-    kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key_of(F.col(id_col)).alias(key)).distinct()
-    met = docs.withColumn(key, key_of(docs[id_col])).join(kept, key, "left_semi")
-    first = Window.partitionBy(key).orderBy(F.lit(0))
-    return met.withColumn(row, F.row_number().over(first)).filter(F.col(row) == 1).select(*names)
+    own = ByPlace(docs)
+    kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key_of(F.col(id_col)).alias("key")).distinct()
+    met = own.df.withColumn("key", key_of(F.col(own.name(id_col)))).join(kept, "key", "left_semi")
+    first = Window.partitionBy("key").orderBy(F.lit(0))
+    return own.back(met.withColumn("row", F.row_number().over(first)).filter("row = 1"))
