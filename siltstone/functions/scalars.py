@@ -40,7 +40,7 @@ def markdown_cell(text: Column, most: int = 200) -> Column:
 
 
 def has_role_leak(text: Column) -> Column:
-    return F.rlike(text, F.lit(r"(?i)(?:^|\n)\s*(?:system|user|assistant)\s*:"))
+    return F.rlike(text, F.lit(r"(?i)(?:^|\n)(?:system|user|assistant):"))
 
 
 def safe_path(path: Column) -> Column:

@@ -38,7 +38,7 @@ def x13_little_endian(spark, sf_dir):
     return own.filter(F.get(S.from_little_endian(F.col("raw")), F.lit(0)) == F.col("t")).select("vec_id", F.lower(F.hex("raw")).alias("h"))
 
 
-@query("x17_role_leak", r"SELECT conv_id, turn, regexp_matches(concat(role, ': ', text), '(?i)(?:^|\n)\s*(?:system|user|assistant)\s*:') AS leak FROM conversations")
+@query("x17_role_leak", r"SELECT conv_id, turn, regexp_matches(concat(role, ': ', text), '(?i)(?:^|\n)(?:system|user|assistant):') AS leak FROM conversations")
 def x17_role_leak(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.has_role_leak(F.concat("role", F.lit(": "), "text")).alias("leak"))
 
