@@ -310,3 +310,16 @@ def st_sessions(spark, sf_dir):
 
     own = events.sessions(table(spark, sf_dir, "events"), "6 hours")
     return own.select("user_id", F.date_format("began", "yyyy-MM-dd HH:mm:ss").alias("began"), "events")
+
+
+@query("k03_shards", """
+WITH t AS (SELECT vec_id, string_agg(concat(lpad(lower(to_hex(v % 256)), 2, '0'), lpad(lower(to_hex(v // 256)), 2, '0')), '' ORDER BY i) AS h
+    FROM (SELECT vec_id, i, (vec_id * 977 + i) % 50257 AS v FROM embeddings, range(0, 17) r(i)) GROUP BY vec_id)
+SELECT CAST(vec_id // 64 AS BIGINT) AS shard, sha256(unhex(string_agg(h, '' ORDER BY vec_id))) AS checksum, CAST(count(*) * 34 AS BIGINT) AS byte_size, CAST(count(*) AS BIGINT) AS sequences,
+       CAST(min(vec_id) // 16 AS BIGINT) AS first_block, CAST(max(vec_id) // 16 AS BIGINT) AS last_block FROM t GROUP BY 1""")
+def k03_shards(spark, sf_dir):
+    """The manifest of shards of four blocks of sixteen sequences of seventeen tokens."""
+    from siltstone.sources import shards
+
+    token = F.transform(F.sequence(F.lit(0), F.lit(16)), lambda i: ((F.col("vec_id") * 977 + i) % 50_257).cast("int"))
+    return shards.manifest(shards.build(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), token.alias("tokens")), 16, 4))
