@@ -16,7 +16,7 @@ Choices that make the distance sharp:
   in ordinary documents; the ordinary dictionary is trained on the windows of ordinary documents.
 
 Training reads at most ``max_docs`` labelled documents of each class, the first by a hash of their
-id among those of at most ``max_chars`` characters; scoring reads every word of every document.
+id, and of these such as have at most ``max_chars`` characters; scoring reads every word of every document.
 
 Edge cases: a null text counts as empty; a text without words has no windows and the score of
 margin zero; a document of any length is scored whole; without both classes among the training
@@ -39,7 +39,7 @@ import pandas as pd
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siltstone.llm.common import pick, small_batches
+from siltstone.llm.common import ByPlace, pick, small_batches
 
 #: Margins that make up a document's statistic.
 TOP = 2
@@ -209,16 +209,18 @@ def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     max_docs: int = 1500, max_chars: int = 20_000, window_words: int = 1,
 ) -> ToxicityModel:
-    """Fit on at most max_docs labelled rows of each class, those first by a hash of id, of at most max_chars characters."""
-    known = pick(labels, id_col, label_col).filter(F.col(label_col).isin(0, 1) & ~held_out(id_col)).distinct()
-    texts = pick(docs, id_col, text_col).filter(F.length(text_col) <= max_chars)
-    chosen = F.xxhash64(F.col(id_col), F.lit("toxicity"))
-    both = texts.join(known, id_col)
-    found = []
-    for y in (0, 1):
-        rows = both.filter(F.col(label_col) == y).select(F.col(text_col).alias("text"), chosen.alias("h")).orderBy("h", "text").limit(max_docs)
-        found += [(r.text, y) for r in rows.collect()]
-    return fit([t for t, _ in found], [y for _, y in found], window_words)
+    """Fit on at most max_docs labelled rows of each class, those first by a hash of id, without texts of more than max_chars characters.
+
+    The ids are chosen from the labels alone, so that documents meet a table of at most 2 * max_docs
+    rows, which is broadcast, and no text is shuffled.
+    """
+    known = pick(labels, id_col, label_col).toDF("id", "y").filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("id"))
+    known = known.distinct().withColumn("h", F.xxhash64("id", F.lit("toxicity")))
+    chosen = [known.filter(F.col("y") == y).orderBy("h", "id").limit(max_docs) for y in (0, 1)]
+    texts = pick(docs, id_col, text_col).toDF("doc", "text").filter(F.length("text") <= max_chars)
+    both = texts.join(F.broadcast(chosen[0].union(chosen[1])), F.col("doc") == F.col("id"))
+    found = sorted(both.select("h", "text", "y").distinct().collect())
+    return fit([r.text for r in found], [r.y for r in found], window_words)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -243,4 +245,5 @@ def score_column(text: Column, model: ToxicityModel) -> Column:
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs, all its columns, without the rows whose text scores threshold or more."""
     small_batches(docs.sparkSession)
-    return docs.filter(score_column(F.col(text_col), model) < threshold)
+    own = ByPlace(docs)
+    return own.back(own.df.filter(score_column(F.col(own.name(text_col)), model) < threshold))
