@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -140,6 +141,25 @@ def _telling(toxic: list[set[str]], ordinary: list[set[str]], gram: int, least_d
     return {g for g, n in a.items() if n >= least_docs and n >= ratio * expected[g] and n - expected[g] >= sigmas * math.sqrt(expected[g] + 0.25)}
 
 
+def _without_copies(docs: list[list[str]], sketch: int = 16, alike: float = 0.7) -> list[list[str]]:
+    """Training documents, given as sets of windows, without those much like an earlier one.
+
+    Groups of copies would make whatever they hold by chance look telling.  Two documents are alike if
+    they share most of the windows whose hashes are smallest.
+    """
+    held: dict[int, list[int]] = {}
+    out = []
+    for n, ws in enumerate(docs):
+        marks = heapq.nsmallest(sketch, (zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in ws))
+        shared = Counter(i for mark in marks for i in held.get(mark, ()))
+        if shared and shared.most_common(1)[0][1] >= alike * len(marks):
+            continue
+        for mark in marks:
+            held.setdefault(mark, []).append(n)
+        out.append(ws)
+    return out
+
+
 def _dictionary(samples: list[str], size: int) -> bytes:
     """A trained dictionary; where there are too few samples to train one, their text repeated until there are enough."""
     raw = [_wide(f" {s} ") for s in samples]
@@ -175,7 +195,7 @@ def fit(
 ) -> ToxicityModel:
     """Train dictionaries on two thirds of the labelled texts, calibrate on the last third (on all, if that lacks a class)."""
     docs = [sorted(set(windows(t, window_words))) for t in texts]
-    part = {y: [d for d, label in zip(docs, labels) if label == y] for y in (0, 1)}
+    part = {y: _without_copies([d for d, label in zip(docs, labels) if label == y]) for y in (0, 1)}
     blank = ToxicityModel(b"", b"", 0.0, 0.0, window_words)
     if not part[0] or not part[1]:
         return blank
