@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -105,9 +106,10 @@ class Codec:
         self.ranks = {token: rank for rank, token in self.tokens.items()}
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.bare: dict[str, tuple[int, ...]] = {}
         self.split = regex.compile(self.pattern).findall
-        self.cut = regex.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])").split
-        self.runs = regex.compile(f"[{SPACE}][{SPACE}]").search
+        self.cut = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])").split
+        self.runs = re.compile(f"[{SPACE}][{SPACE}]").search
 
     def __getstate__(self) -> dict:
         return {k: self.__dict__[k] for k in ("hash", "pattern", "memory", "tokens")}
@@ -118,61 +120,80 @@ class Codec:
 
     def merge(self, piece: bytes) -> list[int]:
         """Tier two: merge the pair of lowest rank, the leftmost of equals, until no pair is in the vocabulary."""
-        rank, n = self.ranks.get, len(piece)
-        parts = [piece[i : i + 1] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank, n, pop, push = self.ranks.get, len(piece), heapq.heappop, heapq.heappush
+        after, before = list(range(1, n + 2)), list(range(-1, n))  # by the first byte of a part: where the next and the last one begin
         own = [rank(piece[i : i + 2], -1) for i in range(n - 1)]  # the rank of each part and the next, -1 for none
-        own.append(-1)
+        own += (-1, -1)
         heap = [r << 32 | i for i, r in enumerate(own) if r >= 0]
         heapq.heapify(heap)
         while heap:
-            r, i = divmod(heapq.heappop(heap), 4294967296)
-            if own[i] != r:
+            entry = pop(heap)
+            i = entry & 0xFFFFFFFF
+            if own[i] != entry >> 32:
                 continue  # one of the two has merged meanwhile
             j = after[i]
-            parts[i] += parts[j]
-            own[j] = -1
             after[i] = k = after[j]
+            own[j] = -1
             if k < n:
                 before[k] = i
-                own[i] = r = rank(parts[i] + parts[k], -1)
+                own[i] = r = rank(piece[i : after[k]], -1)
                 if r >= 0:
-                    heapq.heappush(heap, r << 32 | i)
+                    push(heap, r << 32 | i)
             else:
                 own[i] = -1
             h = before[i]
             if h >= 0:
-                own[h] = r = rank(parts[h] + parts[i], -1)
+                own[h] = r = rank(piece[h:k], -1)
                 if r >= 0:
-                    heapq.heappush(heap, r << 32 | h)
+                    push(heap, r << 32 | h)
         ids, i = [], 0
         while i < n:
-            ids.append(rank(parts[i]))
-            i = after[i]
+            j = after[i]
+            ids.append(rank(piece[i:j]))
+            i = j
         return ids
 
     def _piece(self, match: str) -> tuple[int, ...]:
-        piece = match.encode("utf-8")
-        found = self.hash.get(piece)
-        return (found,) if found is not None else tuple(self.merge(piece))
+        """Ids of one match, remembered: one of a blank and more by what follows, like a stretch, others by themselves."""
+        if match[:1] == " " and len(match) > 1:
+            memory, key = self.known, match[1:]
+            found = memory.get(key) or self.older.get(key)
+        else:
+            memory, key = self.bare, match
+            found = memory.get(key)
+        if found is None:
+            piece = match.encode("utf-8")
+            whole = self.hash.get(piece)
+            found = (whole,) if whole is not None else tuple(self.merge(piece))
+        if len(key) <= 64:
+            if len(memory) >= self.memory:  # what is used goes on, what is not falls away
+                self._age(memory)
+                memory = self.bare if memory is self.bare else self.known
+            memory[key] = found
+        return found
+
+    def _age(self, memory: dict) -> None:
+        if memory is self.bare:
+            memory.clear()
+        else:
+            self.known, self.older = {}, self.known
 
     def _stretch(self, stretch: str) -> tuple[int, ...]:
         """Ids of one stretch; those of a blank and at most 64 characters are remembered by what follows the blank."""
-        short = stretch[:1] == " " and len(stretch) <= 64
         word = stretch[1:] if stretch[:1] == " " else stretch
-        ids = self.older.get(word) if short else None
-        if ids is None:
-            if word.isalpha() and max(word) < "\u0250":  # a match of its own
-                ids = self._piece(stretch)
-            elif word[-1:] in {",", "."} and word[:-1].isalpha() and max(word) < "\u0250":  # a match and a sign
-                ids = ((self.known.get(word[:-1]) if short else None) or self._stretch(stretch[:-1])) + self._piece(stretch[-1])
+        if word.isalpha() and max(word) < "\u0250":  # a match of its own
+            return self._piece(stretch)
+        found = self.older.get(word) if word is not stretch else None
+        if found is None:
+            if word[-1:] in {",", "."} and word[:-1].isalpha() and max(word) < "\u0250":  # a match and a sign
+                found = self._piece(stretch[:-1]) + self._piece(stretch[-1])
             else:
-                ids = tuple(i for match in self.split(stretch) for i in self._piece(match))
-        if short:
-            if len(self.known) >= self.memory:  # what is used goes on, what is not falls away
-                self.known, self.older = {}, self.known
-            self.known[word] = ids
-        return ids
+                found = tuple(chain.from_iterable(map(self._piece, self.split(stretch))))
+        if word is not stretch and len(word) <= 64:
+            if len(self.known) >= self.memory:
+                self._age(self.known)
+            self.known[word] = found
+        return found
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
