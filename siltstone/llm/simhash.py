@@ -40,12 +40,21 @@ BASE = 64
 
 @dataclass(frozen=True)
 class Rule:
-    """Members link if their first words differ in at most first bits and, where there are more
-    words, all words in at most radius bits while the smaller size is least_ratio of the larger."""
+    """Members link if their first ``lead`` words differ in at most first bits and, where there are more
+    words, all words in at most radius bits while the smaller size is least_ratio of the larger; where the
+    smaller size is under short, in at most short_radius bits."""
 
     first: int
     radius: int = 0
     least_ratio: float = 0.0
+    lead: int = 1
+    short: int = 0
+    short_radius: int = 0
+
+    def alike(self, differ: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+        """Whether members of two sizes that differ in so many bits of all words link."""
+        small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
+        return (differ <= np.where(small < self.short, self.short_radius, self.radius)) & (small >= self.least_ratio * large)
 
 
 def fingerprint(text: str | None, shingle_words: int = 3, seed: int = 42) -> int:
@@ -99,15 +108,17 @@ def tile_links(a: np.ndarray, b: np.ndarray, rule: Rule) -> list[tuple[int, int]
     near = np.zeros((len(a), len(b)), dtype=bool)
     words_a, words_b = np.ascontiguousarray(a[:, 2:]).view(np.uint64), np.ascontiguousarray(b[:, 2:]).view(np.uint64)
     rows = max(1, 250_000 // max(1, len(b)))
-    first_b = np.ascontiguousarray(words_b[:, 0])
+    first_b = [np.ascontiguousarray(words_b[:, w]) for w in range(rule.lead)]
     for at in range(0, len(a), rows):
-        close = np.bitwise_count(words_a[at : at + rows, :1] ^ first_b[None, :]) <= rule.first
+        differ = np.bitwise_count(words_a[at : at + rows, :1] ^ first_b[0][None, :])
+        for w in range(1, rule.lead):
+            differ += np.bitwise_count(words_a[at : at + rows, w : w + 1] ^ first_b[w][None, :])
+        close = differ <= rule.first
         if words_a.shape[1] > 1:
             i, j = close.nonzero()
             close[:] = False
             differ = np.bitwise_count(words_a[at + i] ^ words_b[j]).sum(axis=1, dtype=np.int64)
-            small, large = np.minimum(a[at + i, 1], b[j, 1]), np.maximum(a[at + i, 1], b[j, 1])
-            yes = (differ <= rule.radius) & (small >= rule.least_ratio * large)
+            yes = rule.alike(differ, a[at + i, 1], b[j, 1])
             close[i[yes], j[yes]] = True
         near[at : at + rows] = close
     if a is b:
@@ -215,19 +226,29 @@ def near_duplicates(
     )
 
 
-#: Words of the long fingerprint that near copies are told by.
+#: Words of the long fingerprint that candidates for near copies are told by.
 LONG_WORDS = 8
-#: Bits of 64 and of 512 that may differ between near copies.  At a Jaccard similarity s of two sets
-#: of like size a bit differs with probability acos(2 s / (1 + s)) / pi: 0.152 at 0.8, that is 9.7
-#: and 77.7 bits.  The bounds lie 3.6 and 1.3 standard deviations above.
-LONG_RULE = Rule(first=20, radius=88, least_ratio=0.75)
+#: Bits of the first 128 and of 512 that may differ between candidates.  At a Jaccard similarity s of two
+#: sets a bit differs with probability acos(2 s / (1 + s)) / pi at most, 0.152 at 0.8, if the sets are
+#: large; ties make it more for small ones, 0.1875 for 4 shingles against 5, the worst case.  Counted
+#: exactly for sets of 4 shingles and more, a pair at 0.8 is missed with a chance below 4e-7.
+LONG_RULE = Rule(first=48, radius=128, least_ratio=0.75, lead=2, short=8, short_radius=150)
+#: Sets of fewer shingles are alike by 0.8 only if they are equal.
+LEAST_SIZE = 4
+#: Shingles in a tile of sets, about.
+SET_TILE = 1 << 18
+
+
+def shingle_hashes(text: str | None, shingle_words: int = 5) -> np.ndarray:
+    """The 64-bit hashes of the set of shingles, in no order."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    shingles = {b" ".join(words)} if len(words) <= shingle_words else set(map(b" ".join, zip(*(words[i:] for i in range(shingle_words)))))
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), dtype=np.uint64)
 
 
 def long_fingerprint(text: str | None, shingle_words: int = 5) -> tuple[int, int, list[int]]:
     """(hash of the set of shingles, its size, LONG_WORDS words of fingerprint), all as signed longs."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    shingles = {b" ".join(words)} if len(words) <= shingle_words else set(map(b" ".join, zip(*(words[i:] for i in range(shingle_words)))))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), dtype=np.uint64)
+    hashes = shingle_hashes(text, shingle_words)
     ones = np.zeros((LONG_WORDS, 64), dtype=np.int64)
     for at in range(0, len(hashes), 16384):
         for w in range(LONG_WORDS):
@@ -241,29 +262,111 @@ def long_fingerprint(text: str | None, shingle_words: int = 5) -> tuple[int, int
     return whole - 2**64 if whole >= 2**63 else whole, len(hashes), bits.tolist()
 
 
+def settled(a: list[np.ndarray], b: list[np.ndarray], rule: Rule = LONG_RULE) -> list[tuple[int, int]]:
+    """Links between two tiles of sets that are alike by 0.8 or more, enough of them to connect all that are.
+
+    A member is an int64 array: node, LONG_WORDS words of the fingerprint, sorted shingle hashes.  Candidates
+    by the rule are settled by the shingles they share, unless links found before connect them already.
+    Pass the same list twice for a tile against itself.
+    """
+    at = 1 + LONG_WORDS
+    words_a, words_b = (np.array([m[1:at] for m in t], dtype=np.int64).reshape(-1, LONG_WORDS) for t in (a, b))
+    sets_a, sets_b = [m[at:] for m in a], [m[at:] for m in b]
+    sizes_b = np.array([len(x) for x in sets_b], dtype=np.int64)
+    label_a = np.arange(len(a))
+    label_b = label_a if a is b else np.arange(len(a), len(a) + len(b))
+    found = []
+    for i, own in enumerate(sets_a):
+        near = rule.alike(np.bitwise_count((words_a[i] ^ words_b).view(np.uint64)).sum(axis=1, dtype=np.int64), np.int64(len(own)), sizes_b)
+        near &= label_b != label_a[i]
+        if a is b:
+            near[: i + 1] = False
+        js = near.nonzero()[0]
+        if not len(js):
+            continue
+        theirs = np.concatenate([sets_b[j] for j in js])
+        places = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+        shared = np.add.reduceat((own[places] == theirs).astype(np.int64), np.concatenate([[0], np.cumsum(sizes_b[js])[:-1]]))
+        for j in js[9 * shared >= 4 * (len(own) + sizes_b[js])]:  # shared / (both - shared) >= 4 / 5
+            if label_b[j] != label_a[i]:
+                old, new = label_b[j], label_a[i]
+                label_a[label_a == old] = new
+                label_b[label_b == old] = new
+                if a[i][0] != b[j][0]:
+                    found.append((int(a[i][0]), int(b[j][0])))
+    return found
+
+
+def settle(members: DataFrame, tile: int = SET_TILE) -> DataFrame:
+    """(a, b): links that connect whatever members of a group are alike by 0.8 or more.
+
+    members has root, a group of candidates, node, and record, as settled() takes it.  A group is
+    dealt to tiles of about tile shingles, which are compared two by two.
+    """
+    spark = members.sparkSession
+    groups = members.groupBy("root").agg(F.ceil(F.sum(F.size("record")) / tile).cast("int").alias("parts"))
+    dealt = members.join(groups, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    tiles = dealt.groupBy("root", "part").agg(F.first("parts").alias("parts"), F.collect_list("record").alias("tile"))
+    large = cut(tiles.filter("parts > 1"))
+    left = large.select("root", F.col("part").alias("p1"), F.col("tile").alias("left"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("p2"))
+    right = large.select("root", F.col("part").alias("p2"), F.col("tile").alias("right"))
+    met = left.join(right, ["root", "p2"]).select("left", F.when(F.col("p1") != F.col("p2"), F.col("right")).alias("right"))
+    met = met.unionByName(tiles.filter("parts = 1").select(F.col("tile").alias("left"), F.lit(None).cast("array<array<long>>").alias("right")))
+
+    def compare(batches):
+        for batch in batches:
+            found = []
+            for a, b in zip(batch["left"], batch["right"]):
+                a = [np.asarray(m, dtype=np.int64) for m in a]
+                found += settled(a, a if b is None else [np.asarray(m, dtype=np.int64) for m in b])
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    small_batches(spark, 64)
+    return met.mapInPandas(compare, "a long, b long")
+
+
+def text_key(text: Column) -> Column:
+    """What tells texts apart; a null text counts as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5) -> DataFrame:
-    """(id_col, component_id) for every row: groups of documents whose sets of five-word shingles are alike by 0.8 or more.
+    """(id_col, text_key, component_id, stays) for every row: groups of documents whose sets of five-word shingles are alike by 0.8 or more.
 
-    The likeness is told from 512-bit fingerprints, see LONG_RULE.  Classes go by size in steps of
-    a third, so only those of like size meet, and by the bit count of the first word.
+    Candidates are told from 512-bit fingerprints, see LONG_RULE; classes go by size in steps of a third,
+    so only those of like size meet.  Within each group that candidates connect, likeness is settled by
+    the shingles themselves, as 64-bit hashes.  component_id is the smallest id of a group, and stays
+    marks the row that stands for it: that of the smallest id, null after all others, and of these the
+    one with the smallest text_key.
     """
 
     @F.pandas_udf("whole long, size long, words array<long>")
     def taken(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([long_fingerprint(t, shingle_words) for t in texts], columns=["whole", "size", "words"])
 
+    @F.pandas_udf("array<long>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.sort(shingle_hashes(t, shingle_words).view(np.int64)) for t in texts], dtype=object)
+
     small_batches(docs.sparkSession)
-    own = cut(pick(docs, id_col, text_col).select(F.col(id_col).alias("id"), taken(F.col(text_col)).alias("f")).select("id", "f.*"))
-    reps = own.groupBy("whole").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("words").alias("words"))
+    texts = pick(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("text_key"))
+    own = cut(texts.select("id", "text_key", taken(F.col("text")).alias("f")).select("id", "text_key", "f.*"))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "text_key")
+    reps = own.groupBy("whole").agg(F.min(place).alias("rep"), F.first("size").alias("size"), F.first("words").alias("words"))
     band = F.floor(F.log(F.greatest("size", F.lit(1))) / F.log(F.lit(1 / LONG_RULE.least_ratio))).cast("int")
-    count = F.floor(F.bit_count(F.col("words")[0]) / (LONG_RULE.first + 1)).cast("int")
-    steps = sorted({b * BASE + c for b in (-1, 0, 1) for c in (-1, 0, 1) if b * BASE + c >= 0})
-    nodes = reps.select((band * BASE + count + 1).alias("k"), F.concat(F.array("whole", "size"), "words").alias("record"))
-    rooted = components(forest(nodes, steps, LONG_RULE, tile=4 * TILE))
+    nodes = reps.filter(F.col("size") >= LEAST_SIZE).select(band.alias("k"), F.concat(F.array("whole", "size"), "words").alias("record"))
+    candidates = components(forest(nodes, [0, 1], LONG_RULE, tile=4 * TILE)).withColumnRenamed("node", "whole")
+    asked = reps.join(candidates, "whole").select(
+        key_of(F.col("rep.id")).alias("key"), F.col("rep.text_key").alias("text_key"), "root", F.col("whole").alias("node"), "words"
+    )
+    met = texts.withColumn("key", key_of(F.col("id"))).join(asked, ["key", "text_key"])
+    members = met.select("root", "node", F.concat(F.array("node"), "words", hashes(F.col("text"))).alias("record"))
+    rooted = components(settle(cut(members)))
     placed = reps.select("whole", "rep").join(rooted.withColumnRenamed("node", "whole"), "whole", "left").withColumn("root", F.coalesce("root", "whole"))
-    smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = placed.select("whole", "root").join(smallest, "root").select("whole", "component_id")
-    return own.join(named, "whole").select(F.col("id").alias(id_col), "component_id")
+    smallest = placed.groupBy("root").agg(F.min("rep").alias("least"))
+    named = placed.select("whole", "root").join(smallest, "root").select("whole", "least")
+    stays = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("text_key") == F.col("least.text_key"))
+    return own.join(named, "whole").select(F.col("id").alias(id_col), "text_key", F.col("least.id").alias("component_id"), stays.alias("stays"))
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:

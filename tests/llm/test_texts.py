@@ -243,6 +243,42 @@ def test_near_copies_find_copies_and_leave_others(spark):
     assert kept.count() == len(set(got.values()))
 
 
+def pair_of_sets(name, shared, alone):
+    """Two texts that share so many five-word shingles; each has so many besides."""
+    head = [f"{name}h{k}" for k in range(shared + 4)]
+    return [" ".join(head + [f"{name}{side}{k}" for k in range(alone)]) for side in "ab"]
+
+
+def test_near_copies_are_settled_exactly_at_the_bar(spark):
+    """80 of 100 shingles shared is near, 79 of 101 is not; nor may short texts be missed."""
+    pairs = [(pair_of_sets(f"n{g}", 80, 10), True) for g in range(80)] + [(pair_of_sets(f"f{g}", 79, 11), False) for g in range(80)]
+    for g in range(40):
+        text = " ".join(f"s{g}w{k}" for k in range(8))
+        pairs.append(((text, f"{text} more"), True))
+    data = [(2 * g + side, text) for g, (texts, _) in enumerate(pairs) for side, text in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for g, (_, near) in enumerate(pairs):
+        assert (got[2 * g], got[2 * g + 1]) == (2 * g, 2 * g if near else 2 * g + 1)
+
+
+def test_sets_in_several_tiles_equal_all_pairs(spark):
+    random.seed(12)
+    data, pool = [], [f"p{k}" for k in range(300)]
+    for g in range(12):
+        base = [random.choice(pool) for _ in range(120)]
+        for c in range(6):
+            text = list(base)
+            for _ in range(c):
+                text[random.randrange(120)] = f"x{random.randrange(9999)}"
+            data.append((g * 6 + c, " ".join(text)))
+    sets = [set(simhash.shingle_hashes(t).view("int64").tolist()) for _, t in data]
+    members = [(1, i, [i, *simhash.long_fingerprint(t)[2], *sorted(s)]) for (i, t), s in zip(data, sets)]
+    edges = simhash.settle(spark.createDataFrame(members, "root long, node long, record array<long>"), tile=900)
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    want = brute_components(list(range(len(data))), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert [got.get(i, i) for i, _ in data] == want
+
+
 def test_one_of_each_edge_rows(spark):
     df = edge(spark)
     kept = simhash.one_of_each(df, simhash.near_copies(df))
