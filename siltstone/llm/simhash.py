@@ -369,10 +369,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return own.join(named, "whole").select(F.col("id").alias(id_col), "text_key", F.col("least.id").alias("component_id"), stays.alias("stays"))
 
 
-def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows that are not the first of their group; of repeated ids one row stays."""
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that do not stand for their group; of rows alike in id and text one stays.
+
+    Rows are known by id and text together, so documents that merely share an id, or have none, all count.
+    """
     own = ByPlace(docs)
-    kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key_of(F.col(id_col)).alias("key")).distinct()
-    met = own.df.withColumn("key", key_of(F.col(own.name(id_col)))).join(kept, "key", "left_semi")
-    first = Window.partitionBy("key").orderBy(F.lit(0))
-    return own.back(met.withColumn("row", F.row_number().over(first)).filter("row = 1"))
+    kept = groups.filter("stays").select(key_of(F.col(id_col)).alias("key"), "text_key").distinct()
+    keyed = own.df.withColumn("key", key_of(F.col(own.name(id_col)))).withColumn("text_key", text_key(F.col(own.name(text_col))))
+    once = keyed.groupBy("key", "text_key").agg(F.first(F.struct(*own.df.columns)).alias("row"))
+    return own.back(once.join(kept, ["key", "text_key"], "left_semi").select("row.*"))

@@ -279,6 +279,15 @@ def test_sets_in_several_tiles_equal_all_pairs(spark):
     assert [got.get(i, i) for i, _ in data] == want
 
 
+def test_documents_that_share_an_id_or_lack_one_all_stay(spark):
+    body = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    data = [(None, body("a")), (None, body("b")), (None, body("b")), (7, body("c")), (7, body("d")), (3, body("d")), (9, body("e")), (9, body("e"))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    kept = simhash.one_of_each(df, simhash.near_copies(df))
+    want = [(None, body("a")), (None, body("b")), (3, body("d")), (7, body("c")), (9, body("e"))]
+    assert rows(kept, "doc_id", "text") == sorted(want, key=repr)
+
+
 def test_one_of_each_edge_rows(spark):
     df = edge(spark)
     kept = simhash.one_of_each(df, simhash.near_copies(df))
