@@ -15,8 +15,9 @@ Choices that make the distance sharp:
   windows of toxic documents that hold a character gram which is much more frequent in toxic than
   in ordinary documents; the ordinary dictionary is trained on the windows of ordinary documents.
 
-Training reads at most ``max_docs`` labelled documents of each class, the first by a hash of their
-id, and of these such as have at most ``max_chars`` characters; scoring reads every word of every document.
+A document's distinct windows count, in scoring as in calibration.  Training reads at most ``max_docs``
+labelled documents of each class, the first by a hash of their id, and of these at most ``max_long`` of
+more than ``max_chars`` characters; scoring reads every word of every document.
 
 Edge cases: a null text counts as empty; a text without words has no windows and the score of
 margin zero; a document of any length is scored whole; without both classes among the training
@@ -31,7 +32,7 @@ import heapq
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -112,14 +113,14 @@ class Scorer:
             self.known[window] = found
         return found
 
-    def statistic(self, text: str | None) -> float:
-        """Sum of the TOP largest positive margins."""
+    def statistic(self, distinct: Iterable[str]) -> float:
+        """Sum of the TOP largest positive margins of distinct windows."""
         if not (self.model.toxic and self.model.ordinary):
             return 0.0
-        return float(sum(heapq.nlargest(TOP, (m for m in map(self.margin, windows(text, self.model.window_words)) if m > 0))))
+        return float(sum(heapq.nlargest(TOP, (m for m in map(self.margin, distinct) if m > 0))))
 
     def score(self, text: str | None) -> float:
-        return self.model.score(self.statistic(text))
+        return self.model.score(self.statistic(set(windows(text, self.model.window_words))))
 
 
 def _grams(window: str, size: int) -> set[str]:
@@ -211,8 +212,7 @@ def fit(
         return blank
     scorer = Scorer(model)
     held = {y: p[len(train[y]) :] or p for y, p in part.items()}
-    top = lambda ws: float(sum(heapq.nlargest(TOP, (m for m in map(scorer.margin, ws) if m > 0))))
-    x = np.array([top(ws) for y in (0, 1) for ws in held[y]])
+    x = np.array([scorer.statistic(ws) for y in (0, 1) for ws in held[y]])
     y = np.array([y for y in (0, 1) for _ in held[y]])
     model.weight, model.bias = _logistic(x, y)
     if model.weight <= 0:
@@ -227,9 +227,9 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_docs: int = 1500, max_chars: int = 20_000, window_words: int = 1,
+    max_docs: int = 1500, max_chars: int = 20_000, window_words: int = 1, max_long: int = 100,
 ) -> ToxicityModel:
-    """Fit on at most max_docs labelled rows of each class, those first by a hash of id, without texts of more than max_chars characters.
+    """Fit on at most max_docs labelled rows of each class, those first by a hash of id; of each, max_long may have more than max_chars characters.
 
     The ids are chosen from the labels alone, so that documents meet a table of at most 2 * max_docs
     rows, which is broadcast, and no text is shuffled.
@@ -237,9 +237,12 @@ def train(
     known = pick(labels, id_col, label_col).toDF("id", "y").filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("id"))
     known = known.distinct().withColumn("h", F.xxhash64("id", F.lit("toxicity")))
     chosen = [known.filter(F.col("y") == y).orderBy("h", "id").limit(max_docs) for y in (0, 1)]
-    texts = pick(docs, id_col, text_col).toDF("doc", "text").filter(F.length("text") <= max_chars)
+    texts = pick(docs, id_col, text_col).toDF("doc", "text").filter(F.col("text").isNotNull())
     both = texts.join(F.broadcast(chosen[0].union(chosen[1])), F.col("doc") == F.col("id"))
-    found = sorted(both.select("h", "text", "y").distinct().collect())
+    both = both.select("h", "text", "y").distinct()
+    short = both.filter(F.length("text") <= max_chars).collect()
+    long = [both.filter((F.length("text") > max_chars) & (F.col("y") == y)).orderBy("h", "text").limit(max_long).collect() for y in (0, 1)]
+    found = sorted(short + long[0] + long[1])
     return fit([r.text for r in found], [r.y for r in found], window_words)
 
 

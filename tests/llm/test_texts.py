@@ -314,6 +314,29 @@ def test_toxicity_learns_held_out_labels(spark):
     assert sum(r.predicted == r.toxic for r in out) / len(out) > 0.95
 
 
+def ordinary_texts(n, length=80):
+    syllables = ["ba", "re", "to", "mi", "lan", "ver", "su", "pol"]
+    vocabulary = sorted({"".join(random.choice(syllables) for _ in range(random.randint(1, 4))) for _ in range(300)})
+    return [[random.choice(vocabulary) for _ in range(length)] for _ in range(n)], vocabulary
+
+
+def test_toxicity_scores_as_it_calibrates(spark):
+    """Repeated words count once, and texts beyond max_chars are learnt from."""
+    random.seed(14)
+    texts, _ = ordinary_texts(200)
+    labels = [int(i % 2 == 0) for i in range(200)]
+    for text, y in zip(texts, labels):
+        if y:
+            text[random.randrange(80)] = random.choice(["grumblethorpe", "snarkwiddle"])
+    joined = [" ".join(t) for t in texts]
+    model = toxicity.fit(joined, labels)
+    scorer = toxicity.Scorer(model)
+    assert scorer.score("ba grumblethorpe re") == scorer.score("ba grumblethorpe re grumblethorpe ba") > scorer.score("ba re")
+    d = spark.createDataFrame(list(enumerate(joined)), "doc_id long, text string")
+    y = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    assert toxicity.train(d, y, max_chars=10).weight > 0
+
+
 def test_toxicity_edges(spark):
     blank = toxicity.train(empty(spark).select("doc_id", "text"), spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in toxicity.score(edge(spark), blank).collect()} == {0.0}
