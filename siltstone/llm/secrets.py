@@ -5,8 +5,8 @@ reported only when parts that complete one another stand close together: an acce
 secret value and an endpoint of one credential.  Each part claims the interval that reaches
 ``REACH`` characters beyond it within its scope, a stretch of text without a blank line; two parts
 link when one's interval covers the other.  The join of parts is an interval join: starts are sorted,
-and for each weak part the nearest complementary part is looked up by binary search on both sides, so a
-document with many parts takes n log n steps and no pair is materialised.
+and for each weak part the complementary part that reaches furthest before it and the next one after it
+are looked up by binary search, so a document with many parts takes n log n steps and no pair is materialised.
 
 Roles: ``access`` spans, and weak identifiers such as client_id=..., are identifiers; ``assign`` and
 long ``hex`` spans, and weak secret-looking strings, are secrets; addresses of services are endpoints.
@@ -97,15 +97,18 @@ class _Parts:
     def __init__(self, spans: list[tuple[int, int, str]], breaks: list[int]):
         self.spans, self.breaks = sorted(spans), breaks
         self.starts = [s for s, _, _ in self.spans]
+        self.scopes = [self._scope(s) for s in self.starts]
+        self.reach = []  # the furthest end so far, within a scope
+        for k, (_, e, _) in enumerate(self.spans):
+            self.reach.append(max(e, self.reach[-1]) if k and self.scopes[k] == self.scopes[k - 1] else e)
 
     def near(self, start: int, end: int) -> bool:
-        i = bisect_left(self.starts, start)
-        for k in (i - 1, i, i + 1):  # the nearest before, itself or the next, the one after
-            if 0 <= k < len(self.spans):
-                s, e, _ = self.spans[k]
-                if (s, e) != (start, end) and s - end <= REACH and start - e <= REACH and self._scope(s) == self._scope(start):
-                    return True
-        return False
+        i, scope = bisect_left(self.starts, start), self._scope(start)
+        if i and self.scopes[i - 1] == scope and start - self.reach[i - 1] <= REACH:
+            return True
+        while i < len(self.spans) and self.spans[i][:2] == (start, end):
+            i += 1
+        return i < len(self.spans) and self.scopes[i] == scope and self.starts[i] - end <= REACH
 
     def _scope(self, place: int) -> int:
         return bisect_left(self.breaks, place)

@@ -104,6 +104,21 @@ def test_linking_many_parts_equals_all_pairs():
         assert [(s, e) for s, e, _ in secrets.spans(text)] == want
 
 
+def test_a_span_within_another_does_not_hide_its_reach():
+    text = "password=abcdef0123456789" + "Zx9" * 90 + " client_id=abc123"
+    assert [k for _, _, k in secrets.spans(text)] == ["assign", "hex", "identifier"]
+
+
+def test_linking_nested_parts_equals_all_pairs():
+    random.seed(6)
+    for _ in range(300):
+        text, breaks = [(s := random.randrange(1500), s + random.choice([5, 40, 400]), "x") for _ in range(8)], sorted(random.sample(range(1500), 2))
+        parts, scope = secrets._Parts(text, breaks), lambda p: sum(b < p for b in breaks)
+        for start in range(0, 1500, 50):
+            want = any(s - start - 9 <= secrets.REACH and start - e <= secrets.REACH and scope(s) == scope(start) for s, e, _ in text)
+            assert parts.near(start, start + 9) == want
+
+
 def test_secrets_edge_rows(spark):
     assert secrets.scan(edge(spark)).count() == len(EDGE) and secrets.scan(empty(spark)).count() == 0
     assert {r.base_sha256 for r in secrets.scan(edge(spark)).collect()} == {hashlib.sha256(b"").hexdigest()}
