@@ -14,10 +14,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the cluster's checkpoint folder; only where none is set, a temporary folder is used."""
+    """df written to the folder that spark.checkpoint.dir names, its lineage ended.
+
+    On one machine a temporary folder will do where none is named; on a cluster executors would each write to
+    a folder of their own, so that is an error.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
