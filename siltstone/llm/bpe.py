@@ -5,9 +5,10 @@ vocabulary, resolves a pre-token that is itself a token with one probe.  Tier tw
 pre-token's bytes form a linked list, a heap holds the mergeable neighbours by (rank, place), and the
 lowest merges until none is left.
 
-Texts are first cut at single blanks between characters that are not white space, since no match of
-a pattern such as PATTERN can cross one; each such stretch is encoded once and then remembered, in a
-memory of bounded size.
+Texts are first cut at blanks that white space does not follow, since no match of a pattern such as PATTERN
+can cross one; each such stretch is encoded once and then remembered, in a memory of bounded size that
+serves all tasks of a process.  Two neighbours are looked up as a pair of numbers; the table of pairs is that
+of the vocabulary's tokens cut in two, so a pair is in it just if their bytes together are a token.
 
 The hash is built on the driver from the rank file, whose size is that of the vocabulary, not of the data.
 
@@ -19,11 +20,12 @@ no bytes.  Repeated rows are encoded alike; other columns are ignored.
 from __future__ import annotations
 
 import base64
-import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from hashlib import sha256
+from heapq import heapify, heappop, heappush
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,7 @@ import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siltstone.llm.common import pick, small_batches
+from siltstone.llm.common import pick, shared
 
 #: The pattern of the public byte-level vocabularies: a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -91,10 +93,36 @@ class PerfectHash:
         return self.values[slot] if self.keys[slot] == key else None
 
 
+class _Memory(dict):
+    """What is known of stretches that follow a blank; what is not is found on first use.
+
+    Two generations of at most limit entries: when one is full, it becomes the older, and what is used of
+    that goes on.
+    """
+
+    def __init__(self, find, limit: int):
+        super().__init__()
+        self.find, self.limit, self.older = find, limit, {}
+
+    def __missing__(self, stretch: str) -> bytes:
+        found = self.older.get(stretch)
+        if found is None:
+            found = self.find(stretch)
+        if len(stretch) <= 64:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[stretch] = found
+        return found
+
+
 class Codec:
-    """Encodes and decodes with a table of ranks; picklable, of the vocabulary's size."""
+    """Encodes and decodes with a table of ranks; picklable, of the vocabulary's size.
+
+    Ids are kept as little-endian 32-bit numbers in byte strings, which are joined rather than copied one by one.
+    """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, memory: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, memory: int = 400_000):
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
@@ -103,13 +131,27 @@ class Codec:
         self._start()
 
     def _start(self) -> None:
-        self.ranks = {token: rank for rank, token in self.tokens.items()}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-        self.bare: dict[str, tuple[int, ...]] = {}
+        ranks = {token: rank for rank, token in self.tokens.items()}
+        self.single = [ranks[bytes([b])] for b in range(256)]
+        # what two neighbours merge to, by the rank of the first and then of the second: every token cut in two tokens
+        pairs: dict[int, dict[int, int]] = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                left, right = ranks.get(token[:i]), ranks.get(token[i:])
+                if left is not None and right is not None:
+                    pairs.setdefault(left, {})[right] = rank
+        none: dict[int, int] = {}
+        self.pairs = {rank: pairs.get(rank, none).get for rank in self.tokens}
+        self.first = [self.pairs[a](b, -1) for a in self.single for b in self.single]
+        self.packed_id = {rank: pack("<i", rank) for rank in self.tokens}
+        blank = [None] * (max(self.tokens) + 1)
+        self.bytes_of, self.decimal = blank.copy(), blank
+        for rank, token in self.tokens.items():
+            self.bytes_of[rank], self.decimal[rank] = token, str(rank)
+        self.after_blank, self.bare = _Memory(self._after_blank, self.memory), _Memory(self._match, self.memory // 4)
         self.split = regex.compile(self.pattern).findall
-        self.cut = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])").split
-        self.runs = re.compile(f"[{SPACE}][{SPACE}]").search
+        self.cut = re.compile(f" (?=[^{SPACE}])").split
+        self.runs = re.compile(f" [{SPACE}]").search
 
     def __getstate__(self) -> dict:
         return {k: self.__dict__[k] for k in ("hash", "pattern", "memory", "tokens")}
@@ -120,101 +162,77 @@ class Codec:
 
     def merge(self, piece: bytes) -> list[int]:
         """Tier two: merge the pair of lowest rank, the leftmost of equals, until no pair is in the vocabulary."""
-        rank, n, pop, push = self.ranks.get, len(piece), heapq.heappop, heapq.heappush
-        after, before = list(range(1, n + 2)), list(range(-1, n))  # by the first byte of a part: where the next and the last one begin
-        own = [rank(piece[i : i + 2], -1) for i in range(n - 1)]  # the rank of each part and the next, -1 for none
-        own += (-1, -1)
-        heap = [r << 32 | i for i, r in enumerate(own) if r >= 0]
-        heapq.heapify(heap)
+        pairs, first, n = self.pairs, self.first, len(piece)
+        shift = n.bit_length()
+        own = list(map(self.single.__getitem__, piece))  # by the first byte of a part: its rank
+        to = [first[a << 8 | b] for a, b in zip(piece, piece[1:])]  # what a part and the next merge to, -1 for nothing
+        heap = [r << shift | i for i, r in enumerate(to) if r >= 0]
+        heapify(heap)
+        to.append(-1)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # where the next and the last part begin
         while heap:
-            entry = pop(heap)
-            i = entry & 0xFFFFFFFF
-            if own[i] != entry >> 32:
+            entry = heappop(heap)
+            rank = entry >> shift
+            i = entry - (rank << shift)
+            if to[i] != rank:
                 continue  # one of the two has merged meanwhile
             j = after[i]
             after[i] = k = after[j]
-            own[j] = -1
+            own[i] = rank
+            own[j] = to[j] = -1
             if k < n:
                 before[k] = i
-                own[i] = r = rank(piece[i : after[k]], -1)
+                to[i] = r = pairs[rank](own[k], -1)
                 if r >= 0:
-                    push(heap, r << 32 | i)
+                    heappush(heap, r << shift | i)
             else:
-                own[i] = -1
+                to[i] = -1
             h = before[i]
             if h >= 0:
-                own[h] = r = rank(piece[h:k], -1)
+                to[h] = r = pairs[own[h]](rank, -1)
                 if r >= 0:
-                    push(heap, r << 32 | h)
-        ids, i = [], 0
-        while i < n:
-            j = after[i]
-            ids.append(rank(piece[i:j]))
-            i = j
-        return ids
-
-    def _piece(self, match: str) -> tuple[int, ...]:
-        """Ids of one match, remembered: one of a blank and more by what follows, like a stretch, others by themselves."""
-        if match[:1] == " " and len(match) > 1:
-            memory, key = self.known, match[1:]
-            found = memory.get(key) or self.older.get(key)
-        else:
-            memory, key = self.bare, match
-            found = memory.get(key)
-        if found is None:
-            piece = match.encode("utf-8")
-            whole = self.hash.get(piece)
-            found = (whole,) if whole is not None else tuple(self.merge(piece))
-        if len(key) <= 64:
-            if len(memory) >= self.memory:  # what is used goes on, what is not falls away
-                self._age(memory)
-                memory = self.bare if memory is self.bare else self.known
-            memory[key] = found
-        return found
-
-    def _age(self, memory: dict) -> None:
-        if memory is self.bare:
-            memory.clear()
-        else:
-            self.known, self.older = {}, self.known
-
-    def _stretch(self, stretch: str) -> tuple[int, ...]:
-        """Ids of one stretch; those of a blank and at most 64 characters are remembered by what follows the blank."""
-        word = stretch[1:] if stretch[:1] == " " else stretch
-        if word.isalpha() and max(word) < "\u0250":  # a match of its own
-            return self._piece(stretch)
-        found = self.older.get(word) if word is not stretch else None
-        if found is None:
-            if word[-1:] in {",", "."} and word[:-1].isalpha() and max(word) < "\u0250":  # a match and a sign
-                found = self._piece(stretch[:-1]) + self._piece(stretch[-1])
-            else:
-                found = tuple(chain.from_iterable(map(self._piece, self.split(stretch))))
-        if word is not stretch and len(word) <= 64:
-            if len(self.known) >= self.memory:
-                self._age(self.known)
-            self.known[word] = found
-        return found
-
-    def encode(self, text: str | None) -> list[int]:
+                    heappush(heap, r << shift | h)
+        return [r for r in own if r >= 0]
+
+    def _match(self, match: str) -> bytes:
+        """Ids of one match of the pattern: by the hash, else by merging."""
+        piece = match.encode("utf-8")
+        whole = self.hash.get(piece)
+        return self.packed_id[whole] if whole is not None else b"".join(map(self.packed_id.__getitem__, self.merge(piece)))
+
+    def _after_blank(self, word: str) -> bytes:
+        """Ids of a blank and a stretch."""
+        if word.isascii() or word and max(word) < "\u0250":  # letters to all versions of the pattern's engine
+            if word.isalpha():  # a match of its own
+                return self._match(" " + word)
+            if word[-1:] in {",", "."} and word[:-1].isalpha():  # a match and a sign
+                return self.after_blank[word[:-1]] + self.bare[word[-1]]
+        return self._stretch(" " + word)
+
+    def _stretch(self, stretch: str) -> bytes:
+        return b"".join([self.after_blank[m[1:]] if m[0] == " " and m[1:].isalpha() else self.bare[m] for m in self.split(stretch)])
+
+    def packed(self, text: str | None) -> bytes:
+        """Ids of a whole text, as little-endian 32-bit numbers."""
         if not text:
-            return []
+            return b""
         try:
             text.encode("utf-8")
         except UnicodeEncodeError:
             text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-        if self.runs(text) or text[0] in " \t\n\x0b\x0c\r" or text[-1] == " ":
-            stretches = self.cut(text)
-        else:
-            stretches = text.split(" ")
-        found = [self._stretch(stretches[0]), *map(self.known.get, stretches[1:])]
-        if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    found[i] = self.known.get(stretches[i]) or self._stretch(" " + stretches[i])
-        return list(chain.from_iterable(found))
+        # a run of white space crosses a blank only if white space follows it
+        first, *rest = self.cut(text) if self.runs(text) or text[-1] == " " else text.split(" ")
+        return self._stretch(first) + b"".join(map(self.after_blank.__getitem__, rest))
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.packed(text), dtype="<i4").tolist()
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids)) if ids is not None else b""
+    def decode(self, ids: Iterable[int] | None) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids)) if ids is not None else b""
+
+    def joined(self, ids: Iterable[int]) -> str:
+        """The ids as decimals, with commas between."""
+        return ",".join(map(self.decimal.__getitem__, ids))
 
 
 @lru_cache(maxsize=4)
@@ -224,55 +242,58 @@ def codec(path: str, pattern: str = PATTERN) -> Codec:
 
 def encode_column(text: Column, own: Codec) -> Column:
     """Token ids of each whole text, array<int>."""
-    shared = _shared(own)
+    told = shared(own)
 
     @F.pandas_udf("array<int>")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = shared.value.encode
+        packed = told.value.packed
         for texts in batches:
-            yield pd.Series([np.array(encode(t), dtype=np.int32) for t in texts], dtype=object)
+            yield pd.Series([np.frombuffer(packed(t), dtype="<i4") for t in texts], dtype=object)
 
     return encoded(text)
 
 
 def decode_column(ids: Column, own: Codec) -> Column:
     """Bytes of each array of ids, binary."""
-    shared = _shared(own)
+    told = shared(own)
 
     @F.pandas_udf("binary")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        decode = shared.value.decode
+        decode = told.value.decode
         for rows in batches:
             yield pd.Series([decode(None if x is None else x.tolist()) for x in rows], dtype=object)
 
     return decoded(ids)
 
 
-def _shared(own: Codec):
-    """The codec, of the vocabulary's size, broadcast to the workers."""
-    from pyspark.sql import SparkSession
+def digests_column(text: Column, own: Codec) -> Column:
+    """(n_tokens, ids_sha256, decoded_sha256) of each whole text: its ids, and what they decode to, in one pass."""
+    told = shared(own)
+
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digested(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = told.value
+        for texts in batches:
+            rows = []
+            for text in texts:
+                ids = codec.encode(text)
+                rows.append((len(ids), sha256(codec.joined(ids).encode()).hexdigest(), sha256(codec.decode(ids)).hexdigest()))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return SparkSession.active().sparkContext.broadcast(own)
+    return digested(text)
 
 
 def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = PATTERN) -> DataFrame:
     """(id_col, ids) for every row of docs."""
-    small_batches(docs.sparkSession)
     return pick(docs, id_col, text_col).select(id_col, encode_column(F.col(text_col), codec(ranks_path, pattern)).alias("ids"))
 
 
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id_col, ids_col, decoded) for every row of encoded."""
-    small_batches(encoded.sparkSession)
     return pick(encoded, id_col, ids_col).withColumn("decoded", decode_column(F.col(ids_col), codec(ranks_path)))
 
 
 def digests(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, ids_sha256, decoded_sha256): documents encoded, and the ids decoded again."""
-    both = decode(encode(docs, ranks_path, id_col, text_col), ranks_path, id_col)
-    return both.select(
-        id_col,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    own = pick(docs, id_col, text_col)
+    return own.select(id_col, digests_column(F.col(text_col), codec(ranks_path)).alias("d")).select(id_col, "d.*")

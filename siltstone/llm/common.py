@@ -1,11 +1,18 @@
-"""Helpers that the operators share."""
+"""Helpers that the operators share.
 
-from __future__ import annotations
+No operator changes a setting of the session.  Spark bounds Arrow batches by rows and by bytes, so a batch of
+very long texts is a short one.
+"""
 
-import tempfile
+from __future__ import annotations
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from siltstone.functions.ordered import cut
+
+__all__ = ["ByPlace", "cut", "key_of", "pick", "shared", "small_batches"]
+
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Exactly the named columns, matched by exact name and the first of equals, whatever else df holds.
@@ -44,14 +51,6 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the cluster's shared checkpoint folder, its lineage ended.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset, as in tests, a
-    temporary one is used.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+def shared(value) -> Broadcast:
+    """A value whose size does not grow with the data, broadcast to the workers."""
+    return SparkSession.active().sparkContext.broadcast(value)
