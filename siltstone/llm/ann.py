@@ -7,33 +7,38 @@ the inner products of just those queries for which x scores high.  Codebooks are
 coordinate descent over codes with one least-squares solution for all centres under that loss.
 
 A search scans tables: for each byte of codes a query has 256 sums of two centres' products, and a
-vector's estimate is the sum of the entries that its bytes name.  Of each ``ROW_BLOCK`` rows the
-``rerank`` best by estimate are measured exactly, in double precision on the original vectors.
+vector's estimate is the sum of the entries that its bytes name.  Of each ``ROW_BLOCK`` rows, whatever batches they
+came in, the ``rerank`` best by estimate are measured exactly, in double precision on the original vectors; of a
+smaller block the same share, and more than k.
 
 The codebooks are fitted on at most ``sample`` vectors, those first by a hash of their id; every row is
 indexed, and the index, codes beside vectors, is written to the checkpoint folder.
 
 Edge cases: rows without id, and vectors that are null, zero, or hold null or non-finite components, take no
-part; the codebooks are for the commonest number of components, vectors with another are compared exactly
-with queries that have it too; each of repeated rows is a candidate, but none with the query's own id; fewer
+part; the codebooks are for the commonest number of components, vectors with another, and those with a component
+over ``FAR`` times the sample's median length, have no codes and are compared exactly, as is all with queries of that kind;
+differences whose squares leave the range of doubles are measured after scaling, and a distance beyond that range
+counts as the largest double; each of repeated rows is a candidate, but none with the query's own id; fewer
 than k candidates give fewer rows; empty tables give an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from siltstone.llm import vectors
-from siltstone.llm.common import cut
+from siltstone.llm.common import cut, shared
 
 #: Cosine above which scores matter, in the weight of the parallel residual.
 THRESHOLD = 0.2
 CENTRES = 16
+#: Components beyond so many median lengths are left to exact comparison.
+FAR = 1e6
 
 
 def _pairs(x: np.ndarray) -> np.ndarray:
@@ -109,44 +114,82 @@ def tables(q: np.ndarray, books: np.ndarray) -> np.ndarray:
     return (each[0::2, :, None, :] + each[1::2, None, :, :]).reshape(len(books) // 2, 256, len(q))
 
 
-def _nearest(ids, q, rows, x, norms, codes, lookup, k, rerank):
-    """For each query the k nearest of a block of rows, as ids and negative distances."""
-    if codes is not None and len(rows) > rerank:
-        estimate = np.tile((-0.5 * norms).astype(np.float32)[:, None], (1, len(q)))
-        for byte in range(codes.shape[1]):
-            estimate += lookup[byte][codes[:, byte]]
-        chosen = np.argpartition(estimate, len(rows) - rerank, axis=0)[-rerank:].T
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances over the last axis."""
+    with np.errstate(over="ignore"):
+        gaps = np.abs(x - q)
+        squares = (gaps**2).sum(axis=-1)
+        odd = ~((squares > 1e-280) & (squares < 1e300))
+        out = np.sqrt(squares)
+        if odd.any():
+            part = gaps[odd]
+            largest = part.max(axis=-1, keepdims=True, initial=0)
+            ratio = np.divide(part, largest, out=np.zeros_like(part), where=(largest > 0) & np.isfinite(largest))
+            out[odd] = largest[:, 0] * np.sqrt((ratio**2).sum(axis=-1))
+    return np.where(np.isfinite(out), out, np.finfo(np.float64).max)
+
+
+def measure(kept: vectors.Kept, at: np.ndarray, q: np.ndarray, rows: np.ndarray, x: np.ndarray, chosen: np.ndarray | None) -> None:
+    """Exact distances of the queries at these places to the rows that are chosen for each, or to all."""
+    step = max(1, 2_000_000 // max(1, x.shape[1] * (len(rows) if chosen is None else chosen.shape[1])))
+    found, scores = [], []
+    for start in range(0, len(at), step):
+        part = slice(start, start + step)
+        which = np.broadcast_to(np.arange(len(rows)), (len(at[part]), len(rows))) if chosen is None else chosen[part]
+        found.append(rows[which])
+        scores.append(-distances(x[which], q[part, None, :]))
+    found, scores = np.concatenate(found), np.concatenate(scores)
+    scores[found == kept.queries[at][:, None]] = -np.inf
+    if len(at) == len(kept.queries):
+        kept.add(found, scores)
     else:
-        chosen = np.broadcast_to(np.arange(len(rows)), (len(q), len(rows)))
-    scores = np.empty(chosen.shape)
-    for start in range(0, len(q), 256):
-        part = slice(start, start + 256)
-        scores[part] = -np.sqrt(((x[chosen[part]] - q[part, None, :]) ** 2).sum(axis=2))
-    found = rows[chosen]
-    scores[found == ids[:, None]] = -np.inf
-    return vectors.best(found, scores, k)
-
-
-def build_index(rows: DataFrame, sample: int = 8192) -> tuple[DataFrame, np.ndarray | None]:
-    """The index (id, vec, norm, codes) of all usable rows, and the codebooks it is made with."""
+        who, which = (scores != -np.inf).nonzero()
+        kept.add_pairs(at[who], found[who, which], scores[who, which])
+
+
+@dataclass
+class Codebooks:
+    """For vectors of d components, divided by scale; centres is None where there is nothing to learn from."""
+
+    d: int
+    scale: float
+    centres: np.ndarray | None
+
+    def fits(self, x: np.ndarray) -> np.ndarray:
+        """Which vectors have codes, or tables."""
+        if self.centres is None or x.shape[1] != self.d:
+            return np.zeros(len(x), dtype=bool)
+        return np.abs(x).max(axis=1, initial=0) <= FAR * self.scale
+
+
+def fit(sample: list[list[float]]) -> Codebooks:
+    if not sample:
+        return Codebooks(0, 1.0, None)
+    d = min(Counter(map(len, sample)).items(), key=lambda x: (-x[1], x[0]))[0]
+    x = np.array([v for v in sample if len(v) == d], dtype=np.float64).reshape(-1, d)
+    scale = float(np.median(distances(x, np.zeros(d))))
+    own = Codebooks(d, scale, np.zeros(0))
+    near = own.fits(x)
+    return Codebooks(d, scale, train(x[near] / scale) if d and near.any() else None)
+
+
+def build_index(rows: DataFrame, sample: int = 8192) -> tuple[DataFrame, Codebooks]:
+    """The index (id, vec, norm, codes) of all usable rows, and the codebooks it is made with; norm is that of the scaled vector, squared."""
     first = rows.select("vec").orderBy(F.xxhash64("id", F.lit("ann")), "id").limit(sample).toArrow().to_pylist()
-    if not first:
-        return rows.withColumns({"norm": F.lit(0.0), "codes": F.lit(None).cast("binary")}), None
-    d = min(Counter(len(r["vec"]) for r in first).items(), key=lambda x: (-x[1], x[0]))[0]
-    books = train(np.array([r["vec"] for r in first if len(r["vec"]) == d], dtype=np.float64).reshape(-1, d)) if d else None
-    shared = rows.sparkSession.sparkContext.broadcast((d, books))
+    books = fit([r["vec"] for r in first])
+    told = shared(books)
 
     def coded(batches):
-        d, books = shared.value
-        for batch in batches:
+        books = told.value
+        for batch in vectors.row_blocks(batches):
             norms, codes = np.zeros(batch.num_rows), [None] * batch.num_rows
             for at, x in vectors.matrices(batch):
-                norms[at] = (x**2).sum(axis=1)
-                if books is not None and x.shape[1] == d:
-                    for start in range(0, len(at), 2048):
-                        part = at[start : start + 2048]
-                        for i, row in zip(part, packed(assign(_pairs(x[start : start + 2048]), books, eta(d)))):
-                            codes[i] = row.tobytes()
+                near = books.fits(x)
+                if near.any():
+                    at, x = at[near], x[near] / books.scale
+                    norms[at] = (x**2).sum(axis=1)
+                    for i, row in zip(at, packed(assign(_pairs(x), books.centres, eta(books.d)))):
+                        codes[i] = row.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(norms), pa.array(codes, pa.binary())], names=["id", "vec", "norm", "codes"]
             )
@@ -154,47 +197,59 @@ def build_index(rows: DataFrame, sample: int = 8192) -> tuple[DataFrame, np.ndar
     return cut(rows.mapInArrow(coded, "id long, vec array<double>, norm double, codes binary")), books
 
 
+def estimates(norms: np.ndarray, codes: np.ndarray, lookup: np.ndarray) -> np.ndarray:
+    """(row, query): q.x - |x|^2 / 2 as the tables have it."""
+    out = np.repeat((-0.5 * norms).astype(np.float32)[:, None], lookup.shape[2], axis=1)
+    for byte in range(codes.shape[1]):
+        out += lookup[byte][codes[:, byte]]
+    return out
+
+
+def scan(batches, queries: vectors.Queries, books: Codebooks, k: int, rerank: int):
+    """The k nearest of a task for each query, as negative distances."""
+    kept = {d: vectors.Kept(ids, k, -np.inf, np.float64) for d, (ids, _) in queries.items()}
+    near_q = {d: books.fits(q) for d, (_, q) in queries.items()}
+    lookup = tables(queries[books.d][1][near_q[books.d]] / books.scale, books.centres) if books.d in queries and near_q[books.d].any() else None
+    for batch in vectors.row_blocks(batches):
+        own, norms = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
+        has_codes = np.asarray(batch.column(3).is_valid())
+        for at, x in vectors.matrices(batch):
+            d = x.shape[1]
+            if d not in queries:
+                continue
+            q, held = queries[d][1], kept[d]
+            with_tables, without = near_q[d].nonzero()[0], (~near_q[d]).nonzero()[0]
+            if len(without):
+                measure(held, without, q[without], own[at], x, None)
+            if not len(with_tables):
+                continue
+            coded = has_codes[at]
+            if not coded.all():
+                measure(held, with_tables, q[with_tables], own[at[~coded]], x[~coded], None)
+            at, x = at[coded], x[coded]
+            if len(at):
+                most = max(k + 1, -(-rerank * len(at) // vectors.ROW_BLOCK))
+                chosen = None
+                if most < len(at):
+                    codes = np.frombuffer(b"".join(batch.column(3).take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
+                    chosen = np.argpartition(estimates(norms[at], codes, lookup), len(at) - most, axis=0)[len(at) - most :].T
+                measure(held, with_tables, q[with_tables], own[at], x, chosen)
+    for held in kept.values():
+        yield held.as_batch(pa.float64())
+
+
 def search(
     table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, step: int = 100, sample: int = 8192, rerank: int = 128
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): of each query the k nearest found, by Euclidean distance."""
-    spark = table.sparkSession
     rows = vectors.usable(table, id_col, vec_col, zero=False)
     index, books = build_index(rows, sample)
-    parts = []
-    for block in vectors.query_blocks(rows, step):
-        shared = spark.sparkContext.broadcast((block, books))
-
-        def scan(batches, shared=shared):
-            block, books = shared.value
-            lookup, kept = {}, {}
-            for batch in batches:
-                own = batch.column(0).to_numpy(zero_copy_only=False)
-                norms = batch.column(2).to_numpy(zero_copy_only=False)
-                for at, x in vectors.matrices(batch):
-                    d = x.shape[1]
-                    if d not in block:
-                        continue
-                    ids, q = block[d]
-                    raw = [batch.column(3)[int(i)].as_py() for i in at[:1]]
-                    codes = None
-                    if raw[0] is not None:
-                        codes = np.frombuffer(b"".join(batch.column(3).take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
-                        if d not in lookup:
-                            lookup[d] = tables(q, books)
-                    for start in range(0, len(at), vectors.ROW_BLOCK):
-                        part = slice(start, start + vectors.ROW_BLOCK)
-                        found, scores = _nearest(
-                            ids, q, own[at[part]], x[part], norms[at[part]], None if codes is None else codes[part], lookup.get(d), k, rerank
-                        )
-                        old_ids, old = kept.get(d, (found[:, :0], scores[:, :0]))
-                        kept[d] = vectors.best(np.concatenate([old_ids, found], axis=1), np.concatenate([old, scores], axis=1), k)
-            for d, (found, scores) in kept.items():
-                yield vectors.as_batch(block[d][0], found, scores, -np.inf, pa.float64())
-
-        parts.append(index.mapInArrow(scan, "query_id long, vec_id long, score double"))
-    if not parts:
-        return vectors.no_rows(table, "double")
-    found = reduce(DataFrame.union, parts)
-    out = vectors.ranked(found, k, F.desc("score"))
-    return out.withColumn("score", F.abs("score"))
+
+    def one_block(block: vectors.Queries) -> DataFrame:
+        told = shared((block, books))
+        found = vectors.ranked(index.mapInArrow(lambda batches: scan(batches, *told.value, k, rerank), "query_id long, vec_id long, score double"), k, F.desc("score"))
+        found = cut(found.withColumn("score", F.abs("score")))
+        told.destroy()
+        return found
+
+    return vectors.by_blocks(rows, step, "double", one_block)
