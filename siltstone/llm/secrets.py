@@ -4,18 +4,20 @@ Strong patterns are reported wherever they stand.  Weak candidates, which alone
 reported only when parts that complete one another stand close together: an access identifier, a
 secret value and an endpoint of one credential.  Each part claims the interval that reaches
 ``REACH`` characters beyond it within its scope, a stretch of text without a blank line; two parts
-link when one's interval covers the other.  The join of parts is an interval join: starts are sorted,
-and for each weak part the complementary part that reaches furthest before it and the next one after it
-are looked up by binary search, so a document with many parts takes n log n steps and no pair is materialised.
+join when one's interval covers the other.  The join of parts is an interval join by a sweep: parts come in order of
+their starts, those whose interval has ended are put away, and a new part meets the ones that are open.  Parts of
+a kind never overlap and have a least length, so no more than a fixed number is open at a time, and the
+pairs of a document grow with its length alone.
 
 Roles: ``access`` spans, and weak identifiers such as client_id=..., are identifiers; ``assign`` and
 long ``hex`` spans, and weak secret-looking strings, are secrets; addresses of services are endpoints.
 Reported besides the strong spans:
 
-* ``secret``: a weak secret in reach of an identifier;
-* ``identifier``: a weak identifier in reach of a secret, strong or weak;
-* ``endpoint``: an address in reach of an identifier and of a secret that are in reach of each other's scope.
+* ``secret``: a weak secret that joins an identifier;
+* ``identifier``: a weak identifier that joins a secret, strong or weak;
+* ``endpoint``: an address that joins an identifier and a secret which join one another.
 
+What is joined, directly or through others, is one credential; ``credentials`` lists the parts of each.
 Positions are code points, ends exclusive.  All parts of a document lie in its row, so the join
 needs no shuffle; every text is scanned whole.
 
@@ -30,11 +32,12 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siltstone.llm.common import ByPlace, pick, small_batches
+from siltstone.llm.common import ByPlace, pick
 
 #: Kinds in the order that breaks ties; the first three are the strong ones.
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
@@ -62,7 +65,12 @@ _ENDPOINT = re.compile(
 _BREAK = re.compile(r"\n[ \t\r]*\n")
 
 
-def strong_spans(text: str) -> list[tuple[int, int, str]]:
+Span = tuple[int, int, str]
+#: What a kind of part can be to a credential.
+ROLES = {"access": "identifier", "identifier": "identifier", "assign": "secret", "hex": "secret", "secret": "secret", "endpoint": "endpoint"}
+
+
+def strong_spans(text: str) -> list[Span]:
     """(start, end, kind) of each span that needs no company, in order."""
     found = [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     if "AKIA" in text:
@@ -71,7 +79,7 @@ def strong_spans(text: str) -> list[tuple[int, int, str]]:
     return _in_order(found)
 
 
-def _in_order(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+def _in_order(spans: list[Span]) -> list[Span]:
     return sorted(set(spans), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
@@ -81,7 +89,7 @@ def _looks_random(part: str) -> bool:
     return all(kinds) and -sum(n / len(part) * math.log2(n / len(part)) for n in Counter(part).values()) >= LEAST_ENTROPY
 
 
-def _uncovered(spans: list[tuple[int, int, str]], by: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+def _uncovered(spans: list[Span], by: list[Span]) -> list[Span]:
     """Those that overlap none of the others; both sorted by start, the others' ends unordered but few."""
     starts, reach, top = [], [], 0
     for s, e, _ in by:
@@ -91,48 +99,68 @@ def _uncovered(spans: list[tuple[int, int, str]], by: list[tuple[int, int, str]]
     return [x for x in spans if (i := bisect_left(starts, x[1])) == 0 or reach[i - 1] <= x[0]]
 
 
-class _Parts:
-    """Parts of one role, to be asked whether one lies in reach of a place and in its scope."""
-
-    def __init__(self, spans: list[tuple[int, int, str]], breaks: list[int]):
-        self.spans, self.breaks = sorted(spans), breaks
-        self.starts = [s for s, _, _ in self.spans]
-        self.scopes = [self._scope(s) for s in self.starts]
-        self.reach = []  # the furthest end so far, within a scope
-        for k, (_, e, _) in enumerate(self.spans):
-            self.reach.append(max(e, self.reach[-1]) if k and self.scopes[k] == self.scopes[k - 1] else e)
-
-    def near(self, start: int, end: int) -> bool:
-        i, scope = bisect_left(self.starts, start), self._scope(start)
-        if i and self.scopes[i - 1] == scope and start - self.reach[i - 1] <= REACH:
-            return True
-        while i < len(self.spans) and self.spans[i][:2] == (start, end):
-            i += 1
-        return i < len(self.spans) and self.scopes[i] == scope and self.starts[i] - end <= REACH
+def joined_pairs(parts: list[Span], breaks: list[int]) -> Iterator[tuple[Span, Span]]:
+    """Pairs of parts in different roles, of one scope and at most REACH apart; breaks are the places where scopes end."""
+    open_parts: list[Span] = []
+    scope = -1
+    for part in sorted(parts):
+        own = bisect_left(breaks, part[0])
+        if own != scope:
+            open_parts, scope = [], own
+        open_parts = [x for x in open_parts if part[0] - x[1] <= REACH]
+        for other in open_parts:
+            if ROLES[other[2]] != ROLES[part[2]]:
+                yield other, part
+        open_parts.append(part)
 
-    def _scope(self, place: int) -> int:
-        return bisect_left(self.breaks, place)
 
-
-def linked_spans(text: str, strong: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of each weak candidate that stands with what completes it."""
+def linked(text: str, strong: list[Span]) -> tuple[list[Span], list[list[Span]]]:
+    """The weak candidates that stand with what completes them, and the credentials that parts make up, each in order."""
     weak_ids = [(m.start(), m.end(), "identifier") for m in _IDENTIFIER.finditer(text)] if "=" in text or ":" in text else []
     ids = weak_ids + [s for s in strong if s[2] == "access"]
     if not ids:
-        return []  # nothing can be complete without an identifier
-    breaks = [m.start() for m in _BREAK.finditer(text)]
+        return [], []  # nothing can be complete without an identifier
     candidates = [(m.start(), m.end(), "secret") for m in _SECRET.finditer(text) if _looks_random(m.group())]
     weak_secrets = _uncovered(candidates, _in_order(strong + weak_ids))
     endpoints = [(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(text)]
-    all_ids = _Parts(ids, breaks)
-    all_secrets = _Parts(weak_secrets + [s for s in strong if s[2] != "access"], breaks)
-    found = [s for s in weak_secrets if all_ids.near(s[0], s[1])]
-    found += [s for s in weak_ids if all_secrets.near(s[0], s[1])]
-    found += [s for s in endpoints if all_ids.near(s[0], s[1]) and all_secrets.near(s[0], s[1])]
-    return found
+    parts = ids + weak_secrets + [s for s in strong if s[2] != "access"] + endpoints
+    near: dict[Span, set[Span]] = {}
+    for a, b in joined_pairs(parts, [m.start() for m in _BREAK.finditer(text)]):
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    joins: dict[Span, set[Span]] = {}
+    for part, others in near.items():
+        if part[2] != "endpoint":
+            joins[part] = {x for x in others if x[2] != "endpoint"}
+    for part, others in near.items():
+        if part[2] == "endpoint":
+            whole = {x for x in others if not joins[x].isdisjoint(others)}  # an identifier and a secret that join each other
+            if whole:
+                joins[part] = whole
+                for x in whole:
+                    joins[x].add(part)
+    credentials, seen = [], set()
+    for start in sorted(part for part, others in joins.items() if others):
+        if start in seen:
+            continue
+        group, waiting = [], [start]
+        seen.add(start)
+        while waiting:
+            part = waiting.pop()
+            group.append(part)
+            new = joins[part] - seen
+            seen |= new
+            waiting += new
+        credentials.append(_in_order(group))
+    return [part for group in credentials for part in group if KINDS.index(part[2]) >= STRONG], credentials
+
+
+def linked_spans(text: str, strong: list[Span]) -> list[Span]:
+    """(start, end, kind) of each weak candidate that stands with what completes it."""
+    return linked(text, strong)[0]
 
 
-def spans(text: str | None) -> list[tuple[int, int, str]]:
+def spans(text: str | None) -> list[Span]:
     """All spans of a text, strong and linked, in order."""
     strong = strong_spans(text or "")
     return _in_order(strong + linked_spans(text or "", strong))
@@ -150,25 +178,29 @@ def masked(text: str | None, mask: str = "[{kind}]") -> str | None:
     return "".join(out) + text[at:]
 
 
-def _joined(found: list[tuple[int, int, str]]) -> str:
-    return ",".join(f"{kind}:{start}:{end}" for start, end, kind in found)
+def _joined(found: list[Span], between: str = ",") -> str:
+    return between.join(f"{kind}:{start}:{end}" for start, end, kind in found)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_assign, n_access, n_hex, n_linked, base_sha256, spans) for every row of docs."""
-
-    @F.pandas_udf("n_assign long, n_access long, n_hex long, n_linked long, base_sha256 string, spans string")
-    def scanned(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            strong = strong_spans(text or "")
-            count, linked = Counter(s[2] for s in strong), linked_spans(text or "", strong)
-            base = _joined(strong)
-            both = _joined(_in_order(strong + linked)) if linked else base
-            rows.append((*(count[k] for k in KINDS[:STRONG]), len(linked), hashlib.sha256(base.encode()).hexdigest(), both))
-        return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "n_linked", "base_sha256", "spans"])
-
-    small_batches(docs.sparkSession)
+    """(id_col, n_assign, n_access, n_hex, n_linked, base_sha256, spans, n_credentials, credentials) for every row of docs.
+
+    credentials has the parts of a credential joined by blanks, and credentials joined by semicolons.
+    """
+
+    @F.pandas_udf("n_assign long, n_access long, n_hex long, n_linked long, base_sha256 string, spans string, n_credentials long, credentials string")
+    def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for text in texts:
+                strong = strong_spans(text or "")
+                weak, credentials = linked(text or "", strong)
+                count, base = Counter(s[2] for s in strong), _joined(strong)
+                both = _joined(_in_order(strong + weak)) if weak else base
+                digest = hashlib.sha256(base.encode()).hexdigest()
+                rows.append((*(count[k] for k in KINDS[:STRONG]), len(weak), digest, both, len(credentials), ";".join(_joined(c, " ") for c in credentials)))
+            yield pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS[:STRONG]), "n_linked", "base_sha256", "spans", "n_credentials", "credentials"])
+
     return pick(docs, id_col, text_col).select(id_col, scanned(F.col(text_col)).alias("s")).select(id_col, "s.*")
 
 
@@ -184,7 +216,6 @@ def masked_column(text: Column) -> Column:
 
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs, all its rows and columns, with the spans of its texts masked."""
-    small_batches(docs.sparkSession)
     own = ByPlace(docs)
     text = own.name(text_col)
     return own.back(own.df.withColumn(text, masked_column(F.col(text))))
