@@ -7,7 +7,8 @@ smoothing.  On a tree, sum-product is exact: messages go up from the leaves and
 and give each element's content marginal.  Text whose element is content with a marginal of at least one
 half is the article.
 
-Messages are passed for all pages of a batch at once, level by level.
+Messages are passed for some megabytes of pages at once, level by level.  Time is linear in a page's length, however
+deep its elements are nested.
 
 Edge cases: a null page counts as empty and has an empty text; markup that is never closed ends where an element
 around it or the page ends; what is not shown (scripts, styles, templates, head, comments, form controls) is
@@ -18,7 +19,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -26,16 +28,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from siltstone.llm.common import pick, small_batches
+from siltstone.llm.common import pick, shared
 from siltstone.llm.html_pages import page
 
 #: Elements without content, without an end tag, and those whose content is not markup.  Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 #: Elements of which nothing is shown as text of the page.  Fixed values.
-HIDDEN = frozenset("script style template head title noscript textarea select option button iframe svg math object audio video canvas".split())
+HIDDEN = frozenset("script style template head title noscript textarea select option button iframe svg object audio video canvas annotation annotation-xml".split())
 #: Elements that stay within a block.  Fixed values.
 INLINE = frozenset(
+    "math semantics mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mtable mtr mtd "
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split()
 )
 #: Open elements that the start of another ends, and where the search for them stops.  Fixed values.
@@ -50,6 +53,7 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
+_CLOSES = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE) for tag in RAW}
 
 
 class Dom:
@@ -74,13 +78,13 @@ class Dom:
         """Parse a page; the number of its root, an element of its own that stands above all others."""
         markup = markup or ""
         root = self._element("#page", "", -1)
-        stack, block, at, end = [root], 0, 0, len(markup)
-        shown, texts, tags = 0, self.texts, self.tags  # shown: hidden elements that are open
+        stack, block, at, end = _Open(self.tags, root), 0, 0, len(markup)
+        texts = self.texts
         while at < end:
             token = _TOKEN.search(markup, at)
             start = token.start() if token else end
-            if start > at and not shown:
-                texts.append((stack[-1], block, markup[at:start]))
+            if start > at and not stack.hidden:
+                texts.append((stack.top, block, markup[at:start]))
             if not token:
                 break
             at = token.end()
@@ -91,40 +95,88 @@ class Dom:
             if token[1]:
                 if tag not in INLINE:
                     block += 1
-                for i in range(len(stack) - 1, 0, -1):
-                    if tags[stack[i]] == tag:
-                        shown -= sum(tags[e] in HIDDEN for e in stack[i:])
-                        del stack[i:]
-                        break
+                stack.close(tag)
                 continue
             if tag not in INLINE:
                 block += 1
-                ended = ENDS.get(tag)
-                if ended:
-                    for i in range(len(stack) - 1, 0, -1):
-                        open_tag = tags[stack[i]]
-                        if open_tag in ended:
-                            shown -= sum(tags[e] in HIDDEN for e in stack[i:])
-                            del stack[i:]
-                        elif open_tag in SCOPES:
-                            break
-            elif tag == "br" and not shown:
-                texts.append((stack[-1], block, " "))
+                stack.end_implied(ENDS.get(tag, ()))
+            elif tag == "br" and not stack.hidden:
+                texts.append((stack.top, block, " "))
             if tag in VOID:
                 continue
             attributes = token[3]
             names = " ".join(filter(None, (x for m in _NAMES.findall(attributes) for x in m))).lower() if "=" in attributes else ""
-            element = self._element(tag, names, stack[-1])
+            element = self._element(tag, names, stack.top)
             if tag in RAW and not attributes.endswith("/"):
-                close = re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(markup, at)
+                close = _CLOSES[tag].search(markup, at)
                 at = close.end() if close else end
                 continue
             if attributes.endswith("/") and tag in HIDDEN:
                 continue
-            stack.append(element)
-            shown += tag in HIDDEN
+            stack.push(element)
         return root
 
+    def levels(self) -> list[np.ndarray]:
+        """The elements of each depth, from the roots on."""
+        depths = np.array(self.depths)
+        order = np.argsort(depths, kind="stable")
+        return np.split(order, np.searchsorted(depths[order], np.arange(1, depths.max(initial=0) + 1)))
+
+
+class _Open:
+    """The elements that are open, with counts by tag, so that a search for one that is not there takes no steps.
+
+    ``within`` counts the elements above the uppermost scope, and for each scope below those between it and the next.
+    """
+
+    def __init__(self, tags: list[str], root: int):
+        self.tags, self.stack, self.top, self.hidden = tags, [root], root, 0
+        self.whole: Counter[str] = Counter()
+        self.within: list[Counter[str]] = [Counter()]
+        self.scopes: list[str] = []
+
+    def push(self, element: int) -> None:
+        tag = self.tags[element]
+        self.stack.append(element)
+        self.top = element
+        self.whole[tag] += 1
+        self.hidden += tag in HIDDEN
+        if tag in SCOPES:
+            self.within.append(Counter())
+            self.scopes.append(tag)
+        else:
+            self.within[-1][tag] += 1
+
+    def pop(self) -> str:
+        tag = self.tags[self.stack.pop()]
+        self.top = self.stack[-1]
+        self.whole[tag] -= 1
+        self.hidden -= tag in HIDDEN
+        if tag in SCOPES:
+            self.within.pop()
+            self.scopes.pop()
+        else:
+            self.within[-1][tag] -= 1
+        return tag
+
+    def close(self, tag: str) -> None:
+        """End the uppermost element of the tag, and all above it, if there is one."""
+        if self.whole[tag]:
+            while self.pop() != tag:
+                pass
+
+    def end_implied(self, ended: tuple[str, ...]) -> None:
+        """End the elements of these tags, and all above them, down to the first scope that is none of them."""
+        while ended:
+            here = sum(self.within[-1][t] for t in ended)
+            while here:
+                here -= self.pop() in ended
+            if not self.scopes or self.scopes[-1] not in ended:
+                return
+            within = len(self.within)
+            while len(self.within) == within:
+                self.pop()
+
 
 def _length_bucket(n: np.ndarray) -> np.ndarray:
     return np.minimum(7, np.log2(n + 1) / 1.5).astype(int)
@@ -143,7 +195,7 @@ class Model:
 def _observed(dom: Dom, words: dict[str, int], grow: bool) -> tuple[np.ndarray, np.ndarray]:
     """(element, number of what is seen of it) for all that is seen; grow: words not met before get a number."""
     n = len(dom.tags)
-    parents, depths = np.array(dom.parents), np.array(dom.depths)
+    parents = np.array(dom.parents)
     length, linked = np.zeros(n), np.zeros(n)
     in_link = np.zeros(n, dtype=bool)
     for i, (tag, parent) in enumerate(zip(dom.tags, dom.parents)):
@@ -153,8 +205,7 @@ def _observed(dom: Dom, words: dict[str, int], grow: bool) -> tuple[np.ndarray,
         sizes = np.array([len(t) for _, _, t in dom.texts])
         np.add.at(length, of, sizes)
         np.add.at(linked, of[in_link[of]], sizes[in_link[of]])
-    for level in range(depths.max(initial=0), 0, -1):
-        at = (depths == level).nonzero()[0]
+    for at in reversed(dom.levels()[1:]):
         np.add.at(length, parents[at], length[at])
         np.add.at(linked, parents[at], linked[at])
     share = np.where(length > 0, np.ceil(4 * linked / np.maximum(length, 1)), 5).astype(int)
@@ -215,7 +266,7 @@ def marginals(dom: Dom, model: Model) -> np.ndarray:
     np.add.at(own, who, model.emissions[what])
     own[depths == 0] = (0.0, -50.0)  # what stands above a page is not content
     moves = model.transitions[kinds]
-    levels = [(depths == level).nonzero()[0] for level in range(depths.max(initial=0) + 1)]
+    levels = dom.levels()
     up = np.zeros((n, 2))  # message from an element to its parent, by the parent's label
     gathered = own.copy()
     for at in reversed(levels[1:]):
@@ -272,17 +323,28 @@ def extract_pages(pages: list[str | None], model: Model, least: float = 0.5) ->
     return ["\n".join(b) for b in blocks]
 
 
+def page_groups(pages: Iterable[str | None], chars: int = 4_000_000) -> Iterator[list[str | None]]:
+    """Pages in groups of about so many characters, which are handled at once."""
+    group, held = [], 0
+    for page in pages:
+        group.append(page)
+        held += len(page or "")
+        if held >= chars:
+            yield group
+            group, held = [], 0
+    yield group
+
+
 def extract(
     pages: DataFrame, model: Model | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
     """(id_col, url_col, text, n_chars) for every row of pages."""
-    model = model or trained()
+    told = shared(model or trained())
 
     @F.pandas_udf("string")
     def extracted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for markup in batches:
-            yield pd.Series(extract_pages([None if m is None else m for m in markup], model), dtype=object)
+            yield pd.Series([text for group in page_groups(markup) for text in extract_pages(group, told.value)], dtype=object)
 
-    small_batches(pages.sparkSession, 256)
     out = pick(pages, id_col, url_col, html_col).select(id_col, url_col, extracted(F.col(html_col)).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

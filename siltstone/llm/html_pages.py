@@ -50,14 +50,32 @@ class Page:
     def leaf(self, tag: str, content: int, least: int = 1, most: int = 120, name: str = "") -> None:
         self.open(tag, name, content)
         self.html.append(self.words(least, most))
-        for inline in ("b", "i", "a", "em", "span"):
+        for inline in ("b", "i", "a", "em", "span", "strong", "code", "sup", "cite"):
             if tag != "title" and self.rng.random() < 0.06:
                 self.open(inline, "", content)
                 self.html.append(self.words(1, 4))
                 self.close(inline)
+        if content and tag == "p" and self.rng.random() < 0.04:
+            self.formula()
         self.html.append(self.rng.choice((".", "", "!")))
         self.close(tag)
 
+    def formula(self) -> None:
+        for tag in ("math", "mrow"):
+            self.open(tag, "", 1)
+        for tag in self.rng.choices(("mi", "mo", "mn", "msup", "mfrac", "msqrt", "mtext"), k=self.rng.randint(1, 6)):
+            self.open(tag, "", 1)
+            if tag in ("msup", "mfrac", "msqrt"):
+                for inner in ("mi", "mn"):
+                    self.open(inner, "", 1)
+                    self.html.append(self.rng.choice("xyz0123"))
+                    self.close(inner)
+            else:
+                self.html.append(self.rng.choice("abxyz0123+="))
+            self.close(tag)
+        for tag in ("mrow", "math"):
+            self.close(tag)
+
     def links(self, content: int, item: str | None) -> None:
         for _ in range(self.rng.randint(1, 9)):
             if item:
