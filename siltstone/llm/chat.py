@@ -9,8 +9,10 @@ smallest id stays.  What is left is maximal, and is rendered.
 Numbers and hashes are prefix sums, which are made without a conversation's rows in one task: rows are
 range-partitioned by (conversation, turn), summed within a partition, and lifted by the totals of earlier
 partitions.  Both sides of the anti-join are aggregated to one row a hash first, so a prefix that
-many conversations share is one row.  A rendered conversation comes in parts of ``PART_TURNS`` turns,
-so that no row gathers more than that; one of at most that many turns is part 0 alone.
+many conversations share is one row.  Joins that bring a conversation's numbers back to its turns go by partition and
+conversation together, so the turns of a very long one stay spread.  A rendered conversation comes in parts of
+``part_turns`` turns, so that no row gathers more than that; one of at most that many turns is part 0
+alone.  With ``part_turns`` None every conversation is one row, whatever its length, and has to fit into one.
 
 Edge cases: rows without conversation id take no part; repeated rows count once; rows of one turn
 number are ordered by role, then by a hash of their text; a null turn comes first; a null role is rendered
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siltstone.llm.common import cut, pick
 
-#: Turns in a row of rendered text.
+#: Turns in a row of rendered text, unless the caller says otherwise.
 PART_TURNS = 256
 #: Marks of a rendered turn: fixed values.
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
@@ -43,7 +45,7 @@ def _own(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col
 
 
 def numbered(own: DataFrame) -> DataFrame:
-    """(conv, turn, role, t1, t2, n, h1, h2): each turn's number from 1 and the hashes of the prefix that it ends."""
+    """(part, conv, turn, role, t1, t2, n, turns, h1, h2): each turn's number from 1, how many its conversation has, and the hashes of the prefix that it ends."""
     order = ["turn", "role", "t1", "t2"]
     distinct = own.select("conv", *order).distinct()
     ranged = distinct.repartitionByRange("conv", *order).withColumn("part", F.spark_partition_id())
@@ -52,7 +54,7 @@ def numbered(own: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         rows.groupBy("part", "conv").agg(F.count("*").alias("rows"))
-        .withColumn("start", F.coalesce(F.sum("rows").over(earlier), F.lit(0))).drop("rows")
+        .withColumns({"start": F.coalesce(F.sum("rows").over(earlier), F.lit(0)), "turns": F.sum("rows").over(Window.partitionBy("conv"))}).drop("rows")
     )
     g1, g2 = _hashes(("c", "d"), F.col("n"), F.col("t1"), F.col("t2"))
     placed = rows.join(starts, ["part", "conv"]).withColumn("n", F.col("n") + F.col("start")).drop("start").withColumns({"g1": g1, "g2": g2})
@@ -62,30 +64,27 @@ def numbered(own: DataFrame) -> DataFrame:
     rolled = Window.partitionBy("part", "conv").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     local = placed.withColumns({"h1": F.bit_xor("g1").over(rolled), "h2": F.bit_xor("g2").over(rolled)})
     return local.join(lifts, ["part", "conv"]).select(
-        "conv", *order, "n", F.col("h1").bitwiseXOR(F.col("y1")).alias("h1"), F.col("h2").bitwiseXOR(F.col("y2")).alias("h2")
+        "part", "conv", *order, "n", "turns", F.col("h1").bitwiseXOR(F.col("y1")).alias("h1"), F.col("h2").bitwiseXOR(F.col("y2")).alias("h2")
     )
 
 
 def maximal(prefixes: DataFrame) -> DataFrame:
     """(conv, turns): conversations that are no other's prefix, and of equal ones the first."""
-    lengths = prefixes.groupBy("conv").agg(F.max("n").alias("turns"))
-    whole = prefixes.join(lengths.withColumnRenamed("conv", "c"), (F.col("conv") == F.col("c")) & (F.col("n") == F.col("turns")))
-    unique = whole.groupBy("turns", "h1", "h2").agg(F.min("conv").alias("conv"))
+    unique = prefixes.filter("n = turns").groupBy("turns", "h1", "h2").agg(F.min("conv").alias("conv"))
     # a prefix that is shorter than its conversation: one that a next turn follows
-    shorter = prefixes.join(lengths.withColumnRenamed("conv", "c"), F.col("conv") == F.col("c")).filter(F.col("n") < F.col("turns"))
-    shorter = shorter.groupBy(F.col("n").alias("turns"), "h1", "h2").agg(F.count("*").alias("held"))
+    shorter = prefixes.filter("n < turns").groupBy(F.col("n").alias("turns"), "h1", "h2").agg(F.count("*").alias("held"))
     return unique.join(shorter, ["turns", "h1", "h2"], "left_anti").select("conv", "turns")
 
 
 def render(
-    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
+    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part_turns: int | None = PART_TURNS
 ) -> DataFrame:
-    """(conv_col, part, n_turns, rendered): every maximal conversation as text, in parts of PART_TURNS turns."""
+    """(conv_col, part, n_turns, rendered): every maximal conversation as text, in parts of part_turns turns."""
     own = _own(turns, conv_col, turn_col, role_col, text_col)
     prefixes = cut(numbered(own))
-    kept = maximal(prefixes).withColumnRenamed("conv", "c")
-    placed = prefixes.join(kept, F.col("conv") == F.col("c")).select(
-        "c", "turns", "n", F.col("turn").alias("u"), F.col("role").alias("r"), F.col("t1").alias("k1"), F.col("t2").alias("k2")
+    held = prefixes.select("part", "conv").distinct().join(maximal(prefixes).select("conv"), "conv")
+    placed = prefixes.join(held, ["part", "conv"]).select(
+        F.col("conv").alias("c"), "turns", "n", F.col("turn").alias("u"), F.col("role").alias("r"), F.col("t1").alias("k1"), F.col("t2").alias("k2")
     )
     met = own.join(
         placed,
@@ -93,7 +92,8 @@ def render(
         & (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2")),
     )
     turn = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("unknown")), F.lit(MIDDLE), F.coalesce("text", F.lit("")), F.lit(CLOSE))
-    parts = met.groupBy("conv", F.floor((F.col("n") - 1) / PART_TURNS).cast("int").alias("part")).agg(
+    part = F.floor((F.col("n") - 1) / part_turns).cast("int") if part_turns else F.lit(0)
+    parts = met.groupBy("conv", part.alias("part")).agg(
         F.first("turns").alias("n_turns"), F.sort_array(F.collect_set(F.struct("n", turn.alias("turn")))).alias("own")
     )
     return parts.select(F.col("conv").alias(conv_col), "part", F.col("n_turns").cast("long"), F.array_join(F.col("own.turn"), "").alias("rendered"))
