@@ -30,10 +30,12 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siltstone.llm.common import ByPlace, cut, key_of, pick, small_batches
+from siltstone.llm.common import ByPlace, cut, key_of, pick
 
 #: Fingerprints in a tile, about.
 TILE = 2048
+#: Parts that the members of one component are dealt to where its root's row has to reach them.
+SALTS = 32
 #: Base of the digits that a class of bit counts is numbered by; counts go from 0 to 16.
 BASE = 64
 
@@ -154,7 +156,6 @@ def forest(nodes: DataFrame, steps: list[int], rule: Rule, tile: int = TILE) ->
     nodes has k, the number of a member's class, and record, its row of a tile.  steps are the
     differences of class numbers that may hold links; all else is skipped.
     """
-    spark = nodes.sparkSession
     classes = nodes.groupBy("k").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
     tiles = cut(
         nodes.join(F.broadcast(classes), "k")
@@ -183,10 +184,27 @@ def forest(nodes: DataFrame, steps: list[int], rule: Rule, tile: int = TILE) ->
                 found += tile_links(a, a if same else np.asarray(b, dtype=np.int64).reshape(-1, width), rule)
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    small_batches(spark, 64)
     return met.select("left", "right", "width", itself.alias("itself")).mapInPandas(compare, "a long, b long")
 
 
+def to_members(members: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """members (node, root, ...) with what roots, one row for each root of several members, knows of theirs.
+
+    A component may hold a large part of all nodes, so its members are dealt to SALTS parts and its root goes to each.
+    """
+    spread = roots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return members.withColumn("salt", F.pmod(F.xxhash64(node), F.lit(SALTS)).cast("int")).join(spread, ["root", "salt"]).drop("salt")
+
+
+def named(reps: DataFrame, rooted: DataFrame, node: str, least: Column) -> DataFrame:
+    """(node, named): for every row of reps, known by node, the smallest of its component, or its own if rooted lacks it."""
+    placed = reps.select(node, least.alias("own")).join(rooted.withColumnRenamed("node", node), node, "left")
+    grouped = placed.filter("root IS NOT NULL")
+    smallest = grouped.groupBy("root").agg(F.min("own").alias("named"))
+    alone = placed.filter("root IS NULL").select(node, F.col("own").alias("named"))
+    return alone.unionByName(to_members(grouped.drop("own"), smallest, node).select(node, "named"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each component of edges (a, b), for every node that has an edge.
 
@@ -198,8 +216,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
         new = labels.withColumnRenamed("root", "old").join(heard, "node").select("node", "old", F.least("old", "heard").alias("root"))
-        above = labels.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        new = cut(new.join(above, "root").select("node", "old", F.least("root", "above").alias("root")))
+        above = labels.select(F.col("node").alias("root"), F.col("root").alias("above")).join(new.select("root").distinct(), "root", "left_semi")
+        new = cut(to_members(new, above, "node").select("node", "old", F.least("root", "above").alias("root")))
         labels = new.select("node", "root")
         if new.filter("root <> old").isEmpty():
             return labels
@@ -213,16 +231,12 @@ def near_duplicates(
     fingerprint is 16 lowercase hex digits; component_id the smallest id that is reachable over
     links of at most radius differing bits.
     """
-    small_batches(docs.sparkSession)
     own = cut(pick(docs, id_col, text_col).select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), shingle_words).alias("fp")))
     reps = own.groupBy("fp").agg(F.min("id").alias("rep"))
     nodes = reps.select(_class_of(F.col("fp")).alias("k"), F.array("fp", F.lit(0).cast("long"), "fp").alias("record"))
     rooted = components(forest(nodes, neighbour_steps(radius), Rule(radius)))
-    placed = reps.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = placed.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return own.join(named, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    return own.join(named(reps, rooted, "fp", F.col("rep")), "fp").select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("named").alias("component_id")
     )
 
 
@@ -303,7 +317,6 @@ def settle(members: DataFrame, tile: int = SET_TILE) -> DataFrame:
     members has root, a group of candidates, node, and record, as settled() takes it.  A group is
     dealt to tiles of about tile shingles, which are compared two by two.
     """
-    spark = members.sparkSession
     groups = members.groupBy("root").agg(F.ceil(F.sum(F.size("record")) / tile).cast("int").alias("parts"))
     dealt = members.join(groups, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     tiles = dealt.groupBy("root", "part").agg(F.first("parts").alias("parts"), F.collect_list("record").alias("tile"))
@@ -321,7 +334,6 @@ def settle(members: DataFrame, tile: int = SET_TILE) -> DataFrame:
                 found += settled(a, a if b is None else [np.asarray(m, dtype=np.int64) for m in b])
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    small_batches(spark, 64)
     return met.mapInPandas(compare, "a long, b long")
 
 
@@ -348,7 +360,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def hashes(texts: pd.Series) -> pd.Series:
         return pd.Series([np.sort(shingle_hashes(t, shingle_words).view(np.int64)) for t in texts], dtype=object)
 
-    small_batches(docs.sparkSession)
     texts = pick(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("text_key"))
     own = cut(texts.select("id", "text_key", taken(F.col("text")).alias("f")).select("id", "text_key", "f.*"))
     place = F.struct(F.col("id").isNull().alias("last"), "id", "text_key")
@@ -362,11 +373,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = texts.withColumn("key", key_of(F.col("id"))).join(asked, ["key", "text_key"])
     members = met.select("root", "node", F.concat(F.array("node"), "words", hashes(F.col("text"))).alias("record"))
     rooted = components(settle(cut(members)))
-    placed = reps.select("whole", "rep").join(rooted.withColumnRenamed("node", "whole"), "whole", "left").withColumn("root", F.coalesce("root", "whole"))
-    smallest = placed.groupBy("root").agg(F.min("rep").alias("least"))
-    named = placed.select("whole", "root").join(smallest, "root").select("whole", "least")
-    stays = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("text_key") == F.col("least.text_key"))
-    return own.join(named, "whole").select(F.col("id").alias(id_col), "text_key", F.col("least.id").alias("component_id"), stays.alias("stays"))
+    stays = F.col("id").eqNullSafe(F.col("named.id")) & (F.col("text_key") == F.col("named.text_key"))
+    return own.join(named(reps, rooted, "whole", F.col("rep")), "whole").select(
+        F.col("id").alias(id_col), "text_key", F.col("named.id").alias("component_id"), stays.alias("stays")
+    )
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
