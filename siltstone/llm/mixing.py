@@ -1,13 +1,14 @@
 """Mixing sources to target weights by systematic sampling.
 
 The expected copies of a document are its source's rate, target over size.  Documents of a source are
-put in order of size, the expected copies are summed from the first on, one random offset is added,
-and a document is taken once for each integer that the sum crosses with it.  In that order the
-words taken differ from the target by about the largest document at most.  ``DRAWS`` offsets are
-drawn for each source, and the one whose words come nearest to the target is used.
-
-The order is global, without a source's rows in one task: rows are range-partitioned by (source, size,
-id), numbered within a partition, and lifted by what earlier partitions hold of the source; that
+put in order, the expected copies are summed from the first on, one random offset is added, and a document is
+taken once for each integer that the sum crosses with it.  The order goes up in size with half of the
+documents, chosen by a hash of their id, and down again with the others: neighbours are alike in size, and
+both ends are small, so the words taken hardly depend on the offset.  They differ from the target
+by about the largest document at most.
+
+The order is global, without a source's rows in one task: rows are range-partitioned by the source and that
+order, numbered within a partition, and lifted by what earlier partitions hold of the source; that
 table has at most as many rows as there are partitions and sources together.  Both what is sorted and
 what is numbered are written to the checkpoint folder, so a lost executor cannot change an order.
 
@@ -25,8 +26,6 @@ from siltstone.llm.common import ByPlace, cut, key_of, pick
 #: Weights of the sources in order, repeating, and the most copies of a document: fixed values.
 WEIGHTS = (5, 2, 1)
 MOST = 3
-#: Random offsets that each source chooses from.
-DRAWS = 16
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -60,26 +59,25 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     )
 
 
-def offset(source: Column, seed: int, draw: int) -> Column:
-    """A multiple of 2**-20 from 0 up to 1 for each source and draw, from a hash."""
-    digest = F.sha2(F.concat(F.lit(f"{seed}:{draw}:"), F.coalesce(source, F.lit(""))).cast("binary"), 256)
+def offset(source: Column, seed: int) -> Column:
+    """A multiple of 2**-20 from 0 up to 1 for each source, from a hash."""
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(source, F.lit(""))).cast("binary"), 256)
     return F.conv(F.substring(digest, 1, 5), 16, 10).cast("double") / F.lit(float(2**20))
 
 
-def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17,
-    weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
-) -> DataFrame:
-    """(id_col, size, source_size, target, taken, copies) for every row of docs."""
-    sized = cut(
-        pick(docs, id_col, text_col, source_col).select(
-            F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
-        )
-    )
+def text_key(text: Column) -> Column:
+    """What tells rows of one id apart: a digest of the text, null for null."""
+    return F.sha2(text.cast("binary"), 256)
+
+
+def _mixed(own: DataFrame, tie: list[str], seed: int, weights: tuple[int, ...], most: int) -> DataFrame:
+    """own, rows of (id, source, size, ...), with source_size, target, taken and copies; rows alike in size and id go by the columns of tie."""
+    falls = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) >= "8"
+    sized = cut(own.withColumn("falls", falls).withColumn("rise", F.when(F.col("falls"), -F.col("size")).otherwise(F.col("size"))))
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    ranged = sized.repartitionByRange(F.col("source").asc_nulls_last(), "size", "id").withColumn("part", F.spark_partition_id())
-    within = Window.partitionBy("part", "source").orderBy("size", "id")
-    numbered = cut(ranged.withColumn("n", F.row_number().over(within)))
+    order = ["falls", "rise", "id", *tie]
+    ranged = sized.repartitionByRange(F.col("source").asc_nulls_last(), *order).withColumn("part", F.spark_partition_id())
+    numbered = cut(ranged.withColumn("n", F.row_number().over(Window.partitionBy("part", "source").orderBy(*order))))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         numbered.groupBy("part", "source").agg(F.count("*").alias("rows"))
@@ -90,34 +88,42 @@ def mix(
     )
     met = numbered.join(starts, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
     rate = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
-    place = F.col("start") + F.col("n")
-    copies = lambda shift: F.floor(rate * place + shift) - F.floor(rate * (place - 1) + shift)
-    words = [F.sum(copies(offset(F.col("source"), seed, d)) * F.col("size")).alias(f"words{d}") for d in range(DRAWS)]
-    errors = F.array(*[F.struct(F.abs(F.col(f"words{d}") - F.col("target")).alias("error"), F.lit(d).alias("draw")) for d in range(DRAWS)])
-    shifts = F.array(*[offset(F.col("source"), seed, d) for d in range(DRAWS)])
-    drawn = met.groupBy("source", "target").agg(*words).select(
-        F.col("source").alias("s"), F.element_at(shifts, F.array_min(errors)["draw"] + 1).alias("shift")
-    )
-    starts = starts.withColumnRenamed("s", "t").join(drawn, F.col("t").eqNullSafe(F.col("s"))).drop("t")
-    met = numbered.join(starts, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
-    taken = copies(F.col("shift"))
-    return met.select(
-        F.col("id").alias(id_col), "size", "source_size", "target",
-        (taken * F.col("size")).cast("long").alias("taken"), taken.cast("int").alias("copies"),
+    place, shift = F.col("start") + F.col("n"), offset(F.col("source"), seed)
+    copies = F.floor(rate * place + shift) - F.floor(rate * (place - 1) + shift)
+    return met.select(*own.columns, "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("int").alias("copies"))
+
+
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17,
+    weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
+) -> DataFrame:
+    """(id_col, size, source_size, target, taken, copies) for every row of docs."""
+    own = pick(docs, id_col, text_col, source_col).select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
     )
+    return _mixed(own, [], seed, weights, most).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "copies")
 
 
-def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs, all its columns, each row as often as the mix takes its id.
+def take(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17,
+    weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
+) -> DataFrame:
+    """docs, all its columns, each row as often as the mix takes it.
 
-    Ids that occur in several rows share their copies evenly, the first rows getting what is left over.
+    Rows are known by id, source and a digest of the text together, so which of several rows that share an id, or lack one,
+    are taken is the same on every run.  Rows alike in all three share their copies: one of them, any, is
+    repeated as often as they are taken together.
     """
     own = ByPlace(docs)
-    sums = mixed.groupBy(key_of(F.col(id_col)).alias("key")).agg(F.sum("copies").alias("wanted"), F.count("*").alias("rows"))
-    kept = own.df.withColumn("key", key_of(F.col(own.name(id_col)))).join(sums.filter("wanted > 0"), "key")
-    kept = kept.withColumn("number", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))))
-    each = F.floor(F.col("wanted") / F.col("rows")) + (F.col("number") <= F.col("wanted") % F.col("rows")).cast("long")
-    return own.back(kept.withColumn("copy", F.explode(F.array_repeat(F.lit(1), each.cast("int")))))
+    ids, sources, texts = (F.col(own.name(c)) for c in (id_col, source_col, text_col))
+    sizes = own.df.select(ids.alias("id"), sources.alias("source"), word_count(texts).alias("size"), text_key(texts).alias("text_key"))
+    taken = _mixed(sizes, ["text_key"], seed, weights, most).filter("copies > 0")
+    keys = ["key_id", "key_source", "key_text"]
+    by_key = lambda *columns: dict(zip(keys, map(key_of, columns)))
+    wanted = taken.withColumns(by_key(*map(F.col, ("id", "source", "text_key")))).groupBy(*keys).agg(F.sum("copies").alias("wanted"))
+    once = own.df.withColumns(by_key(ids, sources, text_key(texts))).groupBy(*keys).agg(F.first(F.struct(*own.df.columns)).alias("row"))
+    repeated = once.join(wanted, keys).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("wanted"))).alias("copy"))
+    return own.back(repeated.select("row.*"))
 
 
 SQL = r"""
@@ -138,22 +144,15 @@ WITH sized AS (
                 ELSE w * max(CASE WHEN 3 * source_size / CAST(w AS DOUBLE) >= level THEN level END) OVER () END AS target
     FROM levels
 ), placed AS (
-    SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS FIRST) AS place FROM sized
+    SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY falls, CASE WHEN falls THEN -size ELSE size END, doc_id NULLS FIRST) AS place
+    FROM (SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), '')) >= '8' AS falls FROM sized)
 ), rated AS (
     SELECT p.*, g.source_size, g.target,
-           CASE WHEN g.source_size = 0 THEN 0.0::DOUBLE ELSE g.target / CAST(g.source_size AS DOUBLE) END AS rate
+           CASE WHEN g.source_size = 0 THEN 0.0::DOUBLE ELSE g.target / CAST(g.source_size AS DOUBLE) END AS rate,
+           CAST(CAST(concat('0x', substr(sha256(concat('17:', coalesce(p.source, ''))), 1, 5)) AS UBIGINT) AS DOUBLE) / 1048576.0::DOUBLE AS shift
     FROM placed p JOIN goal g ON p.source IS NOT DISTINCT FROM g.source
-), drawn AS (
-    SELECT source, draw, CAST(CAST(concat('0x', substr(sha256(concat('17:', draw, ':', coalesce(source, ''))), 1, 5)) AS UBIGINT) AS DOUBLE)
-           / 1048576.0::DOUBLE AS shift
-    FROM goal, range(16) d(draw)
-), best AS (
-    SELECT source, arg_min(shift, (error, draw)) AS shift
-    FROM (SELECT r.source, d.draw, d.shift, abs(CAST(sum((floor(rate * place + shift) - floor(rate * (place - 1) + shift)) * size) AS BIGINT) - any_value(r.target)) AS error
-          FROM rated r JOIN drawn d ON r.source IS NOT DISTINCT FROM d.source GROUP BY r.source, d.draw, d.shift)
-    GROUP BY source
 )
 SELECT doc_id, size, source_size, target,
        CAST((floor(rate * place + shift) - floor(rate * (place - 1) + shift)) * size AS BIGINT) AS taken
-FROM rated r JOIN best b ON r.source IS NOT DISTINCT FROM b.source
+FROM rated
 """
