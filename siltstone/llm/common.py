@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siltstone.functions.ordered import cut
 
-__all__ = ["ByPlace", "cut", "key_of", "pick", "shared", "small_batches"]
+__all__ = ["ByPlace", "cut", "key_of", "pick", "shared"]
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -46,11 +46,6 @@ def key_of(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, since a text may have any length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def shared(value) -> Broadcast:
     """A value whose size does not grow with the data, broadcast to the workers."""
     return SparkSession.active().sparkContext.broadcast(value)
