@@ -36,13 +36,12 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, so that sources have their target weights."""
-    return mixing.take(docs, mixing.mix(docs))
+    return mixing.take(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, ids, round_trip): every row's text as token ids, and whether they decode to the text."""
     own = bpe.codec(ranks_path())
-    bpe.small_batches(spark)
     encoded = pick(docs, "doc_id", "source", "text").withColumn("ids", bpe.encode_column(F.col("text"), own))
     same = bpe.decode_column(F.col("ids"), own) == F.coalesce("text", F.lit("")).cast("binary")
     return encoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
