@@ -29,8 +29,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def running(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], sums: Sequence[str] = ()) -> DataFrame:
-    """df with ``number``, from 1 in each group, and ``before_<column>``, the sum of a column over the group's earlier rows."""
-    ranged = df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
+    """df with ``number``, from 1 in each group, and ``before_<column>``, the sum of a column over the group's earlier rows.
+
+    What is ranged is read twice, once for the bounds of the ranges, so it is written first: its counts are made once.
+    """
+    ranged = cut(df).repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
     here = Window.partitionBy("_part", *by).orderBy(*order)
     past = here.rowsBetween(Window.unboundedPreceding, -1)
     columns = {"number": F.row_number().over(here).cast("long")}
@@ -45,3 +48,17 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], sum
         same &= F.col(c).eqNullSafe(F.col(f"_b_{c}"))
     lifted = {"number": F.col("number") + F.col("_ln")} | {f"before_{c}": F.col(f"before_{c}") + F.col(f"_l_{c}") for c in sums}
     return local.join(lifts, same).withColumns(lifted).select(*df.columns, *lifted)
+
+
+def running_max(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], value: str) -> DataFrame:
+    """df with ``before``, the largest value among the group's earlier rows; null for the first."""
+    ranged = cut(df).repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
+    past = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = cut(ranged.withColumn("before", F.max(value).over(past)))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    tops = local.groupBy("_part", *by).agg(F.max(value).alias("_top"))
+    lifts = tops.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_b_{c}") for c in by], F.max("_top").over(earlier).alias("_lift"))
+    same = F.col("_part") == F.col("_p")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    return local.join(lifts, same).withColumn("before", F.greatest("before", "_lift")).select(*df.columns, "before")

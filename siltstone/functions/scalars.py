@@ -4,27 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from siltstone.functions.text import sha, strip
+from siltstone.functions.text import casefolded, sha, strip
 
 
-def conversation_id(*fields: Column) -> Column:
-    """A stable id of up to twenty digits of the digest of the fields, joined by a unit separator."""
-    return F.concat(F.lit("rsft-"), F.substring(sha(F.concat_ws("\x1f", *fields)), 1, 20))
+def conversation_id(prefix: str, *fields: Column) -> Column:
+    """A stable id: a prefix and twenty digits of the digest of the fields, joined by a unit separator."""
+    return F.concat(F.lit(prefix), F.substring(sha(F.concat_ws("\x1f", *fields)), 1, 20))
 
 
-def seed_of(label: Column) -> Column:
-    """The first eight bytes of a label's digest, read little-endian, DECIMAL(20,0)."""
-    digest = sha(label)
+def seed_of(base: int, label: Column) -> Column:
+    """The first eight bytes of the digest of base seed and label, read little-endian, DECIMAL(20,0)."""
+    digest = sha(F.concat(F.lit(f"{base}:"), label))
     turned = F.concat(*[F.substring(digest, i, 2) for i in range(15, 0, -2)])
     return F.conv(turned, 16, 10).cast("decimal(20,0)")
 
 
 def quantity(text: Column) -> Column:
-    """"100M" as 100000000: a number with K, M, B or T behind it, null for anything else."""
-    number = F.try_to_number(F.nullif(F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)?)\s*([KkMmBbTt]?)\s*$", 1), F.lit("")), F.lit("999999999999999.999999"))
-    unit = F.upper(F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)?)\s*([KkMmBbTt]?)\s*$", 2))
+    """"1,000" as 1000 and "1.5K" as 1500: digits, parted by commas, underscores or blanks, with K, M, B or T behind; null for anything that is no positive whole number."""
+    compact = F.regexp_replace(strip(text), "[_, ]", "")
+    form = r"^\+?(\d+\.?\d*|\.\d+)([KkMmBbTt]?)$"
+    number = F.nullif(F.regexp_extract(compact, form, 1), F.lit("")).try_cast("decimal(25,12)")
+    unit = F.upper(F.regexp_extract(compact, form, 2))
     factor = F.when(unit == "K", 10**3).when(unit == "M", 10**6).when(unit == "B", 10**9).when(unit == "T", 10**12).otherwise(1).cast("decimal(15,0)")
-    return (number * factor).cast("long")
+    amount = number * factor
+    return F.when((amount > 0) & (amount == F.floor(amount)), amount).try_cast("long")
 
 
 def slug(text: Column) -> Column:
@@ -79,16 +82,36 @@ def control_tokens(tokens: Column, marks: list[str]) -> dict[str, Column]:
     return {f"n_{i}": c for i, c in enumerate(counts)} | {f"at_{i}": p for i, p in enumerate(places)} | {"in_order": good}
 
 
-def rule_checks(text: Column, required: list[str], forbidden: list[str], most_words: int) -> dict[str, Column]:
-    """Whether a text holds all that is required, none that is forbidden, few enough words, and anything."""
-    low = F.lower(text)
-    need, ban = F.lit(True), F.lit(True)
-    for r in required:
-        need &= F.contains(low, F.lit(r.lower()))
-    for f in forbidden:
-        ban &= ~F.contains(low, F.lit(f.lower()))
-    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
-    return {"required": need, "forbidden": ban, "short": words <= most_words, "non_empty": strip(text) != ""}
+def rule_checks(
+    text: Column, exact: str | None = None, required: tuple[str, ...] = (), forbidden: tuple[str, ...] = (), regex: str | None = None, most_tokens: int | None = None,
+    tokens: Column | None = None, most_words: int | None = None, suffix: str | None = None, ended: Column | None = None,
+) -> dict[str, Column]:
+    """The checks that a case asks for, and those that every response has to pass; ``passed`` is whether all hold.
+
+    A response is compared without the white space at its ends, and but for ``exact`` and ``regex`` whatever its case.
+    """
+    bare = strip(text)
+    low = casefolded(bare)
+    checks: dict[str, Column] = {}
+    if exact is not None:
+        checks["exact"] = bare == exact
+    checks |= {f"required_{i}": F.contains(low, F.lit(r.casefold())) for i, r in enumerate(required)}
+    checks |= {f"forbidden_{i}": ~F.contains(low, F.lit(f.casefold())) for i, f in enumerate(forbidden)}
+    if regex is not None:
+        checks["regex"] = F.rlike(bare, F.lit(regex))
+    if most_tokens is not None and tokens is not None:
+        checks["maximum_response_tokens"] = tokens <= most_tokens
+    if most_words is not None:
+        checks["maximum_words"] = F.regexp_count(bare, F.lit(rf"(?U)[^\s\x1C-\x1F]+")) <= most_words
+    if suffix is not None:
+        checks["required_suffix"] = F.endswith(low, F.lit(suffix.casefold()))
+    if ended is not None:
+        checks["eos"] = ended
+    checks |= {"no_role_leak": ~has_role_leak(bare), "non_empty": bare != ""}
+    passed = F.lit(True)
+    for check in checks.values():
+        passed &= check
+    return checks | {"passed": passed}
 
 
 def nucleus(probabilities: Column, mass: float) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, functions as F
 
-#: Version that is hashed with every train/validation draw: a fixed value.
-SPLIT_VERSION = "small-llm-train-validation-v1"
 #: Marks of reasoning text: fixed values.
 THINK, THINK_END, ANSWER = "<think>", "</think>", "<answer>"
 
@@ -15,13 +15,60 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+#: White space, as a class of the JVM's patterns: the Unicode property and the four separators below the blank.
+BLANK = r"[\s\x1C-\x1F]"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"^(?U)\s+", ""), r"(?U)\s+$", "")
+    return F.regexp_replace(F.regexp_replace(text, rf"^(?U){BLANK}+", ""), rf"(?U){BLANK}+$", "")
+
+
+@lru_cache(maxsize=1)
+def _foldings() -> tuple[str, str, list[tuple[str, str]]]:
+    """What full case folding does beyond lower case: characters and those they become, and characters that become several."""
+    changed = {c: c.casefold() for c in map(chr, range(0x20000)) if c.lower() == c != c.casefold()}
+    single = {c: f for c, f in changed.items() if len(f) == 1}
+    return "".join(single), "".join(single.values()), [(c, f) for c, f in changed.items() if len(f) > 1]
+
+
+def casefolded(text: Column) -> Column:
+    """Full Unicode case folding.  Sharp s is common, so it has a step of its own; texts with another character that becomes several are few."""
+    singles, folds, several = _foldings()
+    low = F.replace(F.translate(F.lower(text), singles, folds), F.lit("ß"), F.lit("ss"))
+    whole = low
+    for char, fold in several:
+        if char != "ß":
+            whole = F.replace(whole, F.lit(char), F.lit(fold))
+    return F.when(F.rlike(low, F.lit(f"[{''.join(c for c, _ in several)}]")), whole).otherwise(low)
+
+
+def collapsed(text: Column) -> Column:
+    """White space as one blank, none at the ends."""
+    return F.trim(F.regexp_replace(text, rf"(?U){BLANK}+", " "))
 
 
 def folded(text: Column) -> Column:
-    """White space collapsed to one blank, trimmed, lower case with sharp s as ss."""
-    return F.replace(F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " "))), F.lit("ß"), F.lit("ss"))
+    return casefolded(collapsed(text))
+
+
+def bare_lines(text: Column) -> Column:
+    """A text without white space at its ends and those of its lines, which end in a line feed."""
+    ends = r"[ \t\x1F\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000]*(?:\r\n|[\n\r\x0B\x0C\x1C-\x1E\u0085\u2028\u2029])"
+    return F.regexp_replace(strip(text), ends, "\n")
+
+
+def json_string(text: Column) -> Column:
+    """A text as a JSON string of ASCII characters alone."""
+    code = lambda c: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(c)), 4, "0"))
+
+    def escaped(c: Column) -> Column:
+        n = F.ascii(c).cast("long")
+        pair = F.concat(code(F.floor((n - 0x10000) / 0x400) + 0xD800), code((n - 0x10000) % 0x400 + 0xDC00))
+        named = F.when(c == "\n", "\\n").when(c == "\r", "\\r").when(c == "\t", "\\t").when(c == "\b", "\\b").when(c == "\f", "\\f")
+        return F.when(c.isin('"', "\\"), F.concat(F.lit("\\"), c)).when(n.between(32, 126), c).when(named.isNotNull(), named).when(n < 0x10000, code(n)).otherwise(pair)
+
+    whole = F.array_join(F.transform(F.split(text, ""), escaped), "")
+    return F.concat(F.lit('"'), F.when(F.rlike(text, F.lit(r'[^ !#-\[\]-~]')), whole).otherwise(text), F.lit('"'))
 
 
 def sha(text: Column) -> Column:
@@ -42,14 +89,14 @@ def _component(text: Column) -> Column:
     return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(raw)), 16, "0")), raw)
 
 
-def is_validation(seed: str, revision: str, filename: Column, record_start: Column, probability: float) -> Column:
-    """Whether a record belongs to the validation split, by its identity alone."""
+def is_validation(version: str, seed: str, revision: str, filename: Column, record_start: Column, probability: float) -> Column:
+    """Whether a record belongs to the validation split, by its identity alone; version names the rule and is hashed with it."""
     if probability <= 0:
         return F.lit(False)
     if probability >= 1:
         return F.lit(True)
     start = F.unhex(F.lpad(F.hex(record_start), 16, "0"))
-    identity = F.concat(*(_component(c) for c in (F.lit(SPLIT_VERSION), F.lit(seed), F.lit(revision), filename)), start)
+    identity = F.concat(*(_component(c) for c in (F.lit(version), F.lit(seed), F.lit(revision), filename)), start)
     return first_64_bits(F.sha2(identity, 256)) < F.lit(int(probability * 2**64)).cast("decimal(20,0)")
 
 
@@ -83,3 +130,29 @@ def trigram_repetition(items: Column) -> Column:
     n = F.size(items) - 2
     grams = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat_ws("\x1f", F.slice(items, i, 3)))
     return F.when(n < 1, 0.0).otherwise(1 - F.size(F.array_distinct(grams)) / n)
+
+
+def canonical_json(values: dict[str, Column]) -> Column:
+    """An object of values that are JSON already, its keys in order, without blanks."""
+    parts = [F.concat(F.lit(f'"{key}":'), value) for key, value in sorted(values.items())]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def json_list(answer: Column) -> Column:
+    """A JSON list out of an answer that may be fenced as code; null where there is none."""
+    bare = strip(answer)
+    fenced = F.startswith(bare, F.lit("```")) & F.endswith(bare, F.lit("```")) & (F.length(bare) >= 6)
+    inner = strip(F.regexp_replace(F.regexp_replace(bare, "^```(?:json)?", ""), "```$", ""))
+    clean = F.when(fenced, inner).otherwise(bare)
+    return F.when(F.startswith(F.schema_of_variant(F.try_parse_json(clean)), F.lit("ARRAY")), clean)
+
+
+def snippet(text: Column, start: Column, end: Column, before: int = 120, after: int = 80) -> Column:
+    """The span from start to end, widened to whole words, in brackets, with so many characters around it; dots where the text goes on."""
+    word = r"[\p{L}\p{N}_'’]*"
+    a = start - F.length(F.regexp_extract(F.substr(text, F.lit(1), start), f"{word}$", 0))
+    b = end + F.length(F.regexp_extract(F.substr(text, end + 1), f"^{word}", 0))
+    first, last = F.greatest(F.lit(0), a - before), F.least(F.length(text), b + after)
+    part = lambda i, j: F.substr(text, i + 1, j - i)
+    shown = collapsed(F.concat(part(first, a), F.lit("["), part(a, b), F.lit("]"), part(b, last)))
+    return F.concat(F.when(first > 0, "...").otherwise(""), shown, F.when(last < F.length(text), "...").otherwise(""))

@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siltstone.functions.ordered import running
+
 LN2 = math.log(2.0)
 
 
@@ -55,26 +57,32 @@ def mcnemar(wins: Column, losses: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)))
 
 
-def bootstrap(units: DataFrame, numerator: str, denominator: str, rounds: int, seed: int) -> DataFrame:
-    """(low, high): the nearest-rank 95 % interval of sum(numerator) / sum(denominator) over resampled units.
+def bootstrap(units: DataFrame, unit: str, numerator: str, denominator: str, rounds: int, seed: int) -> DataFrame:
+    """(low, high): the nearest-rank 95 % interval of sum(numerator) / sum(denominator) over units drawn again.
 
-    Each unit gets a Poisson(1) count a round from a hash of its id, which is what drawing units with
-    replacement tends to; sums are partial before they are shuffled.
+    Every round draws as many units as there are, with replacement: the place of a draw is a hash of seed, round
+    and draw, modulo their number.  Draws meet the units on that place, so neither side is gathered; what is, in
+    the end, is one ratio a round.
     """
-    draw = F.pmod(F.xxhash64("unit", F.col("round"), F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
-    count, total, bars = F.lit(0), 0.0, []
-    for k in range(8):
-        total += math.exp(-1) / math.factorial(k)
-        bars.append(total)
-    for bar in bars:
-        count = count + (draw >= bar).cast("int")
-    each = units.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("times", count)
-    ratios = each.groupBy("round").agg((F.sum(F.col("times") * F.col(numerator)) / F.sum(F.col("times") * F.col(denominator))).alias("ratio"))
+    numbered = running(units.select(unit, numerator, denominator), [], [unit]).withColumn("place", F.col("number") - 1)
+    size = numbered.agg(F.count("*").alias("m"))
+    draws = numbered.select(F.col("place").alias("draw")).crossJoin(F.broadcast(size)).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("round"), F.lit(":"), F.col("draw")).cast("binary"))
+    draws = draws.select("round", (F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % F.col("m")).alias("place"))
+    ratios = draws.join(numbered, "place").groupBy("round").agg((F.sum(numerator) / F.sum(denominator)).alias("ratio"))
     ordered = ratios.agg(F.sort_array(F.collect_list("ratio")).alias("r"))
     place = lambda q: F.get(F.col("r"), F.least(F.bround(F.lit(q) * (F.size("r") - 1)).cast("int"), F.size("r") - 1))
     return ordered.select(place(0.025).alias("low"), place(0.975).alias("high"))
 
 
+def medians(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, median): the middle value of each group, or the mean of the two, found by their places in a spread order."""
+    placed = running(rows.select(by, value), [by], [value])
+    sizes = placed.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n"))
+    middle = placed.join(sizes, F.col(by).eqNullSafe(F.col("_by"))).filter(F.col("number").between(F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1))
+    return middle.groupBy(by).agg(F.avg(F.col(value).cast("double")).alias("median"))
+
+
 def shares(rows: DataFrame, by: str, size: str) -> DataFrame:
     """(by, total, share): a group's part of everything."""
     totals = rows.groupBy(by).agg(F.sum(size).alias("total"))

@@ -6,34 +6,15 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
-
-
-class DeficitScheduler:
-    """Which of the available groups comes next: that which lacks most of its share, exact in integers.
-
-    A tie goes to the smallest digest of seed, number of choices emitted so far, and group.
-    """
-
-    def __init__(self, units: dict[int, int], seed: str):
-        self.units, self.seed = units, seed
-        self.whole, self.total, self.count = sum(units.values()), 0, 0
-        self.emitted = dict.fromkeys(units, 0)
-
-    def choose(self, available: list[int]) -> int:
-        lack = {g: self.units[g] * self.total - self.emitted[g] * self.whole for g in available}
-        most = max(lack.values())
-        return min((g for g in available if lack[g] == most), key=lambda g: hashlib.sha256(f"{self.seed}\0{self.count}\0{g}".encode()).digest())
-
-    def emit(self, group: int, size: int) -> None:
-        self.emitted[group] += size
-        self.total += size
-        self.count += 1
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def scheduled(docs: DataFrame, group: str, order: str, size: str, units: dict[int, int], seed: str) -> DataFrame:
     """(group, order, size, place): documents in the order that the scheduler emits them, each group's in its own order.
 
+    Next comes the group that lacks most of its share, units of all units, exact in integers; a tie goes to the smallest
+    digest of seed, documents so far, and group.
+
     What comes next depends on everything before, so this is a fold in one task.  It sees three numbers a
     document and no text; where a corpus is too large for that, the closed form in ``selection.mixed_order``
     gives every document its place by its source's running sum alone.
@@ -44,14 +25,32 @@ def scheduled(docs: DataFrame, group: str, order: str, size: str, units: dict[in
         rows = pd.concat(list(batches))
         rows = rows[rows[group].isin(units)]
         queues = {g: list(zip(x[order], x[size]))[::-1] for g, x in rows.sort_values([group, order]).groupby(group)}
-        scheduler, out = DeficitScheduler(units, seed), []
+        all_units, held, sizes, out = sum(units.values()), 0, dict.fromkeys(units, 0), []
         while queues:
-            g = scheduler.choose(sorted(queues))
+            lack = {g: units[g] * held - sizes[g] * all_units for g in queues}
+            most = max(lack.values())
+            ties = [g for g, x in lack.items() if x == most]
+            g = ties[0] if len(ties) == 1 else min(ties, key=lambda t: hashlib.sha256(f"{seed}\0{len(out)}\0{t}".encode()).digest())
             at, n = queues[g].pop()
-            scheduler.emit(g, int(n))
+            sizes[g] += int(n)
+            held += int(n)
             out.append((g, at, n, len(out)))
             if not queues[g]:
                 del queues[g]
         yield pd.DataFrame(out, columns=[group, order, size, "place"])
 
     return docs.select(group, order, size).coalesce(1).mapInPandas(folded, schema)
+
+
+def gcd(a: Column, b: Column) -> Column:
+    """The greatest common divisor of two whole numbers, by as many of Euclid's steps as 64 bits can take."""
+    pair = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+    step = lambda p, _: F.when(p["b"] == 0, p).otherwise(F.struct(p["b"].alias("a"), (p["a"] % p["b"]).alias("b")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), pair, step)["a"]
+
+
+def whole_units(weights: DataFrame, weight: str, digits: int) -> DataFrame:
+    """weights, a row for each group, with ``units``: the smallest whole numbers in the proportion of decimals of so many digits."""
+    own = weights.withColumn("_u", (F.col(weight) * F.lit(10**digits)).cast("long"))
+    all_units = own.agg(F.collect_set("_u").alias("_all")).select(F.aggregate("_all", F.lit(0).cast("long"), gcd).alias("_gcd"))
+    return own.crossJoin(F.broadcast(all_units)).withColumn("units", F.floor(F.col("_u") / F.col("_gcd"))).drop("_u", "_gcd")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siltstone.functions.ordered import running
 
 
 def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The row with the smallest order of each key; an aggregation, so that no key's rows meet in one task."""
-    best = rows.groupBy(F.col(key).alias("_k")).agg(F.min(order).alias("_o"))
-    return rows.join(best, rows[key].eqNullSafe(F.col("_k")) & (rows[order] == F.col("_o")), "left_semi")
+    """The row with the smallest order of each key; one aggregation, partial before the shuffle, so that no key's rows meet in one task."""
+    return rows.groupBy(F.col(key).alias("_k")).agg(F.min_by(F.struct(*rows.columns), order).alias("_row")).select("_row.*")
 
 
 def new_only(candidates: DataFrame, base: DataFrame, key: str, order: str) -> DataFrame:
@@ -61,3 +60,15 @@ def drop_oldest_pairs(turns: DataFrame, conversation: str, turn: str, size: str,
     later = Window.partitionBy(conversation).orderBy(F.desc(turn)).rowsBetween(Window.unboundedPreceding, 0)
     left = turns.withColumn("left", F.sum(size).over(later))
     return left.filter(F.col(turn) % 2 == 0).groupBy(conversation).agg(F.min(F.when(F.col("left") <= most, (F.col(turn) / 2).cast("long"))).alias("dropped"))
+
+
+def allocated(strata: DataFrame, stratum: str, have: str, want: Column) -> DataFrame:
+    """strata, a row each, with ``taken``: even shares of want, and what some cannot give taken from the others, in their order."""
+    everyone = Window.partitionBy()
+    own = strata.withColumn("_want", want.cast("long"))
+    own = own.withColumn("_share", F.floor(F.col("_want") / F.count("*").over(everyone)))
+    own = own.withColumns({"_more": F.greatest(F.col(have) - F.col("_share"), F.lit(0)), "_lack": F.greatest(F.col("_share") - F.col(have), F.lit(0))})
+    earlier = Window.orderBy(stratum).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.sum("_lack").over(everyone) - F.coalesce(F.sum("_more").over(earlier), F.lit(0))
+    taken = F.least(F.col(have), F.col("_share")) + F.greatest(F.lit(0), F.least(F.col("_more"), left))
+    return own.withColumn("taken", taken).drop("_want", "_share", "_more", "_lack")

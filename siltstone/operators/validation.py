@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siltstone.functions.text import strip
+
 #: Clusters that are kept: fixed values.
 ACCEPTED_CLUSTERS = tuple(c for c in range(1, 21) if c != 11)
 VOCABULARY = 50_257
@@ -129,3 +133,27 @@ def record_reason(raw: Column) -> Column:
 def histogram(rows: DataFrame, by: list[str], reason: str, **sums: str) -> DataFrame:
     """Rows by group and reason, with sums of columns."""
     return rows.groupBy(*by, reason).agg(F.count("*").alias("rows"), *[F.sum(c).alias(n) for n, c in sums.items()])
+
+
+def key_reason(keys: Column, expected: list[str]) -> Column:
+    """Whether an object has a key beyond those that it should, or lacks one."""
+    want = F.array(*map(F.lit, expected))
+    return F.when(F.size(F.array_except(keys, want)) > 0, "extra").when(F.size(F.array_except(want, keys)) > 0, "missing").otherwise("accepted")
+
+
+def canonical(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """rows with these fields, none of them null or blank, without white space at their ends."""
+    own = rows.withColumns({f: strip(F.col(f)) for f in fields})
+    good = F.lit(True)
+    for f in fields:
+        good &= F.col(f) != ""
+    return own.filter(good)
+
+
+def run_kind(run: Column, excluded: list[str], kinds: dict[str, list[str]]) -> Column:
+    """The first kind of whose marks a lower-case run id holds one; null where it holds none, or one that is excluded."""
+    holds = lambda marks: F.rlike(run, F.lit("|".join(map(re.escape, marks))))
+    kind = F.when(holds(excluded), F.lit(None))
+    for name, marks in kinds.items():
+        kind = kind.when(holds(marks), name)
+    return kind

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from siltstone.functions.ordered import running
 
 
 def differences(manifest: DataFrame, ledger: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -17,3 +19,36 @@ def differences(manifest: DataFrame, ledger: DataFrame, keys: list[str], fields:
         equal &= F.col(f).eqNullSafe(F.col(f"_{f}"))
     problem = F.when(F.col(f"_{keys[0]}").isNull(), "missing").when(F.col(keys[0]).isNull(), "unexpected").when(~equal, "differs")
     return met.select(*[F.coalesce(k, f"_{k}").alias(k) for k in keys], problem.alias("problem")).filter(F.col("problem").isNotNull())
+
+
+def tree_digest(lines: DataFrame, by: list[str], line: str) -> DataFrame:
+    """(by, digest): one digest of a set of lines, whatever their order.
+
+    Lines' digests are put in order and hashed in buckets by their first four hex digits, and the buckets'
+    digests are hashed in turn, so a row gathers a 65,536th of a set at a time.
+    """
+    hashed = lines.select(*by, F.sha2(F.col(line).cast("binary"), 256).alias("h"))
+    buckets = hashed.groupBy(*by, F.substring("h", 1, 4).alias("bucket")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "").cast("binary"), 256).alias("d"))
+    rows = buckets.groupBy(*by).agg(F.sort_array(F.collect_list(F.concat_ws(":", "bucket", "d"))).alias("b"))
+    return rows.select(*by, F.sha2(F.array_join("b", "\n").cast("binary"), 256).alias("digest"))
+
+
+def discontinuities(ranges: DataFrame, by: list[str], order: list[str], start: str, end: str) -> DataFrame:
+    """ranges with ``problem`` and ``size``: those that begin after the one before ended, a gap, or earlier, an overlap.
+
+    Each range is matched with its successor by their numbers, without a window over a whole group.
+    """
+    placed = running(ranges, by, order)
+    before = placed.select(*[F.col(c).alias(f"_{c}") for c in by], (F.col("number") + 1).alias("_number"), F.col(end).alias("_end"))
+    same = F.col("number") == F.col("_number")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    off = F.col(start) - F.col("_end")
+    met = placed.join(before, same).filter(off != 0)
+    return met.withColumns({"problem": F.when(off > 0, "gap").otherwise("overlap"), "size": F.abs(off)}).select(*ranges.columns, "problem", "size")
+
+
+def problems(rows: DataFrame, keys: list[str], checks: dict[str, Column]) -> DataFrame:
+    """(keys, problem): a row for each check that holds; one that cannot be told does not."""
+    found = F.array_compact(F.array(*[F.when(condition, name) for name, condition in checks.items()]))
+    return rows.select(*keys, F.explode(found).alias("problem"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from siltstone.functions import text as X
 from siltstone.functions.ordered import running
-from siltstone.operators import mixture, packing, selection, validation
+from siltstone.operators import decontaminate, mixture, packing, selection, validation, verify
 from siltstone.plans.registry import query, table
 
 #: Geometry of the packed queries.
@@ -103,7 +103,7 @@ def p02_cluster_allow(spark, sf_dir):
 def p03_split_hash(spark, sf_dir):
     """Documents that the identity hash sends to validation, at a tenth; its bytes are tested against hashlib."""
     own = table(spark, sf_dir, "documents")
-    held = X.is_validation("17", "main", F.concat("lang", F.lit(".jsonl")), F.col("doc_id"), 0.1)
+    held = X.is_validation("train-validation-v1", "17", "main", F.concat("lang", F.lit(".jsonl")), F.col("doc_id"), 0.1)
     return own.select("doc_id", "lang", held.alias("validation"))
 
 
@@ -161,10 +161,9 @@ WITH probes AS (SELECT item_id, trim({FOLDED}) AS probe FROM benchmark), own AS
 SELECT doc_id FROM own WHERE NOT EXISTS (SELECT 1 FROM probes WHERE body = probe OR (length(probe) >= 32 AND contains(body, probe)))""")
 def j06_decontam(spark, sf_dir):
     """Documents that neither equal a probe nor hold one of 32 characters or more."""
-    probes = table(spark, sf_dir, "benchmark").select(X.folded(F.col("text")).alias("probe")).distinct()
+    probes = table(spark, sf_dir, "benchmark").select(X.folded(F.col("text")).alias("probe"))
     own = table(spark, sf_dir, "documents").select("doc_id", X.folded(F.col("text")).alias("body"))
-    held = (F.col("body") == F.col("probe")) | ((F.length("probe") >= 32) & F.contains("body", "probe"))
-    return own.join(F.broadcast(probes), held, "left_anti").select("doc_id")  # the probes are a fixed benchmark
+    return own.select("doc_id").join(decontaminate.contaminated(own, probes, "doc_id", "body", "probe"), "doc_id", "left_anti")
 
 
 @query("w02_hold_out", f"""
@@ -329,7 +328,7 @@ def s04_splits(spark, sf_dir):
 @query("s05_split_order", """
 WITH files AS (SELECT lang AS path, CAST(sum(strlen(text) + 1) AS BIGINT) AS size FROM documents GROUP BY lang),
 items AS (SELECT path, s, concat(path, ':', s) AS id FROM (SELECT *, unnest(range(0, size, 65536)) AS s FROM files))
-SELECT id, row_number() OVER (ORDER BY sha256(concat('17', chr(31), id)), id) - 1 AS place FROM items""")
+SELECT id, row_number() OVER (ORDER BY sha256('17\\x00'::BLOB || encode(id)), id) - 1 AS place FROM items""")
 def s05_split_order(spark, sf_dir):
     """The byte ranges in the order of their seeded hash."""
     from siltstone.sources import splits
@@ -338,25 +337,22 @@ def s05_split_order(spark, sf_dir):
     return splits.shuffled(splits.ranges(files, 65_536), "17")
 
 
-@query("w13_gaps", f"""
-WITH {DOCS}, kept AS (SELECT doc_id FROM docs WHERE n > 100)
-SELECT doc_id AS first, prev AS last_before, doc_id - prev - 1 AS missing FROM (SELECT doc_id, lag(doc_id) OVER (ORDER BY doc_id) AS prev FROM kept) WHERE doc_id <> prev + 1""")
+@query("w13_gaps", """
+WITH r AS (SELECT l_suppkey AS supplier, l_orderkey, l_linenumber, CAST(epoch(l_shipdate) // 86400 AS BIGINT) AS s, CAST(epoch(l_shipdate) // 86400 + l_quantity AS BIGINT) AS e FROM lineitem),
+p AS (SELECT *, lag(e) OVER w AS before FROM r WINDOW w AS (PARTITION BY supplier ORDER BY s, e, l_orderkey, l_linenumber))
+SELECT supplier, l_orderkey, l_linenumber, CASE WHEN s > before THEN 'gap' ELSE 'overlap' END AS problem, abs(s - before) AS size FROM p WHERE s <> before""")
 def w13_gaps(spark, sf_dir):
-    """Where consecutive ids of the longer documents leave a gap: each id is matched with its successor, without a global window."""
-    own = docs(spark, sf_dir).filter("n > 100").select("doc_id")
-    placed = running(own, [], ["doc_id"])
-    before = placed.select((F.col("number") + 1).alias("number"), F.col("doc_id").alias("last_before"))
-    met = placed.join(before, "number").filter(F.col("doc_id") != F.col("last_before") + 1)
-    return met.select(F.col("doc_id").alias("first"), "last_before", (F.col("doc_id") - F.col("last_before") - 1).alias("missing"))
+    """Where a supplier's shipments, as intervals of as many days as goods in order, do not begin where the one before ended."""
+    day = F.floor(F.unix_seconds(F.col("l_shipdate").cast("timestamp")) / 86_400)
+    own = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supplier"), "l_orderkey", "l_linenumber", day.alias("s"), (day + F.col("l_quantity").cast("long")).alias("e"))
+    return verify.discontinuities(own, ["supplier"], ["s", "e", "l_orderkey", "l_linenumber"], "s", "e").select("supplier", "l_orderkey", "l_linenumber", "problem", "size")
 
 
-@query("p01_validate", """
-SELECT CASE doc_id % 8 WHEN 0 THEN 'json_parse_error' WHEN 1 THEN 'missing_cluster_id' WHEN 2 THEN 'cluster_id_not_integer' WHEN 3 THEN 'cluster_id_out_of_range'
-       WHEN 4 THEN 'tokens_empty' WHEN 5 THEN 'token_out_of_range' WHEN 6 THEN 'token_count_mismatch' ELSE 'accepted' END AS reason, CAST(count(*) AS BIGINT) AS "rows" FROM documents GROUP BY 1""")
+@query("p01_validate", rf"""
+WITH {DOCS}, r AS (SELECT doc_id, CAST(substr(source, 4) AS INTEGER) * 2 - 3 AS c, [length(x) * 2600 FOR x IN regexp_extract_all(text, '[^\x20\x09-\x0D]+')] AS t, len(string_split(text, ' ')) AS m FROM documents)
+SELECT doc_id, CASE WHEN c NOT BETWEEN 1 AND 20 THEN 'cluster_id_out_of_range' WHEN len(t) = 0 THEN 'tokens_empty' WHEN list_max(t) >= 50257 THEN 'token_out_of_range' WHEN m <> len(t) THEN 'token_count_mismatch' ELSE 'accepted' END AS reason FROM r""")
 def p01_validate(spark, sf_dir):
-    """Records made from document ids with one flaw each, and the reason that each is given."""
-    kinds = ['{"cluster_id": 1,', '{"tokens": [1]}', '{"cluster_id": true, "tokens": [1]}', '{"cluster_id": 21, "tokens": [1]}', '{"cluster_id": 3, "tokens": []}',
-             '{"cluster_id": 3, "tokens": [5, 50257]}', '{"cluster_id": 3, "tokens": [5], "token_count": 2}', '{"cluster_id": 3, "tokens": [5, 50256], "token_count": 2}']
-    raw = F.element_at(F.array(*map(F.lit, kinds)), (F.col("doc_id") % 8 + 1).cast("int"))
-    own = table(spark, sf_dir, "documents").select(raw.alias("raw")).select(validation.record_reason(F.col("raw")).alias("reason"))
-    return own.groupBy("reason").agg(F.count("*").alias("rows"))
+    """Documents as JSON records, cluster from the source's number, tokens from the lengths of words, and their count from blanks; every record's first flaw."""
+    tokens = F.transform(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0), lambda w: F.length(w) * 2600)
+    record = F.struct((F.substring("source", 4, 9).cast("int") * 2 - 3).alias("cluster_id"), tokens.alias("tokens"), F.size(F.split("text", " ")).alias("token_count"))
+    return table(spark, sf_dir, "documents").select("doc_id", validation.record_reason(F.to_json(record)).alias("reason"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from siltstone.functions import text as X
+from siltstone.functions.ordered import running_max
 from siltstone.operators import chat, metrics, selection, validation
 from siltstone.plans.registry import query, table
 
@@ -65,22 +66,34 @@ def a15_position(spark, sf_dir):
     return tokens(spark, sf_dir).groupBy(bucket).agg(F.count("*").alias("tokens"), F.round(F.avg("loss"), 6).alias("loss"))
 
 
-@query("a17_bootstrap")
+@query("a17_bootstrap", f"""
+WITH {SCORED}, units AS (SELECT row_number() OVER (ORDER BY vec_id // 64) - 1 AS i, sum(loss) AS loss, count(*) AS n FROM tokens GROUP BY vec_id // 64),
+c AS (SELECT count(*) AS m FROM units),
+draws AS (SELECT r, CAST(CAST(concat('0x', substr(md5(concat('17:', r, ':', d)), 1, 15)) AS BIGINT) % m AS BIGINT) AS i FROM c, range(1, 201) t(r), (SELECT unnest(range(0, m)) AS d FROM c)),
+ratios AS (SELECT r, sum(loss) / sum(n) AS x FROM draws JOIN units USING (i) GROUP BY r), l AS (SELECT list(x ORDER BY x) AS l FROM ratios)
+SELECT round(l[1 + CAST(round_even(0.025 * 199, 0) AS BIGINT)], 9) AS low, round(l[1 + CAST(round_even(0.975 * 199, 0) AS BIGINT)], 9) AS high FROM l""")
 def a17_bootstrap(spark, sf_dir):
-    """A 95 % interval of the loss over resampled documents, 64 tokens a document; tested for coverage."""
+    """A 95 % interval of the loss over documents drawn again with replacement, 64 tokens a document."""
     own = tokens(spark, sf_dir).groupBy(F.floor(F.col("vec_id") / 64).alias("unit")).agg(F.sum("loss").alias("loss"), F.count("*").alias("n"))
-    return metrics.bootstrap(own, "loss", "n", 200, 17)
+    return metrics.bootstrap(own, "unit", "loss", "n", 200, 17).select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
 @query("a18_teacher_forced", f"""
-WITH {SCORED} SELECT cluster, CAST(count(*) AS BIGINT) AS tokens, round(median(loss), 6) AS median_loss, round(median(true_rank), 6) AS median_rank,
-round(avg((NOT correct AND conf >= 0.5)::INT), 9) AS confidently_wrong FROM tokens GROUP BY cluster""")
+WITH {SCORED} SELECT cluster, CAST(count(*) AS BIGINT) AS tokens, round(avg(loss), 6) AS mean_loss, round(median(loss), 6) AS median_loss, round(avg(true_rank), 6) AS mean_rank, round(median(true_rank), 6) AS median_rank,
+round(avg((true_rank <= 1)::INT), 9) AS rank_1, round(avg((true_rank <= 5)::INT), 9) AS rank_5, round(avg((true_rank <= 10)::INT), 9) AS rank_10, round(avg(exp(-loss)), 6) AS mean_probability,
+round(median(exp(-loss)), 6) AS median_probability, round(avg(conf), 6) AS mean_confidence, round(avg((NOT correct AND conf >= 0.5)::INT), 9) AS confidently_wrong FROM tokens GROUP BY cluster""")
 def a18_teacher_forced(spark, sf_dir):
-    wrong = (~F.col("correct") & (F.col("top1_probability") >= 0.5)).cast("int")
-    return tokens(spark, sf_dir).groupBy("cluster").agg(
-        F.count("*").alias("tokens"), F.round(F.median("loss"), 6).alias("median_loss"), F.round(F.median("true_rank"), 6).alias("median_rank"),
-        F.round(F.avg(wrong), 9).alias("confidently_wrong"),
+    """Statistics of scored tokens by cluster; medians come from places in a spread order, not from one task a cluster."""
+    own = tokens(spark, sf_dir)
+    share = lambda c: F.round(F.avg(c.cast("int")), 9)
+    mean = lambda c: F.round(F.avg(c), 6)
+    sums = own.groupBy("cluster").agg(
+        F.count("*").alias("tokens"), mean("loss").alias("mean_loss"), mean("true_rank").alias("mean_rank"), *[share(F.col("true_rank") <= k).alias(f"rank_{k}") for k in (1, 5, 10)],
+        mean("true_probability").alias("mean_probability"), mean("top1_probability").alias("mean_confidence"), share(~F.col("correct") & (F.col("top1_probability") >= 0.5)).alias("confidently_wrong"),
     )
+    for value, name in (("loss", "median_loss"), ("true_rank", "median_rank"), ("true_probability", "median_probability")):
+        sums = sums.join(metrics.medians(own, "cluster", value).select("cluster", F.round("median", 6).alias(name)), "cluster")
+    return sums
 
 
 @query("x21_entropy", """
@@ -148,8 +161,8 @@ def p04_scope(spark, sf_dir):
 
 
 @query("e10_chat_mask", r"""
-WITH t AS (SELECT conv_id, turn, role, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)
-SELECT conv_id, CAST(1 + sum(1 + n + 1 + CASE WHEN i > 1 THEN 1 ELSE 0 END) AS BIGINT) AS tokens, CAST(sum(CASE WHEN role = 'assistant' THEN n + 1 ELSE 0 END) AS BIGINT) AS targets FROM t GROUP BY conv_id""")
+WITH t AS (SELECT conv_id, turn, role, len(regexp_extract_all(text, '\n|[^\x20\x09-\x0D]+')) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)
+SELECT conv_id, CAST(1 + sum(2 + n + 1 + CASE WHEN i > 1 THEN 1 ELSE 0 END) AS BIGINT) AS tokens, CAST(sum(CASE WHEN role = 'assistant' THEN n + 1 ELSE 0 END) AS BIGINT) AS targets FROM t GROUP BY conv_id""")
 def e10_chat_mask(spark, sf_dir):
     """Conversations as tokens with a mask of those that are learnt: an assistant's words and their end."""
     own = chat.serialised(chat.conversations(table(spark, sf_dir, "conversations")))
@@ -191,8 +204,7 @@ SELECT event_type, event_id, round(value, 6) AS metric FROM (
 WHERE before IS NULL OR value > before""")
 def o03_best_model(spark, sf_dir):
     """Where the metric of a run is better than ever before in it."""
-    past = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    own = table(spark, sf_dir, "events").withColumn("before", F.max("value").over(past))
+    own = running_max(table(spark, sf_dir, "events").select("event_type", "event_id", "ts", "value"), ["event_type"], ["ts", "event_id"], "value")
     return own.filter(F.col("before").isNull() | (F.col("value") > F.col("before"))).select("event_type", "event_id", F.round("value", 6).alias("metric"))
 
 

@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _load() -> None:
     """The modules whose import registers queries."""
-    from siltstone.plans import audits, corpus, evaluation, scalars, training  # noqa: F401
+    from siltstone.plans import audits, bundles, corpus, evaluation, reports, scalars, training  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

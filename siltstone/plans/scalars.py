@@ -11,6 +11,9 @@ from siltstone.plans.corpus import DOCS, FOLDED, docs, sizes
 from siltstone.plans.registry import query, table
 
 WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
+#: A text without white space at its ends, and such a text t folded, in SQL.
+BARE = r"regexp_replace(regexp_replace(text, '^[\s\x0B]+', ''), '[\s\x0B]+$', '')"
+FOLD_T = "replace(lower(t), 'ß', 'ss')"
 
 
 @query("x01_prompt_hash", f"SELECT doc_id, sha256({FOLDED}) AS prompt_hash FROM documents")
@@ -20,7 +23,7 @@ def x01_prompt_hash(spark, sf_dir):
 
 @query("x07_conversation_id", "SELECT doc_id, concat('rsft-', substr(sha256(concat_ws(chr(31), lang, source, text)), 1, 20)) AS id FROM documents")
 def x07_conversation_id(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", S.conversation_id(F.col("lang"), F.col("source"), F.col("text")).alias("id"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.conversation_id("rsft-", F.col("lang"), F.col("source"), F.col("text")).alias("id"))
 
 
 @query("x12_end_mark", f"SELECT doc_id, CAST(CASE WHEN len({WORDS}) > 0 AND {WORDS}[-1] = 'the.' THEN len({WORDS}) ELSE len({WORDS}) + 1 END AS INTEGER) AS tokens FROM documents")
@@ -43,10 +46,23 @@ def x17_role_leak(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.has_role_leak(F.concat("role", F.lit(": "), "text")).alias("leak"))
 
 
-@query("x18_rule_checks", f"""
-SELECT doc_id, contains(lower(text), 'the') AS required, NOT contains(lower(text), 'idiot') AS forbidden, len({WORDS}) <= 300 AS short, regexp_matches(text, '[^\\s\\x0B]') AS non_empty FROM documents""")
+@query("x18_rule_checks", rf"""
+WITH c AS (SELECT conv_id, turn, {BARE} AS t, len(regexp_extract_all(text, '\n|[^\x20\x09-\x0D]+')) AS n FROM conversations WHERE role = 'assistant'),
+k AS (SELECT *, t = 'Yes.' AS exact, contains({FOLD_T}, 'the') AS required_0, NOT contains({FOLD_T}, 'stupid') AS forbidden_0, regexp_matches(t, '[.!?]$') AS regex, n <= 60 AS maximum_response_tokens,
+    len(regexp_extract_all(t, '[^\s\x0B]+')) <= 50 AS maximum_words, suffix({FOLD_T}, '.') AS required_suffix, length(t) % 2 = 0 AS eos,
+    NOT regexp_matches(t, '(?i)(?:^|\n)(?:system|user|assistant):') AS no_role_leak, t <> '' AS non_empty FROM c)
+SELECT conv_id, turn, exact, required_0, forbidden_0, regex, maximum_response_tokens, maximum_words, required_suffix, eos, no_role_leak, non_empty,
+    exact AND required_0 AND forbidden_0 AND regex AND maximum_response_tokens AND maximum_words AND required_suffix AND eos AND no_role_leak AND non_empty AS passed FROM k""")
 def x18_rule_checks(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in S.rule_checks(F.col("text"), ["the"], ["Idiot"], 300).items()])
+    """An assistant's turns against every kind of rule; an even length stands for a response that ended by itself."""
+    from siltstone.operators import chat
+
+    own = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    checks = S.rule_checks(
+        F.col("text"), exact="Yes.", required=("The",), forbidden=("STUPID",), regex=r"[.!?]$", most_tokens=60, tokens=F.size(chat.words(F.col("text"))), most_words=50, suffix=".",
+        ended=F.length(X.strip(F.col("text"))) % 2 == 0,
+    )
+    return own.select("conv_id", "turn", *[c.alias(n) for n, c in checks.items()])
 
 
 @query("x20_control_tokens", """
@@ -73,14 +89,19 @@ def x22_nucleus(spark, sf_dir):
     return own.select("vec_id", S.nucleus(F.transform("e", lambda x: x / total), 0.9).alias("kept"))
 
 
-@query("x24_quantity", """
-SELECT text, CAST(CASE WHEN regexp_matches(text, '^\\s*\\d+(\\.\\d+)?\\s*[KkMmBbTt]?\\s*$') THEN CAST(regexp_extract(text, '([0-9.]+)', 1) AS DECIMAL(20, 6)) *
-CASE upper(regexp_extract(text, '([KkMmBbTt])\\s*$', 1)) WHEN 'K' THEN 1000 WHEN 'M' THEN 1000000 WHEN 'B' THEN 1000000000 WHEN 'T' THEN 1000000000000 ELSE 1 END ELSE -1 END AS BIGINT) AS amount
-FROM (SELECT concat(CAST(vec_id AS VARCHAR), ['K', 'M', 'B', '', 'x', '.5M', ' k'][1 + vec_id % 7]) AS text FROM embeddings)""")
+@query("x24_quantity", r"""
+WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM documents),
+texts AS (SELECT w AS text FROM words WHERE regexp_matches(w, '^[0-9]') UNION SELECT concat(substr(CAST(o_totalprice AS VARCHAR), 1, 3), ',', o_orderkey % 1000, ['K', ' m', 'B', '', '_0', '.5T', 'x'][1 + o_orderkey % 7]) FROM orders),
+c AS (SELECT text, regexp_replace(trim(text), '[_, ]', '', 'g') AS c FROM texts),
+p AS (SELECT text, regexp_extract(c, '^\+?(\d+\.?\d*|\.\d+)([KkMmBbTt]?)$', 1) AS d, upper(regexp_extract(c, '^\+?(\d+\.?\d*|\.\d+)([KkMmBbTt]?)$', 2)) AS u FROM c),
+a AS (SELECT text, TRY_CAST(nullif(d, '') AS DECIMAL(25, 12)) * (CASE u WHEN 'K' THEN 1000 WHEN 'M' THEN 1000000 WHEN 'B' THEN 1000000000 WHEN 'T' THEN 1000000000000 ELSE 1 END)::DECIMAL(13, 0) AS a FROM p)
+SELECT text, coalesce(CASE WHEN a > 0 AND a = floor(a) THEN TRY_CAST(a AS BIGINT) END, -1) AS amount FROM a""")
 def x24_quantity(spark, sf_dir):
-    unit = F.element_at(F.array(*map(F.lit, ("K", "M", "B", "", "x", ".5M", " k"))), (F.col("vec_id") % 7 + 1).cast("int"))
-    own = table(spark, sf_dir, "embeddings").select(F.concat(F.col("vec_id").cast("string"), unit).alias("text"))
-    return own.select("text", F.coalesce(S.quantity(F.col("text")), F.lit(-1)).alias("amount"))
+    """Words of the documents that begin with a digit, and prices with marks and units, as whole numbers; -1 for none."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)).alias("text")).filter("text RLIKE '^[0-9]'")
+    unit = F.element_at(F.array(*map(F.lit, ("K", " m", "B", "", "_0", ".5T", "x"))), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    prices = table(spark, sf_dir, "orders").select(F.concat(F.substr(F.col("o_totalprice").cast("string"), F.lit(1), F.lit(3)), F.lit(","), F.col("o_orderkey") % 1000, unit).alias("text"))
+    return words.unionByName(prices).distinct().select("text", F.coalesce(S.quantity(F.col("text")), F.lit(-1)).alias("amount"))
 
 
 @query("x25_slug", "SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages")
@@ -97,9 +118,9 @@ def x26_markdown(spark, sf_dir):
 
 @query("x31_seed", """
 SELECT doc_id, CAST(CAST(concat('0x', substr(h, 15, 2), substr(h, 13, 2), substr(h, 11, 2), substr(h, 9, 2), substr(h, 7, 2), substr(h, 5, 2), substr(h, 3, 2), substr(h, 1, 2)) AS UBIGINT) AS VARCHAR) AS seed
-FROM (SELECT doc_id, sha256(source) AS h FROM documents)""")
+FROM (SELECT doc_id, sha256(concat('17:', source)) AS h FROM documents)""")
 def x31_seed(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", S.seed_of(F.col("source")).cast("string").alias("seed"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.seed_of(17, F.col("source")).cast("string").alias("seed"))
 
 
 @query("x37_wrappers", """
@@ -178,12 +199,16 @@ def j18_nested(spark, sf_dir):
     return own.filter("n_chars > 3000").join(own.filter("n_chars > 1000").select("doc_id"), "doc_id", "left_anti").agg(F.count("*").alias("outside"))
 
 
-@query("a32_digest", "SELECT lang, sha256(string_agg(concat(doc_id, ':', sha256(text)), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY lang")
+@query("a32_digest", """
+WITH lines AS (SELECT lang, concat(doc_id, ':', sha256(text)) AS line FROM documents), keyed AS (SELECT lang, line, sha256(line) AS h FROM lines),
+buckets AS (SELECT lang, substr(h, 1, 4) AS bucket, sha256(string_agg(h, '' ORDER BY h)) AS d FROM keyed GROUP BY ALL)
+SELECT lang, sha256(string_agg(concat(bucket, ':', d), chr(10) ORDER BY bucket)) AS digest FROM buckets GROUP BY lang""")
 def a32_digest(spark, sf_dir):
-    """The identity of each file set: its members' digests in order."""
-    own = table(spark, sf_dir, "documents").select("lang", "doc_id", F.concat_ws(":", "doc_id", X.sha(F.col("text"))).alias("line"))
-    lines = own.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("doc_id", "line"))).alias("m"))
-    return lines.select("lang", X.sha(F.array_join(F.col("m.line"), "\n")).alias("digest"))
+    """The identity of each file set: digests of its members in buckets by their first four digits, and the digest of at most 65,536 buckets."""
+    from siltstone.operators import verify
+
+    own = table(spark, sf_dir, "documents").select("lang", F.concat_ws(":", "doc_id", X.sha(F.col("text"))).alias("line"))
+    return verify.tree_digest(own, ["lang"], "line")
 
 
 @query("a10_matrix", """

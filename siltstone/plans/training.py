@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from siltstone.functions import text as X
 from siltstone.functions.ordered import running
-from siltstone.operators import chat, packing, selection, validation
+from siltstone.operators import chat, decontaminate, packing, selection, validation
 from siltstone.plans.corpus import CONTEXT, DOCS, FOLDED, PER_BLOCK, docs, sizes
 from siltstone.plans.registry import query, table
 
@@ -27,36 +27,50 @@ def e22_prepare(spark, sf_dir):
     own = table(spark, sf_dir, "documents").select("doc_id", "lang", X.folded(F.col("text")).alias("body")).withColumn("h", X.sha(F.col("body")))
     allowed = own.filter("lang <> 'es'")
     unique = selection.first_wins(allowed.select("doc_id", "h"), "h", "doc_id").withColumn("kept", F.lit(True)).drop("h")
-    probes = table(spark, sf_dir, "benchmark").select(X.folded(F.col("text")).alias("probe")).distinct()
-    held = (F.col("body") == F.col("probe")) | ((F.length("probe") >= 32) & F.contains("body", "probe"))
-    dirty = allowed.join(F.broadcast(probes), held, "left_semi").select("doc_id").withColumn("dirty", F.lit(True))
+    probes = table(spark, sf_dir, "benchmark").select(X.folded(F.col("text")).alias("probe"))
+    dirty = decontaminate.contaminated(allowed, probes, "doc_id", "body", "probe").withColumn("dirty", F.lit(True))
     met = allowed.select("doc_id", "h").join(unique, "doc_id", "left").join(dirty, "doc_id", "left")
     reason = F.when(F.col("kept").isNull(), "duplicate").when(F.col("dirty"), "contaminated").otherwise(X.identity_split(F.col("h")))
     counts = met.select(reason.alias("reason")).unionByName(own.filter("lang = 'es'").select(F.lit("unsupported").alias("reason")))
     return counts.groupBy("reason").agg(F.count("*").alias("rows"))
 
 
-#: Reasoning rows made of documents: a problem, and an output of which some lack their marks.
-MADE = f"""made AS (
-    SELECT doc_id, lang AS domain, substr(text, 1, 80) AS problem, text, len({WORDS}) AS n, doc_id % 7 > 1 AND length(text) >= 8 AS parsed FROM documents)"""
+#: Outputs made of documents: some without marks, some unfinished, most with reasoning and answer; in SQL and parsed.
+MADE = rf"""made AS (SELECT doc_id, lang AS domain, text AS problem, len({WORDS}) AS n, CASE WHEN doc_id % 7 = 0 THEN text WHEN doc_id % 7 = 1 THEN concat('<think>', text)
+    ELSE concat('<think>', substr(text, 1, length(text) // 2), '</think><answer>', substr(text, length(text) // 2 + 1), '</answer>') END AS o FROM documents),
+cut AS (SELECT *, regexp_extract(o, '(?s)^<think>(.*?)</think><answer>(.*)</answer>$', ['r', 'a']) AS p FROM made),
+parsed AS (SELECT *, regexp_matches(p.r, '[^\s\x0B]') AND regexp_matches(p.a, '[^\s\x0B]') AS good FROM cut)"""
+
+
+def made_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, domain, problem, n, p): documents as problems, and outputs made of them, parsed; p is null where that fails."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    whole = F.concat(F.lit("<think>"), F.substr("text", F.lit(1), half), F.lit("</think><answer>"), F.substr("text", half + 1), F.lit("</answer>"))
+    made = F.when(F.col("doc_id") % 7 == 0, F.col("text")).when(F.col("doc_id") % 7 == 1, F.concat(F.lit("<think>"), "text")).otherwise(whole)
+    return docs(spark, sf_dir).select("doc_id", F.col("lang").alias("domain"), F.col("text").alias("problem"), "n", X.parsed_output(made).alias("p"))
+
+
+_MATH = f"(regexp_matches(problem, $$(?is){validation.MATH_TOPIC}$$) OR (regexp_matches(problem, $$(?is){validation.MATH_ACTION}$$) AND regexp_matches(problem, $$(?is){validation.MATH_NOTATION}$$)))"
+_CODE = f"(regexp_matches(problem, $$(?is){validation.CODE_LANGUAGE}$$) OR regexp_matches(problem, $$(?is){validation.CODE_TASK}$$) OR regexp_matches(problem, $$(?i){validation.CODE_LITERAL}$$))"
 
 
 @query("e24_rsft_prepare", f"""
-WITH {MADE}, hashed AS (SELECT *, sha256(replace(lower(trim(regexp_replace(problem, '[\\s\\x0B]+', ' ', 'g'))), 'ß', 'ss')) AS h FROM made WHERE domain <> 'es'),
-placed AS (SELECT *, CASE WHEN parsed THEN doc_id = min(CASE WHEN parsed THEN doc_id END) OVER (PARTITION BY h) END AS first FROM hashed)
-SELECT CASE WHEN NOT parsed THEN 'rejected' WHEN NOT first THEN 'duplicate' WHEN contains(problem, '$') THEN 'excluded' WHEN n <= 512 THEN 'fit' ELSE 'over_context' END AS route,
+WITH {MADE}, base AS (SELECT {FOLDED} AS h FROM benchmark),
+hashed AS (SELECT *, {FOLDED.replace('text', 'problem')} AS h FROM parsed WHERE domain <> 'es'),
+placed AS (SELECT *, good AND doc_id = min(CASE WHEN good THEN doc_id END) OVER (PARTITION BY h) AND h NOT IN (SELECT h FROM base) AS first FROM hashed)
+SELECT CASE WHEN NOT good THEN 'rejected' WHEN NOT first THEN 'duplicate' WHEN {_MATH} AND {_CODE} THEN 'math_and_code_primary' WHEN {_MATH} THEN 'math_primary' WHEN {_CODE} THEN 'code_primary'
+            WHEN contains(problem, '<think>') OR contains(problem, '</think>') OR contains(problem, '<answer>') THEN 'reserved' WHEN n <= 512 THEN 'fit' ELSE 'over_context' END AS route,
        CAST(count(*) AS BIGINT) AS "rows", CAST(sum(n) AS BIGINT) AS tokens FROM placed GROUP BY 1""")
 def e24_rsft_prepare(spark, sf_dir):
-    """Domain, parse, first-wins, exclusion and fit, in that order: an excluded row shadows later copies, a malformed one does not."""
-    own = docs(spark, sf_dir).filter("lang <> 'es'").select(
-        "doc_id", F.substr("text", F.lit(1), F.lit(80)).alias("problem"), "n", ((F.col("doc_id") % 7 > 1) & (F.length("text") >= 8)).alias("parsed")
-    )
-    own = own.withColumn("h", X.prompt_hash(F.col("problem")))
-    firsts = own.filter("parsed").groupBy("h").agg(F.min("doc_id").alias("first"))
-    met = own.join(firsts, "h", "left")
+    """Domain, parse, first-wins against a base and among themselves, exclusion, marks and fit, in that order: an excluded row shadows later copies, a malformed one does not."""
+    own = made_outputs(spark, sf_dir).filter("domain <> 'es'").withColumn("h", X.prompt_hash(F.col("problem")))
+    base = table(spark, sf_dir, "benchmark").select(X.prompt_hash(F.col("text")).alias("h")).distinct().withColumn("base", F.lit(True))
+    firsts = own.filter("p IS NOT NULL").groupBy("h").agg(F.min("doc_id").alias("first"))
+    met = own.join(firsts, "h", "left").join(base, "h", "left")
+    excluded = validation.exclusion_reason(F.col("problem"))
     route = (
-        F.when(~F.col("parsed"), "rejected").when(F.col("doc_id") != F.col("first"), "duplicate").when(F.contains("problem", F.lit("$")), "excluded")
-        .when(F.col("n") <= 512, "fit").otherwise("over_context")
+        F.when(F.col("p").isNull(), "rejected").when((F.col("doc_id") != F.col("first")) | F.col("base").isNotNull(), "duplicate").when(excluded.isNotNull(), excluded)
+        .when(validation.has_reserved(F.col("problem"), F.col("p.reasoning"), F.col("p.answer")), "reserved").when(F.col("n") <= 512, "fit").otherwise("over_context")
     )
     return met.groupBy(route.alias("route")).agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
 
@@ -74,8 +88,8 @@ def e08_shards(spark, sf_dir):
     )
 
 
-@query("e13_padding", f"""
-WITH t AS (SELECT conv_id // 8 AS batch, conv_id, CAST(1 + sum(2 + len({WORDS}) + CASE WHEN turn > first THEN 1 ELSE 0 END) AS BIGINT) AS n
+@query("e13_padding", r"""
+WITH t AS (SELECT conv_id // 8 AS batch, conv_id, CAST(1 + sum(3 + len(regexp_extract_all(text, '\n|[^\x20\x09-\x0D]+')) + CASE WHEN turn > first THEN 1 ELSE 0 END) AS BIGINT) AS n
     FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations) GROUP BY conv_id),
 w AS (SELECT *, max(n) OVER (PARTITION BY batch) AS width FROM t)
 SELECT conv_id, batch, CAST(width AS BIGINT) AS width, CAST(width - n AS BIGINT) AS padding FROM w""")
@@ -86,23 +100,37 @@ def e13_padding(spark, sf_dir):
     return own.join(widths, "batch").select("conv_id", "batch", "width", (F.col("width") - F.col("n")).alias("padding"))
 
 
-@query("x02_content_hash", """
-SELECT conv_id, sha256(string_agg(concat(role, chr(31), trim(regexp_replace(text, '[ \\t]+(\\n|$)', chr(10), 'g'), chr(10) || ' ')), chr(30) ORDER BY turn)) AS content_hash FROM conversations GROUP BY conv_id""")
+#: A text t as a JSON string of ASCII characters, in SQL.
+JSON_T = r"""concat('"', list_aggregate([CASE WHEN c = '"' THEN '\"' WHEN c = '\' THEN '\\' WHEN c = chr(10) THEN '\n' WHEN c = chr(13) THEN '\r' WHEN c = chr(9) THEN '\t'
+    WHEN ord(c) BETWEEN 32 AND 126 THEN c WHEN ord(c) < 65536 THEN printf('\u%04x', ord(c))
+    ELSE printf('\u%04x\u%04x', (ord(c) - 65536) // 1024 + 55296, (ord(c) - 65536) % 1024 + 56320) END FOR c IN string_split(t, '')], 'string_agg', ''), '"')"""
+
+
+def _identity(turns: DataFrame, content) -> DataFrame:
+    """(conv_id, list): the messages of a conversation as a JSON list, its keys in order."""
+    one = F.concat(F.lit('{"content":'), X.json_string(content), F.lit(',"role":'), X.json_string(F.col("role")), F.lit("}"))
+    lists = turns.select("conv_id", F.struct("turn", one.alias("m")).alias("x")).groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("l"))
+    return lists.select("conv_id", F.concat(F.lit("["), F.array_join(F.col("l.m"), ","), F.lit("]")).alias("list"))
+
+
+@query("x02_content_hash", rf"""
+WITH c AS (SELECT conv_id, turn, role, regexp_replace(regexp_replace(regexp_replace(text, '^[\s\x0B]+', ''), '[\s\x0B]+$', ''), '[ \t]*(\r\n|[\n\r\x0B\x0C])', chr(10), 'g') AS t FROM conversations),
+j AS (SELECT conv_id, turn, concat('{{"content":', {JSON_T}, ',"role":"', role, '"}}') AS m FROM c)
+SELECT conv_id, sha256(concat('{{"messages":[', string_agg(m, ',' ORDER BY turn), ']}}')) AS content_hash FROM j GROUP BY conv_id""")
 def x02_content_hash(spark, sf_dir):
-    """A conversation's identity: its roles and texts without blanks at the ends of lines."""
-    bare = F.trim(F.regexp_replace("text", r"[ \t]+(\n|$)", "\n"), F.lit("\n "))
-    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws("\x1f", "role", bare).alias("m"))
-    lists = own.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "m"))).alias("l"))
-    return lists.select("conv_id", X.sha(F.array_join(F.col("l.m"), "\x1e")).alias("content_hash"))
+    """A conversation's identity: the canonical JSON of its roles and texts, without white space at the ends of texts and lines."""
+    own = _identity(table(spark, sf_dir, "conversations"), X.bare_lines(F.col("text")))
+    return own.select("conv_id", X.sha(F.concat(F.lit('{"messages":'), "list", F.lit("}"))).alias("content_hash"))
 
 
-@query("x03_group_id", f"""
-SELECT conv_id, sha256(string_agg({FOLDED}, chr(30) ORDER BY turn)) AS group_id FROM conversations WHERE role <> 'assistant' GROUP BY conv_id""")
+@query("x03_group_id", rf"""
+WITH c AS (SELECT conv_id, turn, role, {FOLDED} AS t FROM conversations WHERE role <> 'assistant'),
+j AS (SELECT conv_id, turn, concat('{{"content":', {JSON_T}, ',"role":"', role, '"}}') AS m FROM c)
+SELECT conv_id, sha256(concat('{{"context":[', string_agg(m, ',' ORDER BY turn), ']}}')) AS group_id FROM j GROUP BY conv_id""")
 def x03_group_id(spark, sf_dir):
-    """What a conversation asks, whatever is answered."""
-    own = table(spark, sf_dir, "conversations").filter("role <> 'assistant'").select("conv_id", "turn", X.folded(F.col("text")).alias("m"))
-    lists = own.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "m"))).alias("l"))
-    return lists.select("conv_id", X.sha(F.array_join(F.col("l.m"), "\x1e")).alias("group_id"))
+    """What a conversation asks, whatever is answered: the canonical JSON of its other turns, folded."""
+    own = _identity(table(spark, sf_dir, "conversations").filter("role <> 'assistant'"), X.folded(F.col("text")))
+    return own.select("conv_id", X.sha(F.concat(F.lit('{"context":'), "list", F.lit("}"))).alias("group_id"))
 
 
 @query("x19_formats", """
@@ -157,14 +185,14 @@ def a26_task_means(spark, sf_dir):
 
 
 @query("a28_deltas", """
-WITH m AS (SELECT label, unnest(['a', 'b', 'c']) AS metric, unnest([avg(embedding[1]), avg(embedding[2]), avg(embedding[3])]) AS v FROM embeddings GROUP BY label)
-SELECT t.label, t.metric, round(t.v - p.v, 6) AS delta FROM m t JOIN m p ON p.metric = t.metric AND p.label = 0 WHERE t.label <> 0""")
+WITH c AS (SELECT label, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS metric FROM embeddings), m AS (SELECT label, metric, avg(x::DOUBLE) AS v FROM c GROUP BY ALL)
+SELECT t.label, CAST(t.metric AS INTEGER) AS metric, round(t.v - p.v, 6) AS delta FROM m t JOIN m p ON p.metric = t.metric AND p.label = 0 WHERE t.label <> 0""")
 def a28_deltas(spark, sf_dir):
-    """Metrics in long form against those of the parent."""
-    own = table(spark, sf_dir, "embeddings").groupBy("label").agg(*[F.avg(F.get("embedding", F.lit(i)).cast("double")).alias(m) for i, m in enumerate("abc")])
-    long = own.unpivot("label", ["a", "b", "c"], "metric", "v")
-    parent = long.filter("label = 0").select("metric", F.col("v").alias("base"))
-    return long.filter("label <> 0").join(parent, "metric").select("label", "metric", F.round(F.col("v") - F.col("base"), 6).alias("delta"))
+    """All metrics of every model, the means of components, in long form against those of the parent."""
+    long = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("metric", "x"))
+    means = long.groupBy("label", "metric").agg(F.avg(F.col("x").cast("double")).alias("v"))
+    parent = means.filter("label = 0").select("metric", F.col("v").alias("base"))
+    return means.filter("label <> 0").join(parent, "metric").select("label", "metric", F.round(F.col("v") - F.col("base"), 6).alias("delta"))
 
 
 @query("p22_judge", """
@@ -202,16 +230,13 @@ def w04_projected(spark, sf_dir):
 
 
 @query("t04_allocation", """
-WITH have AS (SELECT lang, count(*) AS n FROM documents WHERE lang IN ('en', 'fr') GROUP BY lang), w AS (SELECT lang, n, CASE lang WHEN 'en' THEN 100 ELSE 400 END AS want FROM have),
-lack AS (SELECT sum(greatest(want - n, 0)) AS short FROM w)
-SELECT lang, CAST(least(n, want + CASE WHEN n > want THEN short ELSE 0 END) AS BIGINT) AS taken FROM w, lack""")
+WITH have AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), t AS (SELECT sum(n) // 2 AS want FROM have), w AS (SELECT lang, n, want // (SELECT count(*) FROM have) AS share, want FROM have, t),
+spare AS (SELECT *, greatest(n - share, 0) AS more, sum(greatest(share - n, 0)) OVER () AS short, sum(greatest(n - share, 0)) OVER (ORDER BY lang) - greatest(n - share, 0) AS before FROM w)
+SELECT lang, CAST(least(n, share) + greatest(0, least(more, short - before)) AS BIGINT) AS taken FROM spare""")
 def t04_allocation(spark, sf_dir):
-    """What one of two strata cannot give of its share, the other gives."""
-    have = table(spark, sf_dir, "documents").filter(F.col("lang").isin("en", "fr")).groupBy("lang").agg(F.count("*").alias("n"))
-    own = have.withColumn("want", F.when(F.col("lang") == "en", 100).otherwise(400))
-    short = own.agg(F.sum(F.greatest(F.col("want") - F.col("n"), F.lit(0))).alias("short"))
-    more = F.when(F.col("n") > F.col("want"), F.col("short")).otherwise(0)
-    return own.crossJoin(F.broadcast(short)).select("lang", F.least("n", F.col("want") + more).alias("taken"))
+    """Half of all documents in even shares; what a language cannot give of its own, the others give in order."""
+    have = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return selection.allocated(have, "lang", "n", F.floor(F.sum("n").over(Window.partitionBy()) / 2)).select("lang", "taken")
 
 
 @query("t07_candidates", """

@@ -22,18 +22,20 @@ def ranges(listing: DataFrame, region: int) -> DataFrame:
 def shuffled(items: DataFrame, seed: str) -> DataFrame:
     """(id, place) of ranges, ordered by the hash of seed and id."""
     ids = items.select(F.concat_ws(":", "path", "range_start").alias("id"))
-    keyed = ids.withColumn("key", F.sha2(F.concat(F.lit(seed), F.char(F.lit(31)), "id").cast("binary"), 256))
+    keyed = ids.withColumn("key", F.sha2(F.concat(F.lit(seed.encode() + b"\0"), F.col("id").cast("binary")), 256))
     return running(keyed, [], ["key", "id"]).select("id", (F.col("number") - 1).alias("place"))
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(filename, record_start, raw): the lines of text files with the offset of their first byte.
 
-    Spark deals a line to the split that holds its first byte.  Offsets are running sums of line lengths
+    Spark deals a line to the split that holds its first byte.  Lines end in a line feed alone, so a carriage return
+    before it counts for the offset and is then left out.  Offsets are running sums of line lengths
     within a file, in file order, by way of the reader's own block offsets.
     """
-    own = spark.read.text(path).select(
+    own = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("filename"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("raw"),
         F.monotonically_increasing_id().alias("ord"), (F.octet_length("value") + 1).cast("long").alias("bytes"),
     )
-    return running(own, ["filename"], ["block", "ord"], ["bytes"]).select("filename", F.col("before_bytes").alias("record_start"), "raw")
+    bare = F.when(F.endswith("raw", F.lit("\r")), F.substr("raw", F.lit(1), F.length("raw") - 1)).otherwise(F.col("raw"))
+    return running(own, ["filename"], ["block", "ord"], ["bytes"]).select("filename", F.col("before_bytes").alias("record_start"), bare.alias("raw"))

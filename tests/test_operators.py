@@ -61,13 +61,13 @@ def test_next_fit(spark):
 def test_split_hash_equals_hashlib(spark):
     def want(name, start, p):
         part = lambda s: len(s.encode()).to_bytes(8, "big") + s.encode()
-        raw = part(X.SPLIT_VERSION) + part("17") + part("main") + part(name) + start.to_bytes(8, "big")
+        raw = part("v1") + part("17") + part("main") + part(name) + start.to_bytes(8, "big")
         return int.from_bytes(hashlib.sha256(raw).digest()[:8], "big") < int(p * 2**64)
 
     data = [(f"fé{i}.jsonl", i * 37) for i in range(200)]
-    df = spark.createDataFrame(data, "f string, s long").select("f", "s", X.is_validation("17", "main", F.col("f"), F.col("s"), 0.3).alias("v"))
+    df = spark.createDataFrame(data, "f string, s long").select("f", "s", X.is_validation("v1", "17", "main", F.col("f"), F.col("s"), 0.3).alias("v"))
     assert [r.v for r in df.orderBy("s").collect()] == [want(f, s, 0.3) for f, s in data]
-    assert not df.select(X.is_validation("1", "m", F.col("f"), F.col("s"), 0.0).alias("v")).filter("v").count()
+    assert not df.select(X.is_validation("v1", "1", "m", F.col("f"), F.col("s"), 0.0).alias("v")).filter("v").count()
 
 
 @pytest.mark.parametrize("n,h", [(3, 1), (100, 1), (250, 2)])
@@ -115,7 +115,7 @@ def test_calibration_last_bin(spark):
 
 def test_bootstrap_covers_the_mean(spark):
     df = spark.range(400).select(F.col("id").alias("unit"), (F.col("id") % 10).cast("double").alias("x"), F.lit(1).alias("n"))
-    low, high = metrics.bootstrap(df, "x", "n", 200, 3).first()
+    low, high = metrics.bootstrap(df, "unit", "x", "n", 200, 3).first()
     assert 4.0 < low < 4.5 < high < 5.0
 
 
