@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siltstone.functions.ordered import running
@@ -72,3 +74,32 @@ def allocated(strata: DataFrame, stratum: str, have: str, want: Column) -> DataF
     left = F.sum("_lack").over(everyone) - F.coalesce(F.sum("_more").over(earlier), F.lit(0))
     taken = F.least(F.col(have), F.col("_share")) + F.greatest(F.lit(0), F.least(F.col("_more"), left))
     return own.withColumn("taken", taken).drop("_want", "_share", "_more", "_lack")
+
+
+def minimal_prefix(count: int, target: int, measure: Callable[[int, int], dict[int, int]], look_back: int = 256) -> int | None:
+    """The smallest prefix whose measure reaches the target: by halving, then among the look_back before it, as the measure need not rise.
+
+    measure(first, last) tells the measures of all prefixes from first to last at once; None if the whole does not reach the target.
+    """
+    if measure(count, count)[count] < target:
+        return None
+    low, high = 0, count
+    while low < high:
+        middle = (low + high) // 2
+        if measure(middle, middle)[middle] >= target:
+            high = middle
+        else:
+            low = middle + 1
+    near = measure(max(0, low - look_back), low)
+    return min((k for k, m in near.items() if m >= target), default=low)
+
+
+def projected(rows: DataFrame, place: str, group: list[str], key: str, size: str, fraction: float, first: int, last: int) -> dict[int, int]:
+    """What remains for training of each prefix, from first to last, of rows numbered from 1, after the hold-out of every group.
+
+    Rows of place 0 are in every prefix.  A prefix's hold-out is that of hold_out(); what comes back is a number for each prefix.
+    """
+    own = rows.filter(F.col(place) <= last).withColumn("_prefix", F.explode(F.sequence(F.greatest(F.lit(first), F.col(place).cast("int")), F.lit(last))))
+    train = hold_out(own.select("_prefix", *group, key, size), ["_prefix", *group], key, fraction).filter("split = 'train'")
+    found = {r["_prefix"]: r["n"] for r in train.groupBy("_prefix").agg(F.sum(size).alias("n")).collect()}
+    return {k: found.get(k) or 0 for k in range(first, last + 1)}

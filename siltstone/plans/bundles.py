@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from siltstone.functions import scalars as S, text as X
-from siltstone.functions.ordered import running
+from siltstone.functions.ordered import cut, running
 from siltstone.operators import batching, chat, metrics, packing, selection, validation
 from siltstone.plans.corpus import CONTEXT, DOCS, FOLDED, PER_BLOCK, docs, sizes
 from siltstone.plans.registry import query, table
 from siltstone.plans.training import MADE, made_outputs
-from siltstone.sources import shards
+from siltstone.sources import frames, shards
 
 #: Tokens of a text in SQL: line feeds, and words.
 TOKENS = r"regexp_extract_all(text, '\n|[^\x20\x09-\x0D]+')"
@@ -427,3 +427,116 @@ def x30_units(spark, sf_dir):
     own = metrics.shares(docs(spark, sf_dir).filter("cluster <> 11"), "cluster", "n")
     weight = F.round("share", 3).cast("decimal(9,3)") + F.lit("0.001").cast("decimal(9,3)")
     return mixture.whole_units(own.select("cluster", weight.alias("weight")), "weight", 3).select("cluster", "units")
+
+
+def _records(spark, sf_dir):
+    """(conv_id, record_id, source, tokens, mask) of conversations that teach something; tokens are lengths of words."""
+    own = chat.serialised(chat.conversations(table(spark, sf_dir, "conversations")))
+    return own.select(
+        "conv_id", F.col("conv_id").cast("string").alias("record_id"), F.get("messages.role", F.lit(0)).alias("source"), F.transform("tokens", F.length).alias("tokens"), F.slice("mask", 2, F.size("mask")).alias("mask")
+    ).filter(F.exists("mask", lambda m: m))
+
+
+#: The same in SQL: numbers of tokens and targets, and the sum of the tokens.
+RECORDS = rf"""t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+c AS (SELECT conv_id, arg_min(role, i) AS source, CAST(1 + sum(3 + len({TOKENS}) + CASE WHEN i > 1 THEN 1 ELSE 0 END) AS BIGINT) AS n, CAST(sum(CASE WHEN role = 'assistant' THEN len({TOKENS}) + 1 ELSE 0 END) AS BIGINT) AS targets,
+    CAST(5 + sum(coalesce(list_sum([length(x) FOR x IN {TOKENS}]), 0) + length(role) + 2 + CASE WHEN role = 'assistant' THEN 5 ELSE 1 END + CASE WHEN i > 1 THEN 1 ELSE 0 END) AS BIGINT) AS chars FROM t GROUP BY conv_id),
+r AS (SELECT *, row_number() OVER (ORDER BY conv_id) AS k FROM c WHERE targets > 0)"""
+
+
+@query("k05_frames", f"""
+WITH RECURSIVE {RECORDS}, fold AS (
+    SELECT k, CAST(0 AS BIGINT) AS block, targets AS held FROM r WHERE k = 1
+    UNION ALL SELECT r.k, CASE WHEN f.held + r.targets > 400 THEN f.block + 1 ELSE f.block END, CASE WHEN f.held + r.targets > 400 THEN r.targets ELSE f.held + r.targets END FROM fold f JOIN r ON r.k = f.k + 1),
+b AS (SELECT block, count(*) AS records, sum(targets) AS targets, sum(n) AS serialized, concat('{{"block_id":', block, ',"lengths":[', string_agg(n, ',' ORDER BY conv_id), '],"record_ids":[', string_agg(concat('"', conv_id, '"'), ',' ORDER BY conv_id),
+    '],"schema_version":1,"serialized_token_count":', sum(n), ',"sources":[', string_agg(concat('"', source, '"'), ',' ORDER BY conv_id), '],"split":"train","target_counts":[', string_agg(targets, ',' ORDER BY conv_id), '],"target_token_count":', sum(targets), '}}') AS head
+    FROM fold JOIN r USING (k) GROUP BY block),
+s AS (SELECT *, 16 + strlen(head) + 2 * serialized + serialized - records AS byte_size FROM b),
+f2 AS (SELECT block, byte_size, CAST(0 AS BIGINT) AS shard, byte_size AS held FROM s WHERE block = 0
+    UNION ALL SELECT s.block, s.byte_size, CASE WHEN f.held + s.byte_size > 8192 THEN f.shard + 1 ELSE f.shard END, CASE WHEN f.held + s.byte_size > 8192 THEN s.byte_size ELSE f.held + s.byte_size END FROM f2 f JOIN s ON s.block = f.block + 1)
+SELECT f2.shard, CAST(f2.held - f2.byte_size AS BIGINT) AS "offset", s.block, CAST(s.byte_size AS BIGINT) AS byte_size, CAST(s.records AS INTEGER) AS records, CAST(s.targets AS BIGINT) AS targets, CAST(s.serialized AS BIGINT) AS serialized,
+       CAST(sum(s.targets) OVER (ORDER BY s.block) AS BIGINT) AS cumulative FROM s JOIN f2 ON s.block = f2.block""")
+def k05_frames(spark, sf_dir):
+    """The index of conversations written as framed blocks of at most 400 targets, in shards of 8 KiB."""
+    return frames.build(_records(spark, sf_dir), "conv_id", 400, 8192).drop("frame", "checksum")
+
+
+@query("s15_frames", f"""
+WITH {RECORDS} SELECT CAST(conv_id AS VARCHAR) AS record_id, source, CAST(n AS INTEGER) AS tokens, CAST(targets AS INTEGER) AS targets, chars FROM r""")
+def s15_frames(spark, sf_dir):
+    """Records read back from their frames."""
+    read = frames.read(frames.build(_records(spark, sf_dir), "conv_id", 400, 8192))
+    return read.select(
+        "record_id", "source", F.size("tokens").alias("tokens"), F.size(F.filter("mask", lambda m: m)).alias("targets"), F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("chars")
+    )
+
+
+@query("v04_frames", "SELECT CAST(0 AS BIGINT) AS block, 'none' AS problem WHERE false")
+def v04_frames(spark, sf_dir):
+    """What is wrong with freshly written frames: nothing; the faults that can be found are tested."""
+    return frames.faults(frames.build(_records(spark, sf_dir), "conv_id", 400, 8192))
+
+
+@query("s06_plan", """
+WITH files AS (SELECT lang AS path, CAST(sum(strlen(text) + 1) AS BIGINT) AS size FROM documents GROUP BY lang), items AS (SELECT path, size, unnest(range(0, size, 65536)) AS s FROM files)
+SELECT path, CAST(any_value(size) AS BIGINT) AS size, CAST(count(*) AS BIGINT) AS items, CAST(sum(least(s + 65536, size) - s) AS BIGINT) AS covered, true AS exact FROM items GROUP BY path""")
+def s06_plan(spark, sf_dir):
+    """A plan of byte ranges checked against its files: every byte once, every range with its own identity."""
+    from siltstone.sources import splits
+
+    files = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("path")).agg(F.sum(F.octet_length("text") + 1).alias("size"))
+    return splits.coverage(splits.ranges(files, 65_536), files)
+
+
+@query("w08_prefix", f"""
+WITH {DOCS}, own AS (SELECT source, n, sha256(concat('17:', doc_id)) AS k, CASE WHEN lang = 'en' THEN 0 ELSE row_number() OVER (PARTITION BY lang = 'en' ORDER BY doc_id) END AS place FROM docs),
+total AS (SELECT CAST(sum(n) * 6 // 10 AS BIGINT) AS target, CAST(max(place) AS BIGINT) AS last FROM own), prefixes AS (SELECT unnest(range(0, last + 1)) AS p FROM total),
+held AS (SELECT p, n, row_number() OVER (PARTITION BY p, source ORDER BY k) AS r, greatest(1, CAST(round_even(count(*) OVER (PARTITION BY p, source) * 0.01::DOUBLE, 0) AS BIGINT)) AS h FROM prefixes JOIN own ON place <= p),
+m AS (SELECT p, sum(n) AS m FROM held WHERE r > 2 * h GROUP BY p)
+SELECT CAST(min(p) AS BIGINT) AS rows_taken, CAST(any_value(target) AS BIGINT) AS target, CAST(arg_min(m, p) AS BIGINT) AS reached FROM m, total WHERE m >= target""")
+def w08_prefix(spark, sf_dir):
+    """The fewest further documents, after the English ones, with which what the hold-out leaves reaches six tenths of all tokens."""
+    own = docs(spark, sf_dir).select("doc_id", "source", "n", "lang", X.ordered_hash(F.lit("17"), F.col("doc_id")).alias("k"))
+    more = running(own.filter("lang <> 'en'"), [], ["doc_id"]).withColumn("place", F.col("number")).drop("number")
+    rows = cut(own.filter("lang = 'en'").withColumn("place", F.lit(0).cast("long")).unionByName(more).select("place", "source", "k", "n"))
+    target, last = rows.agg(F.floor(F.sum("n") * 6 / 10), F.max("place")).first()
+    measure = lambda a, b: selection.projected(rows, "place", ["source"], "k", "n", 0.01, a, b)
+    taken = selection.minimal_prefix(last, target, measure, look_back=64)
+    return spark.createDataFrame([(taken, target, measure(taken, taken)[taken])] if taken is not None else [], "rows_taken long, target long, reached long")
+
+
+@query("x33_requested", f"""
+WITH {DOCS}, t AS (SELECT lang, CAST(floor(sum(n) * 1.5 / 100.0) AS BIGINT) AS total FROM docs GROUP BY lang)
+SELECT lang, total, CAST(round_even(total * 0.9::DOUBLE, 0) AS BIGINT) AS reasoning, greatest(1, CAST(round_even(round_even(total * 0.9::DOUBLE, 0) * 0.1 / 0.9, 0) AS BIGINT)) AS retention FROM t""")
+def x33_requested(spark, sf_dir):
+    """Targets that one and a half per cent of a parent's tokens come to, nine tenths of them reasoning, and retention a ninth of that."""
+    total = F.floor(F.sum("n") * F.lit(1.5) / 100)
+    own = docs(spark, sf_dir).groupBy("lang").agg(total.alias("total")).withColumn("reasoning", F.bround(F.col("total") * F.lit(0.9)).cast("long"))
+    return own.withColumn("retention", F.greatest(F.lit(1), F.bround(F.col("reasoning") * F.lit(0.1) / F.lit(0.9)).cast("long")))
+
+
+@query("x34_preflight", f"WITH {DOCS} SELECT source, CAST(floor(sum(n) * 2 * 1.02::DOUBLE * 1.25::DOUBLE) AS BIGINT) AS packed_bytes, CAST(floor({65536} * 3 * 1.25::DOUBLE) AS BIGINT) AS evicting_bytes FROM docs GROUP BY source")
+def x34_preflight(spark, sf_dir):
+    """Disk that packing a source takes, with room for end marks and a margin, and what it takes where shards are sent away."""
+    own = docs(spark, sf_dir).groupBy("source").agg(F.sum("n").alias("t"))
+    return own.select("source", F.floor(F.col("t") * 2 * F.lit(1.02) * F.lit(1.25)).alias("packed_bytes"), F.floor(F.lit(65_536 * 3) * F.lit(1.25)).alias("evicting_bytes"))
+
+
+@query("o07_fraction", f"WITH {DOCS} SELECT lang, CAST(sum(n) * 3 // 7 AS BIGINT) AS budget, CAST(ceil((sum(n) * 3 // 7) / {CONTEXT * PER_BLOCK}.0) AS BIGINT) AS blocks FROM docs GROUP BY lang")
+def o07_fraction(spark, sf_dir):
+    """A budget of three sevenths, and the blocks that it fills."""
+    budget = F.floor(F.sum("n") * 3 / 7)
+    return docs(spark, sf_dir).groupBy("lang").agg(budget.alias("budget")).withColumn("blocks", F.ceil(F.col("budget") / (CONTEXT * PER_BLOCK)))
+
+
+@query("k06_suite", f"""
+WITH {DOCS}, p AS (SELECT cluster, n, row_number() OVER (PARTITION BY cluster ORDER BY doc_id) AS r FROM docs WHERE cluster <> 11 AND n > 0)
+SELECT suite, cluster, CAST(count(*) AS BIGINT) AS documents, CAST(sum(ceil(n / 256.0)) AS BIGINT) AS sequences, CAST(sum(n) AS BIGINT) AS targets, CAST(sum(ceil(n / 256.0)) * 257 * 2 AS BIGINT) AS byte_size
+FROM p, (VALUES ('fast', 3), ('full', 9)) t(suite, most) WHERE r <= most GROUP BY ALL""")
+def k06_suite(spark, sf_dir):
+    """What the files of two suites hold of each cluster: documents, padded windows of 256 targets, and their bytes."""
+    own = sizes(spark, sf_dir).filter(F.col("cluster").isin(*validation.ACCEPTED_CLUSTERS) & (F.col("n") > 0)).select("cluster", "doc_id", "n")
+    suites = F.explode(F.array(*[F.struct(F.lit(s).alias("suite"), F.lit(m).alias("most")) for s, m in (("fast", 3), ("full", 9))]))
+    held = selection.smallest(own, "cluster", ["doc_id"], 9).select("cluster", "n", "place", suites.alias("s")).filter(F.col("place") <= F.col("s.most"))
+    sequences = F.sum(F.ceil(F.col("n") / 256))
+    return held.groupBy(F.col("s.suite").alias("suite"), "cluster").agg(F.count("*").alias("documents"), sequences.alias("sequences"), F.sum("n").alias("targets"), (sequences * 257 * 2).alias("byte_size"))

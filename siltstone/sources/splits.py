@@ -19,6 +19,26 @@ def ranges(listing: DataFrame, region: int) -> DataFrame:
     return own.select("path", "range_start", F.least(F.col("range_start") + region, F.col("size")).alias("range_end"))
 
 
+def identity(revision: str, item: DataFrame) -> DataFrame:
+    """item with ``work_item_id``, a digest of what it stands for."""
+    return item.withColumn("work_item_id", F.sha2(F.concat_ws("\x1f", F.lit(revision), "path", "range_start", "range_end").cast("binary"), 256))
+
+
+def coverage(items: DataFrame, listing: DataFrame) -> DataFrame:
+    """(path, size, items, covered, exact): whether a file's ranges, each named once, cover every byte once.
+
+    They do if they are as many as their starts, begin at 0, end at the size, and each begins where another ends.
+    """
+    sums = identity("", items).groupBy(F.col("path").alias("p")).agg(
+        F.count("*").alias("items"), F.countDistinct("work_item_id").alias("ids"), F.sum(F.col("range_end") - F.col("range_start")).alias("covered"), F.min("range_start").alias("first"), F.max("range_end").alias("last")
+    )
+    ends = items.select(F.col("path").alias("_p"), F.col("range_end").alias("_e")).distinct()
+    joined = items.join(ends, (F.col("path") == F.col("_p")) & (F.col("range_start") == F.col("_e"))).groupBy(F.col("path").alias("q")).agg(F.count("*").alias("linked"))
+    met = listing.join(sums, F.col("path") == F.col("p"), "left").join(joined, F.col("path") == F.col("q"), "left")
+    exact = (F.col("first") == 0) & (F.col("last") == F.col("size")) & (F.col("ids") == F.col("items")) & (F.coalesce("linked", F.lit(0)) == F.col("items") - 1) & (F.col("covered") == F.col("size"))
+    return met.select("path", "size", F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("covered", F.lit(0)).alias("covered"), F.coalesce(exact, F.lit(False)).alias("exact"))
+
+
 def shuffled(items: DataFrame, seed: str) -> DataFrame:
     """(id, place) of ranges, ordered by the hash of seed and id."""
     ids = items.select(F.concat_ws(":", "path", "range_start").alias("id"))

@@ -10,9 +10,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from siltstone.functions import scalars as S, text as X
-from siltstone.functions.ordered import running_max
+from siltstone.functions.ordered import cut, running_max
 from siltstone.operators import batching, chat, decontaminate, metrics, mixture, selection, validation, verify
-from siltstone.sources import jsonl, splits
+from siltstone.sources import frames, jsonl, splits
 from siltstone.streaming import frontier
 
 TEXTS = ["", " a  b ", "Straße ΣΊΣΥΦΟΣ ﬁne ŉ İ", "tab\there\r\nline  \n\nend \n", 'quote " back \\ \x01 \x7f', "é 😀  x", "\x1c a\x1fb", "ÀÉÎ ẞ", "Ꭰ ꭰ µ ſ"]
@@ -209,3 +209,41 @@ def test_a_stream_is_published_once_whatever_fails(spark, tmp_path):
         os.remove(f"{checkpoint}/commits/{name}")
     frontier.publish(stream(), folder, checkpoint, "id").awaitTermination()
     assert sorted(r.id for r in frontier.published(spark, folder).collect()) == list(range(100))
+
+
+def test_minimal_prefix_of_a_measure_that_falls_now_and_then():
+    random.seed(4)
+    for _ in range(200):
+        measures, total = [0], 0
+        for _ in range(60):
+            total += random.randint(0, 9)
+            measures.append(total - random.choice([0, 0, 12]))
+        target = random.randint(1, 400)
+        got = selection.minimal_prefix(60, target, lambda a, b: {k: measures[k] for k in range(a, b + 1)})
+        assert got == (next(k for k, m in enumerate(measures) if m >= target) if measures[60] >= target else None)
+
+
+def test_frames_round_trip_and_faults(spark):
+    random.seed(5)
+    data = [(i, f"r{i}", "ä", [random.randrange(65_536) for _ in range(n)], [random.random() < 0.5 for _ in range(n - 2)] + [True]) for i, n in enumerate(random.randint(2, 9) for _ in range(40))]
+    df = spark.createDataFrame(data, "i long, record_id string, source string, tokens array<int>, mask array<boolean>")
+    stored = cut(frames.build(df, "i", 10, 300))
+    assert sorted((r.record_id, tuple(r.tokens), tuple(r["mask"])) for r in frames.read(stored).collect()) == sorted((n, tuple(t), tuple(m)) for _, n, _, t, m in data)
+    assert frames.faults(stored).count() == 0 and stored.filter("targets > 10").count() == 0
+    one = stored.filter("block = 1").first().frame
+    flaws = {
+        bytes(one[:9]): "truncated", b"X" + bytes(one[1:]): "mark", bytes(one) + b"0": "size", bytes(one).replace(b"lengths", b"lengthz"): "header",
+        bytes(one).replace(b'"schema_version":1', b'"schema_version":2'): "version", bytes(one[:-1]) + b"\x07": "mask",
+    }
+    for bad, word in flaws.items():
+        with pytest.raises(ValueError, match=word):
+            frames.decode_block(bad)
+    changed = stored.withColumn("frame", F.when(F.col("block") == 2, F.concat("frame", F.lit(b"0"))).otherwise(F.col("frame"))).withColumn("cumulative", F.when(F.col("block") == 3, 0).otherwise(F.col("cumulative")))
+    assert sorted(tuple(r) for r in frames.faults(changed).collect()) == [(2, "byte_size"), (2, "checksum"), (2, "size"), (3, "cumulative")]
+
+
+def test_coverage_of_plans(spark):
+    files = spark.createDataFrame([("a", 10), ("b", 4), ("c", 3)], "path string, size long")
+    items = spark.createDataFrame([("a", 0, 6), ("a", 6, 10), ("b", 0, 3), ("b", 2, 4)], "path string, range_start long, range_end long")
+    assert {r.path: r.exact for r in splits.coverage(items, files).collect()} == {"a": True, "b": False, "c": False}
+    assert splits.coverage(splits.ranges(files, 3), files).filter("NOT exact").count() == 0
