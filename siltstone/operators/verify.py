@@ -52,3 +52,10 @@ def problems(rows: DataFrame, keys: list[str], checks: dict[str, Column]) -> Dat
     """(keys, problem): a row for each check that holds; one that cannot be told does not."""
     found = F.array_compact(F.array(*[F.when(condition, name) for name, condition in checks.items()]))
     return rows.select(*keys, F.explode(found).alias("problem"))
+
+
+def drift(own: DataFrame, frozen: DataFrame, counter: str, value: str) -> DataFrame:
+    """(counter, value, frozen, equal): counters against those of a frozen manifest; one that either lacks is unequal."""
+    right = frozen.select(F.col(counter).alias("_c"), F.col(value).alias("frozen"))
+    met = own.select(counter, value).join(right, F.col(counter) == F.col("_c"), "full_outer")
+    return met.select(F.coalesce(counter, "_c").alias(counter), value, "frozen", F.col(value).eqNullSafe(F.col("frozen")).alias("equal"))

@@ -99,10 +99,7 @@ s AS (SELECT row_number() OVER (ORDER BY d, w) - 1 AS seq, t[w * 64 + 1 : w * 64
 SELECT CAST(seq AS BIGINT) AS seq, CAST(list_sum(x) + (65 - len(x)) * 50256 AS BIGINT) AS tokens, 64 AS targets FROM s""")
 def s13_replay(spark, sf_dir):
     """Windows of tokens, the lengths of words, written to shards of bytes and read back: each sequence's sum and targets, all of which are learnt."""
-    tokens = F.transform(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0), F.length)
-    windows = packing.windows(docs(spark, sf_dir).filter("n > 0").select("doc_id", tokens.alias("t")), "t", 64, 50_256, 50_256)
-    numbered = running(windows.select("doc_id", "window", "window_tokens"), [], ["doc_id", "window"])
-    stored = shards.build(numbered.select((F.col("number") - 1).alias("seq"), F.col("window_tokens").alias("tokens")), 4, 8)
+    stored = _window_shards(spark, sf_dir)
     read = shards.decode(stored, 65, 4)
     return read.select("seq", F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a + t).alias("tokens"), (F.size("tokens") - 1).alias("targets"))
 
@@ -540,3 +537,112 @@ def k06_suite(spark, sf_dir):
     held = selection.smallest(own, "cluster", ["doc_id"], 9).select("cluster", "n", "place", suites.alias("s")).filter(F.col("place") <= F.col("s.most"))
     sequences = F.sum(F.ceil(F.col("n") / 256))
     return held.groupBy(F.col("s.suite").alias("suite"), "cluster").agg(F.count("*").alias("documents"), sequences.alias("sequences"), F.sum("n").alias("targets"), (sequences * 257 * 2).alias("byte_size"))
+
+
+@query("e14_codec", f"""
+WITH {RECORDS} SELECT conv_id AS block, CAST(16 + strlen(concat('{{"block_id":', conv_id, ',"lengths":[', n, '],"record_ids":["', conv_id, '"],"schema_version":1,"serialized_token_count":', n, ',"sources":["', source, '"],"split":"train","target_counts":[', targets,
+    '],"target_token_count":', targets, '}}')) + 3 * n - 1 AS BIGINT) AS byte_size, true AS same FROM r""")
+def e14_codec(spark, sf_dir):
+    """Every record framed by itself and taken out again: the frame's size, and whether what comes out is what went in."""
+    own = _records(spark, sf_dir)
+    framed = frames.encoded(own, "conv_id")
+    back = frames.read(framed.select(F.col("conv_id").alias("block"), "frame")).select(F.col("block").alias("b"), F.col("tokens").alias("t"), F.col("mask").alias("m"))
+    met = framed.join(back, F.col("conv_id") == F.col("b"))
+    same = (F.col("t") == F.col("tokens")) & (F.col("m") == F.col("mask"))
+    return met.select(F.col("conv_id").alias("block"), F.octet_length("frame").cast("long").alias("byte_size"), same.alias("same"))
+
+
+@query("s16_rescan", f"""
+WITH RECURSIVE {RECORDS}, fold AS (
+    SELECT k, CAST(0 AS BIGINT) AS block, targets AS held FROM r WHERE k = 1
+    UNION ALL SELECT r.k, CASE WHEN f.held + r.targets > 400 THEN f.block + 1 ELSE f.block END, CASE WHEN f.held + r.targets > 400 THEN r.targets ELSE f.held + r.targets END FROM fold f JOIN r ON r.k = f.k + 1)
+SELECT CAST(conv_id AS VARCHAR) AS record_id, block, row_number() OVER (ORDER BY block, conv_id) AS place FROM fold JOIN r USING (k)""")
+def s16_rescan(spark, sf_dir):
+    """Stored records in the order of their blocks, and in each as they were written."""
+    read = frames.read(frames.build(_records(spark, sf_dir), "conv_id", 400, 8192)).select("block", F.col("record_id").cast("long").alias("id"))
+    return running(read, [], ["block", "id"]).select(F.col("id").cast("string").alias("record_id"), "block", F.col("number").alias("place"))
+
+
+@query("s14_shards", f"""
+WITH {DOCS}, t AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS d, [length(x) FOR x IN regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')] || [50256] AS t FROM docs WHERE n > 0),
+w AS (SELECT d, t, unnest(range(0, CAST(ceil((len(t) - 1) / 64.0) AS BIGINT))) AS w FROM t), s AS (SELECT row_number() OVER (ORDER BY d, w) - 1 AS seq FROM w)
+SELECT CAST(seq // 32 AS BIGINT) AS shard, CAST(count(*) * 130 AS BIGINT) AS byte_size, CAST(count(*) AS BIGINT) AS sequences, CAST(min(seq) // 4 AS BIGINT) AS first_block, CAST(max(seq) // 4 AS BIGINT) AS last_block, true AS sound FROM s GROUP BY seq // 32""")
+def s14_shards(spark, sf_dir):
+    """Shards of windows with their manifest, each checked by size, checksum and range of its tokens."""
+    stored = cut(_window_shards(spark, sf_dir))
+    bad = shards.problems(stored, 65).select(F.col("shard").alias("s")).distinct().withColumn("bad", F.lit(True))
+    met = shards.manifest(stored).join(bad, F.col("shard") == F.col("s"), "left")
+    return met.select("shard", "byte_size", "sequences", "first_block", "last_block", F.col("bad").isNull().alias("sound"))
+
+
+def _window_shards(spark, sf_dir):
+    """Windows of 64 targets, tokens being the lengths of words, in shards of eight blocks of four."""
+    tokens = F.transform(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0), F.length)
+    windows = packing.windows(docs(spark, sf_dir).filter("n > 0").select("doc_id", tokens.alias("t")), "t", 64, 50_256, 50_256)
+    numbered = running(windows.select("doc_id", "window", "window_tokens"), [], ["doc_id", "window"])
+    return shards.build(numbered.select((F.col("number") - 1).alias("seq"), F.col("window_tokens").alias("tokens")), 4, 8)
+
+
+@query("k11_reblock", f"""
+WITH {DOCS}, t AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS d, [length(x) FOR x IN regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')] || [50256] AS t FROM docs WHERE n > 0),
+w AS (SELECT d, t, unnest(range(0, CAST(ceil((len(t) - 1) / 64.0) AS BIGINT))) AS w FROM t),
+s AS (SELECT row_number() OVER (ORDER BY d, w) - 1 AS seq, t[w * 64 + 1 : w * 64 + 65] AS x FROM w)
+SELECT CAST(seq // 256 AS BIGINT) AS shard, CAST(count(*) * 130 AS BIGINT) AS byte_size, CAST(min(seq) // 16 AS BIGINT) AS first_block, CAST(sum(list_sum(x) + (65 - len(x)) * 50256) AS BIGINT) AS tokens FROM s GROUP BY seq // 256""")
+def k11_reblock(spark, sf_dir):
+    """The same sequences, byte by byte, in blocks of 16 and shards of 16 blocks."""
+    again = shards.reblocked(_window_shards(spark, sf_dir), 65, 4, 16, 16)
+    read = shards.decode(again, 65, 16).groupBy(F.floor(F.col("seq") / 256).alias("s")).agg(F.sum(F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a + t)).alias("tokens"))
+    return again.join(read, F.col("shard") == F.col("s")).select("shard", "byte_size", "first_block", "tokens")
+
+
+@query("w09_positions", f"""
+WITH {DOCS}, p AS (SELECT doc_id, n + 1 AS len, sum(n + 1) OVER (ORDER BY doc_id) - (n + 1) AS s FROM docs)
+SELECT doc_id, CAST(s AS BIGINT) AS "start", CAST(s + len AS BIGINT) AS "end", CAST(CASE WHEN s <= 0 THEN 0 ELSE (s - 1) // {CONTEXT} END AS BIGINT) AS first_seq, CAST(CASE WHEN s + len - 1 <= 0 THEN 0 ELSE (s + len - 2) // {CONTEXT} END AS BIGINT) AS last_seq FROM p""")
+def w09_positions(spark, sf_dir):
+    """Each document's interval in the stream, and the sequences of its first and last token."""
+    placed = packing.positions(sizes(spark, sf_dir).select("doc_id", (F.col("n") + 1).alias("len")), [], ["doc_id"], "len")
+    return placed.select("doc_id", "start", "end", packing.owner(F.col("start"), CONTEXT).alias("first_seq"), packing.owner(F.col("end") - 1, CONTEXT).alias("last_seq"))
+
+
+@query("u02_union", f"""
+WITH {MADE}, r AS (SELECT 'reasoning' AS part, doc_id AS id, n FROM parsed WHERE good UNION ALL SELECT 'retention' AS part, conv_id AS id, CAST(sum(len({TOKENS})) AS BIGINT) AS n FROM conversations GROUP BY conv_id)
+SELECT part, CAST(count(*) AS BIGINT) AS records, CAST(sum(n) AS BIGINT) AS tokens FROM r GROUP BY part""")
+def u02_union(spark, sf_dir):
+    """Reasoning records, made of documents, and retention records, the conversations, as one set."""
+    reasoning = made_outputs(spark, sf_dir).filter("p IS NOT NULL").select(F.lit("reasoning").alias("part"), F.col("doc_id").alias("id"), "n")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.size(chat.words(F.col("text"))).cast("long").alias("n"))
+    retention = turns.groupBy(F.col("conv_id").alias("id")).agg(F.sum("n").alias("n")).select(F.lit("retention").alias("part"), "id", "n")
+    return reasoning.unionByName(retention).groupBy("part").agg(F.count("*").alias("records"), F.sum("n").alias("tokens"))
+
+
+@query("a02_audit", f"""
+WITH own AS (SELECT doc_id, source, lang, {FOLDED} AS h FROM documents), p AS (SELECT {FOLDED} AS probe FROM benchmark),
+j AS (SELECT source, CASE WHEN lang = 'es' THEN 'unsupported' WHEN doc_id <> min(CASE WHEN lang <> 'es' THEN doc_id END) OVER (PARTITION BY h) THEN 'duplicate'
+    WHEN EXISTS (SELECT 1 FROM p WHERE h = probe OR (length(probe) >= 32 AND contains(h, probe))) THEN 'contaminated' ELSE 'accepted' END AS o FROM own)
+SELECT source, CAST(count(*) AS BIGINT) AS seen, CAST(count_if(o = 'accepted') AS BIGINT) AS accepted, CAST(count_if(o = 'duplicate') AS BIGINT) AS duplicate, CAST(count_if(o = 'contaminated') AS BIGINT) AS contaminated,
+       CAST(count_if(o = 'unsupported') AS BIGINT) AS unsupported FROM j GROUP BY source""")
+def a02_audit(spark, sf_dir):
+    """What became of each source's rows."""
+    from siltstone.operators import decontaminate
+
+    own = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", X.folded(F.col("text")).alias("body"))
+    allowed = own.filter("lang <> 'es'").withColumn("h", X.sha(F.col("body")))
+    firsts = allowed.groupBy("h").agg(F.min("doc_id").alias("d")).select("d", F.lit(True).alias("first"))
+    dirty = decontaminate.contaminated(allowed, table(spark, sf_dir, "benchmark").select(X.folded(F.col("text")).alias("probe")), "doc_id", "body", "probe").select(F.col("doc_id").alias("c"), F.lit(True).alias("dirty"))
+    met = own.select("doc_id", "source", "lang").join(firsts, F.col("doc_id") == F.col("d"), "left").join(dirty, F.col("doc_id") == F.col("c"), "left")
+    outcome = F.when(F.col("lang") == "es", "unsupported").when(F.col("first").isNull(), "duplicate").when(F.col("dirty"), "contaminated").otherwise("accepted")
+    return met.withColumn("o", outcome).groupBy("source").agg(F.count("*").alias("seen"), *[F.count_if(F.col("o") == o).alias(o) for o in ("accepted", "duplicate", "contaminated", "unsupported")])
+
+
+@query("a04_domains", f"""
+WITH {MADE}, h AS (SELECT *, {FOLDED.replace('text', 'problem')} AS h FROM parsed), j AS (SELECT domain, n, good, good AND doc_id = min(CASE WHEN good THEN doc_id END) OVER (PARTITION BY h) AS first FROM h)
+SELECT domain, CAST(count(*) AS BIGINT) AS seen, CAST(count_if(NOT good) AS BIGINT) AS rejected, CAST(count_if(good AND NOT first) AS BIGINT) AS duplicate, CAST(count_if(first AND n <= 512) AS BIGINT) AS fit, CAST(count_if(first AND n > 512) AS BIGINT) AS over_context FROM j GROUP BY domain""")
+def a04_domains(spark, sf_dir):
+    """Outputs of each domain that were refused, repeated, fit the context, or do not."""
+    own = made_outputs(spark, sf_dir).select("doc_id", "domain", "n", F.col("p").isNotNull().alias("good"), X.prompt_hash(F.col("problem")).alias("h"))
+    firsts = own.filter("good").groupBy("h").agg(F.min("doc_id").alias("d")).select("d", F.lit(True).alias("first"))
+    met = own.join(firsts, F.col("doc_id") == F.col("d"), "left").withColumn("first", F.coalesce("first", F.lit(False)))
+    return met.groupBy("domain").agg(
+        F.count("*").alias("seen"), F.count_if(~F.col("good")).alias("rejected"), F.count_if(F.col("good") & ~F.col("first")).alias("duplicate"),
+        F.count_if(F.col("first") & (F.col("n") <= 512)).alias("fit"), F.count_if(F.col("first") & (F.col("n") > 512)).alias("over_context"),
+    )

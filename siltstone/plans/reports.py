@@ -419,3 +419,84 @@ def st15_activity(spark, sf_dir):
     begun = own.agg(F.greatest(reset, F.min("us")).alias("begun"))
     tasks = own.filter("value > 10").groupBy((F.col("user_id") % 10).alias("run"), "event_type").agg(F.max("us").alias("last"))
     return tasks.crossJoin(F.broadcast(begun)).groupBy("run").agg(F.floor(F.greatest(F.max(F.col("last") - F.col("begun")), F.lit(0)) / 1_000_000).alias("seconds"))
+
+
+@query("p15_keep", "SELECT d.doc_id, d.lang FROM documents d WHERE d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0)")
+def p15_keep(spark, sf_dir):
+    """Candidates that curation keeps."""
+    keep = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(keep, "doc_id", "left_semi")
+
+
+@query("x05_probe", r"SELECT conv_id, turn, replace(lower(trim(regexp_replace(text, '[\s\x0B]+', ' ', 'g'))), 'ß', 'ss') AS probe FROM conversations")
+def x05_probe(spark, sf_dir):
+    """Turns in the form in which they are looked for."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.folded(F.col("text")).alias("probe"))
+
+
+@query("x09_tokens", f"SELECT conv_id, turn, CAST(len({TOKENS}) AS INTEGER) AS tokens, CAST(coalesce(list_max([length(x) FOR x IN {TOKENS}]), 0) AS INTEGER) AS longest FROM conversations")
+def x09_tokens(spark, sf_dir):
+    """Tokens of every turn by the default encoder, and the longest of them."""
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", chat.words(F.col("text")).alias("t"))
+    return own.select("conv_id", "turn", F.size("t").alias("tokens"), F.coalesce(F.array_max(F.transform("t", F.length)), F.lit(0)).alias("longest"))
+
+
+@query("x14_digests", "SELECT page_id, sha256(html) AS html_hash, sha256(url) AS url_hash FROM pages")
+def x14_digests(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.sha(F.col("html")).alias("html_hash"), X.sha(F.col("url")).alias("url_hash"))
+
+
+@query("v07_coverage", """
+SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'not_durable' ELSE 'not_listed' END AS problem FROM (SELECT doc_id, 1 AS d FROM documents WHERE lang = 'en' AND n_chars > 2500) d FULL JOIN (SELECT doc_id, 1 AS l FROM labels WHERE quality = 0) l USING (doc_id) WHERE d IS NULL OR l IS NULL""".replace("l.doc_id IS NULL", "l IS NULL"))
+def v07_coverage(spark, sf_dir):
+    """Long English documents, which have to be durable, against those marked so, which stand for an inventory."""
+    listed = table(spark, sf_dir, "documents").filter("lang = 'en' AND n_chars > 2500").select("doc_id")
+    stored = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id")
+    found = verify.differences(listed, stored, ["doc_id"], [])
+    return found.select("doc_id", F.when(F.col("problem") == "missing", "not_durable").otherwise("not_listed").alias("problem"))
+
+
+@query("v10_drift", """
+WITH c AS (SELECT lang, count(*) AS seen, count(DISTINCT source) AS sources, min(n_chars) AS shortest, max(n_chars) AS longest, count_if(text = '') AS blank, sum(n_chars) AS chars, count(DISTINCT text) AS texts FROM documents GROUP BY lang),
+l AS (SELECT lang, counter, v FROM c UNPIVOT (v FOR counter IN (seen, sources, shortest, longest, blank, chars, texts)))
+SELECT a.counter, CAST(a.v AS BIGINT) AS value, CAST(b.v AS BIGINT) AS frozen, a.v = b.v AS equal FROM l a JOIN l b USING (counter) WHERE a.lang = 'fr' AND b.lang = 'de'""")
+def v10_drift(spark, sf_dir):
+    """Seven counters of a corpus, French, against a frozen manifest's, for which German stands."""
+    counters = ["seen", "sources", "shortest", "longest", "blank", "chars", "texts"]
+    own = table(spark, sf_dir, "documents").groupBy("lang").agg(
+        F.count("*").alias("seen"), F.countDistinct("source").alias("sources"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"), F.count_if(F.col("text") == "").alias("blank"),
+        F.sum("n_chars").alias("chars"), F.countDistinct("text").alias("texts"),
+    )
+    long = own.unpivot("lang", counters, "counter", "value")
+    return verify.drift(long.filter("lang = 'fr'"), long.filter("lang = 'de'"), "counter", "value")
+
+
+@query("v13_identity", """
+SELECT source, sha256(string_agg(concat('{"chars":', c, ',"lang":"', lang, '"}'), ',' ORDER BY lang)) AS identity FROM (SELECT source, lang, sum(n_chars) AS c FROM documents GROUP BY ALL) GROUP BY source""")
+def v13_identity(spark, sf_dir):
+    """What a build of each source was made of, as a digest that a later run is held against: its parts in order."""
+    parts = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.sum("n_chars").alias("c"))
+    one = X.canonical_json({"chars": F.col("c").cast("string"), "lang": X.json_string(F.col("lang"))})
+    lists = parts.select("source", F.struct("lang", one.alias("j")).alias("x")).groupBy("source").agg(F.sort_array(F.collect_list("x")).alias("l"))
+    return lists.select("source", X.sha(F.array_join(F.col("l.j"), ",")).alias("identity"))
+
+
+@query("o13_inventory", """
+WITH lines AS (SELECT source, concat(lang, '/', doc_id, ':', strlen(text), ':', sha256(text)) AS line FROM documents), keyed AS (SELECT source, sha256(line) AS h FROM lines),
+buckets AS (SELECT source, substr(h, 1, 4) AS bucket, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM keyed GROUP BY ALL)
+SELECT source, sha256(string_agg(concat(bucket, ':', d), chr(10) ORDER BY bucket)) AS digest, CAST(sum(n) AS BIGINT) AS files FROM buckets GROUP BY source""")
+def o13_inventory(spark, sf_dir):
+    """Files of each tree, and the digest of their paths, sizes and contents."""
+    line = F.concat("lang", F.lit("/"), "doc_id", F.lit(":"), F.octet_length("text"), F.lit(":"), X.sha(F.col("text")))
+    own = table(spark, sf_dir, "documents").select("source", line.alias("line"))
+    return verify.tree_digest(own, ["source"], "line").join(own.groupBy("source").agg(F.count("*").alias("files")), "source")
+
+
+@query("st13_horizon", f"""
+WITH {DOCS}, p AS (SELECT doc_id, sum(n + 1) OVER (ORDER BY doc_id) AS t, n FROM docs), b AS (SELECT *, (t - 1) // {128 * 16} AS block FROM p)
+SELECT doc_id, CAST(block AS BIGINT) AS block FROM b WHERE block < 20""")
+def st13_horizon(spark, sf_dir):
+    """Documents that are whole within a horizon of twenty blocks; production ends there."""
+    placed = running(sizes(spark, sf_dir).select("doc_id", (F.col("n") + 1).alias("len")), [], ["doc_id"], ["len"])
+    block = F.floor((F.col("before_len") + F.col("len") - 1) / (128 * 16))
+    return placed.select("doc_id", block.alias("block")).filter("block < 20")

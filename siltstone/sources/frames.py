@@ -72,6 +72,17 @@ def decode_block(frame: bytes) -> tuple[dict, list[dict]]:
     return header, records
 
 
+def encoded(records: DataFrame, number: str, split: str = "train") -> DataFrame:
+    """records (number, record_id, source, tokens, mask) with ``frame``: each by itself as a block of that number."""
+
+    @F.pandas_udf("binary")
+    def framed(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield pd.Series([encode_block(n, split, [{"record_id": i, "source": s, "tokens": t, "mask": m}]) for n, i, s, t, m in zip(*rows)], dtype=object)
+
+    return records.withColumn("frame", framed(number, "record_id", "source", "tokens", "mask"))
+
+
 def build(records: DataFrame, order: str, most_targets: int, shard_bytes: int, split: str = "train") -> DataFrame:
     """(shard, offset, block, frame, byte_size, checksum, records, targets, serialized, cumulative): records (order, record_id, source, tokens, mask)
     in blocks of at most most_targets, blocks in shards of about shard_bytes.

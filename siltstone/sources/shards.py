@@ -13,7 +13,12 @@ from siltstone.functions.scalars import from_little_endian, little_endian
 
 def build(sequences: DataFrame, per_block: int, blocks: int, seq: str = "seq", tokens: str = "tokens") -> DataFrame:
     """(shard, payload, checksum, byte_size, sequences, first_block, last_block) of sequences numbered from 0."""
-    own = sequences.select(F.floor(F.col(seq) / (per_block * blocks)).alias("shard"), F.col(seq).alias("seq"), F.hex(little_endian(F.col(tokens))).alias("raw"))
+    return _joined(sequences.select(F.col(seq).alias("seq"), F.hex(little_endian(F.col(tokens))).alias("raw")), per_block, blocks)
+
+
+def _joined(parts: DataFrame, per_block: int, blocks: int) -> DataFrame:
+    """Shards of sequences (seq, raw), raw being their bytes in hex."""
+    own = parts.withColumn("shard", F.floor(F.col("seq") / (per_block * blocks)))
     shards = own.groupBy("shard").agg(
         F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "raw"))), lambda x: x["raw"]), "")).alias("payload"),
         F.count("*").alias("sequences"), F.floor(F.min("seq") / per_block).alias("first_block"), F.floor(F.max("seq") / per_block).alias("last_block"),
@@ -36,6 +41,15 @@ def decode(shards: DataFrame, sequence_tokens: int, per_block: int) -> DataFrame
     )
 
 
+def reblocked(shards: DataFrame, sequence_tokens: int, per_block: int, new_per_block: int, new_blocks: int) -> DataFrame:
+    """Shards of the same sequences in blocks of another size; their bytes are cut apart and joined, never decoded."""
+    step, own = sequence_tokens * 2, shards.filter("byte_size > 0")
+    places = F.sequence(F.lit(0), (F.col("byte_size") / step).cast("int") - 1)
+    parts = own.select((F.col("first_block") * per_block).alias("_from"), "payload", F.explode(places).alias("i"))
+    parts = parts.select((F.col("_from") + F.col("i")).alias("seq"), F.hex(F.substr("payload", F.col("i") * step + 1, F.lit(step))).alias("raw"))
+    return _joined(parts, new_per_block, new_blocks)
+
+
 def problems(shards: DataFrame, sequence_tokens: int, vocabulary: int = 50_257) -> DataFrame:
     """(shard, problem): shards whose size, checksum or tokens are wrong."""
     tokens = from_little_endian(F.col("payload"))
