@@ -129,3 +129,15 @@ def wrapped(kind: str, prompt: Column) -> Column:
     if kind == "qa":
         return F.concat(F.lit("Question: "), prompt, F.lit("\nAnswer:"))
     return prompt
+
+
+def format_checks(text: Column, answer: Column, level: Column) -> dict[str, Column]:
+    """Checks of a response by what its level asks for: any form, the answer alone, one line, two lines; ``passed`` is whether all hold."""
+    bare = strip(text)
+    line = F.concat(F.lit("Answer: "), answer)
+    lines = F.split(bare, "\n")
+    one = ~F.contains(bare, F.lit("\n")) & F.startswith(bare, F.lit("Answer: ")) & (bare == line)
+    two = (F.size(lines) == 2) & F.startswith(F.get(lines, F.lit(0)), F.lit("Answer: ")) & (F.get(lines, F.lit(1)) == "Done: yes") & (bare == F.concat(line, F.lit("\nDone: yes")))
+    form = F.when(level == 0, F.lit(True)).when(level == 1, bare == answer).when(level == 2, one).otherwise(F.coalesce(two, F.lit(False)))
+    checks = {"content_correct": F.contains(casefolded(bare), casefolded(answer)), "non_empty": bare != "", "no_role_leak": ~has_role_leak(bare), "format_constraints": form}
+    return checks | {"passed": checks["content_correct"] & checks["non_empty"] & checks["no_role_leak"] & form}

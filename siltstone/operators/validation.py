@@ -157,3 +157,14 @@ def run_kind(run: Column, excluded: list[str], kinds: dict[str, list[str]]) -> C
     for name, marks in kinds.items():
         kind = kind.when(holds(marks), name)
     return kind
+
+
+def judge_reason(raw: Column, expected: Column) -> Column:
+    """The first reason against a judge's answer, a JSON array of id, verdict and reason for the expected ids in order, or 'accepted'."""
+    kind = F.schema_of_variant(F.try_parse_json(raw))
+    rows = F.from_json(raw, "array<struct<id:string,verdict:string,reason:string>>")
+    return (
+        F.when(kind.isNull() | ~F.startswith(kind, F.lit("ARRAY")), "not_an_array").when(F.size(rows) != F.size(expected), "wrong_length")
+        .when(F.transform(rows, lambda r: r["id"]) != expected, "wrong_ids").when(~F.forall(rows, lambda r: F.coalesce(r["verdict"].isin("pass", "fail"), F.lit(False))), "unknown_verdict")
+        .when(~F.forall(rows, lambda r: F.coalesce(strip(r["reason"]) != "", F.lit(False))), "empty_reason").otherwise("accepted")
+    )

@@ -59,3 +59,13 @@ def drift(own: DataFrame, frozen: DataFrame, counter: str, value: str) -> DataFr
     right = frozen.select(F.col(counter).alias("_c"), F.col(value).alias("frozen"))
     met = own.select(counter, value).join(right, F.col(counter) == F.col("_c"), "full_outer")
     return met.select(F.coalesce(counter, "_c").alias(counter), value, "frozen", F.col(value).eqNullSafe(F.col("frozen")).alias("equal"))
+
+
+def in_ranges(rows: DataFrame, value: str, ranges: DataFrame, first: str, last: str, bucket: int = 1024) -> DataFrame:
+    """rows joined with the range that holds their value; both are dealt to buckets of values, on which they meet by equality.
+
+    A range goes to every bucket that it touches.
+    """
+    spread = ranges.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(first) / bucket), F.floor(F.col(last) / bucket))))
+    met = rows.withColumn("_bucket", F.floor(F.col(value) / bucket)).join(spread, "_bucket")
+    return met.filter(F.col(value).between(F.col(first), F.col(last))).drop("_bucket")

@@ -64,17 +64,22 @@ def a16_document_sums(spark, sf_dir):
 
 
 @query("a19_behaviour", r"""
-WITH r AS (SELECT conv_id % 3 AS category, text, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM conversations WHERE role = 'assistant')
-SELECT category, CAST(count(*) AS BIGINT) AS cases, round(avg((n = 0)::INT), 9) AS empty_rate, round(avg((n > 100)::INT), 9) AS runaway_rate, round(avg(regexp_matches(text, '(?i)(?:^|\n)(?:system|user|assistant):')::INT), 9) AS leak_rate, round(avg(n), 6) AS mean_tokens
-FROM r GROUP BY category""")
+WITH r AS (SELECT conv_id % 3 AS category, regexp_replace(regexp_replace(text, '^[\s\x0B]+', ''), '[\s\x0B]+$', '') AS t, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM conversations WHERE role = 'assistant'),
+c AS (SELECT *, len(w) AS n, regexp_matches(t, '[.!?]$') AS ended, regexp_matches(t, '(?i)(?:^|\n)(?:system|user|assistant):') AS leak,
+    CASE WHEN len(w) < 3 THEN 0.0 ELSE 1 - len(list_distinct([w[i] || chr(31) || w[i + 1] || chr(31) || w[i + 2] FOR i IN range(1, len(w) - 1)])) / (len(w) - 2)::DOUBLE END AS rep FROM r)
+SELECT category, CAST(count(*) AS BIGINT) AS cases, round(avg((t <> '' AND ended AND NOT leak AND n <= 100)::INT), 9) AS pass_rate, round(avg(ended::INT), 9) AS eos_rate, round(avg((NOT ended)::INT), 9) AS runaway_rate, round(avg((t = '')::INT), 9) AS empty_rate,
+       round(avg(leak::INT), 9) AS leak_rate, round(avg(n), 6) AS mean_tokens, round(avg(rep), 6) AS repetition FROM c GROUP BY category""")
 def a19_behaviour(spark, sf_dir):
+    """Answers by category; a sign that ends a sentence stands for the end mark."""
     from siltstone.functions.scalars import has_role_leak
 
-    own = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select((F.col("conv_id") % 3).alias("category"), "text", X.word_count(F.col("text")).alias("n"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    own = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select((F.col("conv_id") % 3).alias("category"), X.strip(F.col("text")).alias("t"), words.alias("w"))
+    n, ended, leak = F.size("w"), F.rlike("t", F.lit("[.!?]$")), has_role_leak(F.col("t"))
     rate = lambda c: F.round(F.avg(c.cast("int")), 9)
     return own.groupBy("category").agg(
-        F.count("*").alias("cases"), rate(F.col("n") == 0).alias("empty_rate"), rate(F.col("n") > 100).alias("runaway_rate"), rate(has_role_leak(F.col("text"))).alias("leak_rate"),
-        F.round(F.avg("n"), 6).alias("mean_tokens"),
+        F.count("*").alias("cases"), rate((F.col("t") != "") & ended & ~leak & (n <= 100)).alias("pass_rate"), rate(ended).alias("eos_rate"), rate(~ended).alias("runaway_rate"), rate(F.col("t") == "").alias("empty_rate"),
+        rate(leak).alias("leak_rate"), F.round(F.avg(n), 6).alias("mean_tokens"), F.round(F.avg(X.trigram_repetition(F.col("w"))), 6).alias("repetition"),
     )
 
 
@@ -91,9 +96,15 @@ def a22_wrappers(spark, sf_dir):
     return out.select(F.col("label").cast("int").alias("label"), "event_type", F.round(F.col("v") - F.col("b"), 6).alias("delta"))
 
 
-@query("j10_paired", "SELECT CAST(count(*) AS BIGINT) AS pairs FROM documents d JOIN labels l USING (doc_id) WHERE quality = 1")
+@query("j10_paired", """
+WITH o AS (SELECT user_id, event_type, count(*) FILTER (event_id % 2 = 0) AS a, count(*) FILTER (event_id % 2 = 1) AS b, avg(value) FILTER (event_id % 2 = 0) AS parent, avg(value) FILTER (event_id % 2 = 1) AS tuned FROM events GROUP BY ALL)
+SELECT user_id, event_type, round(parent, 6) AS parent, round(tuned, 6) AS tuned, CASE WHEN tuned > parent THEN 'win' WHEN tuned < parent THEN 'loss' ELSE 'tie' END AS outcome FROM o WHERE a > 0 AND b > 0""")
 def j10_paired(spark, sf_dir):
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").filter("quality = 1"), "doc_id").agg(F.count("*").alias("pairs"))
+    """Cases that both arms, even and odd events, have: what each scores, and which is better."""
+    arm = lambda k: table(spark, sf_dir, "events").filter(F.col("event_id") % 2 == k).groupBy("user_id", "event_type").agg(F.avg("value").alias("v"))
+    met = arm(0).withColumnRenamed("v", "p").join(arm(1).withColumnRenamed("v", "t"), ["user_id", "event_type"])
+    outcome = F.when(F.col("t") > F.col("p"), "win").when(F.col("t") < F.col("p"), "loss").otherwise("tie")
+    return met.select("user_id", "event_type", F.round("p", 6).alias("parent"), F.round("t", 6).alias("tuned"), outcome.alias("outcome"))
 
 
 @query("w18_phases", f"""

@@ -306,12 +306,15 @@ def j03_curation(spark, sf_dir):
 
 
 @query("j07_block_range", f"""
-WITH {DOCS}, placed AS (SELECT doc_id, sum(n) OVER (ORDER BY doc_id) - n AS s, sum(n) OVER (ORDER BY doc_id) AS e, n FROM docs)
-SELECT doc_id, CAST(s // 50000 AS BIGINT) AS first_shard, CAST((e - 1) // 50000 AS BIGINT) AS last_shard FROM placed WHERE n > 0""")
+WITH {DOCS}, placed AS (SELECT doc_id, cluster, n, sum(n) OVER (ORDER BY doc_id) - n AS s, sum(n) OVER (ORDER BY doc_id) AS e FROM docs WHERE n > 0),
+shards AS (SELECT cluster AS shard, count(*) AS b FROM docs GROUP BY cluster), r AS (SELECT shard, sum(b) OVER (ORDER BY shard) - b AS first, sum(b) OVER (ORDER BY shard) - 1 AS last FROM shards)
+SELECT doc_id, shard, CAST(s // 400 - first AS BIGINT) AS "offset" FROM placed JOIN r ON s // 400 BETWEEN first AND last""")
 def j07_block_range(spark, sf_dir):
-    """The shards, of 50,000 tokens each, that hold a document's first and last token."""
-    placed = packing.positions(sizes(spark, sf_dir).select("doc_id", "n"), [], ["doc_id"], "n").filter("n > 0")
-    return placed.select("doc_id", F.floor(F.col("start") / 50_000).alias("first_shard"), F.floor((F.col("end") - 1) / 50_000).alias("last_shard"))
+    """The shard that holds a document's first block of 400 tokens, and the block's place in it; shards are ranges of unequal length, so this is a range join."""
+    placed = packing.positions(sizes(spark, sf_dir).select("doc_id", "n"), [], ["doc_id"], "n").filter("n > 0").select("doc_id", F.floor(F.col("start") / 400).alias("block"))
+    shards = running(docs(spark, sf_dir).groupBy(F.col("cluster").alias("shard")).agg(F.count("*").alias("b")), [], ["shard"], ["b"])
+    ranges = shards.select("shard", F.col("before_b").alias("first"), (F.col("before_b") + F.col("b") - 1).alias("last"))
+    return verify.in_ranges(placed, "block", ranges, "first", "last").select("doc_id", "shard", (F.col("block") - F.col("first")).alias("offset"))
 
 
 @query("s04_splits", """

@@ -104,10 +104,16 @@ def x21_entropy(spark, sf_dir):
     return tokens(spark, sf_dir).select("vec_id", F.round("entropy", 6).alias("entropy"), F.round("top5_mass", 6).alias("top5_mass"))
 
 
-@query("t06_representative", f"WITH {SCORED} SELECT vec_id, round(conf, 6) AS conf FROM tokens WHERE NOT correct ORDER BY conf DESC, vec_id LIMIT 5")
+@query("t06_representative", f"""
+WITH {SCORED}, wrong AS (SELECT 'confidently_wrong' AS kind, vec_id, round(conf, 6) AS p FROM tokens WHERE NOT correct ORDER BY conf DESC, vec_id LIMIT 5),
+low AS (SELECT 'lowest_true' AS kind, vec_id, round(exp(-loss), 9) AS p FROM tokens ORDER BY loss DESC, vec_id LIMIT 5)
+SELECT * FROM wrong UNION ALL SELECT * FROM low""")
 def t06_representative(spark, sf_dir):
-    """The five most confident among wrong predictions."""
-    return tokens(spark, sf_dir).filter(~F.col("correct")).orderBy(F.desc("top1_probability"), "vec_id").limit(5).select("vec_id", F.round("top1_probability", 6).alias("conf"))
+    """The five most confident among wrong predictions, and the five where the true token was least expected."""
+    own = tokens(spark, sf_dir)
+    wrong = own.filter(~F.col("correct")).orderBy(F.desc("top1_probability"), "vec_id").limit(5).select(F.lit("confidently_wrong").alias("kind"), "vec_id", F.round("top1_probability", 6).alias("p"))
+    low = own.orderBy(F.desc("loss"), "vec_id").limit(5).select(F.lit("lowest_true").alias("kind"), "vec_id", F.round("true_probability", 9).alias("p"))
+    return wrong.unionByName(low)
 
 
 @query("x36_interpolate", """

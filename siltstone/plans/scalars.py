@@ -288,11 +288,15 @@ def e19_reblock(spark, sf_dir):
     return seqs.groupBy(packing.block_of(F.col("s"), 16).alias("old_block"), packing.block_of(F.col("s"), 64).alias("new_block")).agg(F.count("*").alias("sequences"))
 
 
-@query("v01_token_range", "SELECT vec_id, (vec_id * 977) % 50300 AS token FROM embeddings WHERE (vec_id * 977) % 50300 >= 50257")
+@query("v01_token_range", r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM documents)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS beyond, CAST(max(length(w) * 2600) AS INTEGER) AS largest FROM w WHERE length(w) * 2600 >= 50257 GROUP BY doc_id""")
 def v01_token_range(spark, sf_dir):
-    """Tokens beyond the vocabulary."""
-    own = table(spark, sf_dir, "embeddings").select("vec_id", ((F.col("vec_id") * 977) % 50_300).alias("token"))
-    return own.filter("token >= 50257")
+    """Documents with tokens, for which lengths of words times 2,600 stand, beyond the vocabulary, and how many."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    beyond = F.filter(F.transform(words, lambda w: F.length(w) * 2600), lambda t: t >= 50_257)
+    own = table(spark, sf_dir, "documents").select("doc_id", beyond.alias("b")).filter(F.size("b") > 0)
+    return own.select("doc_id", F.size("b").cast("long").alias("beyond"), F.array_max("b").alias("largest"))
 
 
 @query("o02_run_name", "SELECT DISTINCT format('{}-{:05d}', event_type, user_id) AS run FROM events")

@@ -133,17 +133,22 @@ def x03_group_id(spark, sf_dir):
     return own.select("conv_id", X.sha(F.concat(F.lit('{"context":'), "list", F.lit("}"))).alias("group_id"))
 
 
-@query("x19_formats", """
-WITH r AS (SELECT item_id, item_id % 4 AS level, CASE item_id % 8 WHEN 0 THEN 'The answer is 7.' WHEN 1 THEN '7' WHEN 2 THEN 'Answer: 7' WHEN 3 THEN concat('Answer: 7', chr(10), 'Done: yes')
-    WHEN 4 THEN '' WHEN 5 THEN 'It is 7' WHEN 6 THEN concat('Answer: 7', chr(10)) ELSE 'Answer: 7' END AS t FROM benchmark)
-SELECT item_id, CAST(level AS BIGINT) AS level, contains(trim(t, chr(10) || ' '), '7') AND CASE level WHEN 0 THEN true WHEN 1 THEN trim(t, chr(10) || ' ') = '7' WHEN 2 THEN trim(t, chr(10) || ' ') = 'Answer: 7' ELSE trim(t, chr(10) || ' ') = concat('Answer: 7', chr(10), 'Done: yes') END AS passed FROM r""")
+@query("x19_formats", r"""
+WITH c AS (SELECT item_id, text, regexp_extract(text, '[^\x20\x09-\x0D]+') AS answer FROM benchmark), l AS (SELECT *, unnest([0, 1, 2, 3]) AS level FROM c),
+r AS (SELECT *, unnest([0, 1, 2, 3, 4]) AS form FROM l),
+t AS (SELECT *, CASE form WHEN 0 THEN text WHEN 1 THEN concat(' ', answer, chr(10)) WHEN 2 THEN concat('Answer: ', answer) WHEN 3 THEN concat('Answer: ', answer, chr(10), 'Done: yes') ELSE '' END AS t0 FROM r),
+b AS (SELECT *, regexp_replace(regexp_replace(t0, '^[\s\x0B]+', ''), '[\s\x0B]+$', '') AS t FROM t)
+SELECT item_id, level, form, t <> '' AND contains(lower(t), lower(answer)) AND CASE level WHEN 0 THEN true WHEN 1 THEN t = answer WHEN 2 THEN NOT contains(t, chr(10)) AND starts_with(t, 'Answer: ') AND t = concat('Answer: ', answer)
+    ELSE t = concat('Answer: ', answer, chr(10), 'Done: yes') END AS passed FROM b""")
 def x19_formats(spark, sf_dir):
-    """Responses against what their level asks for: any form, the answer alone, one line, two lines."""
-    texts = ["The answer is 7.", "7", "Answer: 7", "Answer: 7\nDone: yes", "", "It is 7", "Answer: 7\n", "Answer: 7"]
-    t = X.strip(F.element_at(F.array(*map(F.lit, texts)), (F.col("item_id") % 8 + 1).cast("int")))
-    level = F.col("item_id") % 4
-    good = F.when(level == 0, True).when(level == 1, t == "7").when(level == 2, t == "Answer: 7").otherwise(t == "Answer: 7\nDone: yes")
-    return table(spark, sf_dir, "benchmark").select("item_id", level.alias("level"), (F.contains(t, F.lit("7")) & good).alias("passed"))
+    """Every case's answer, its text's first word, in five forms, against what each level asks for."""
+    from siltstone.functions.scalars import format_checks
+
+    answer = F.regexp_extract("text", r"[^\x20\x09-\x0D]+", 0)
+    own = table(spark, sf_dir, "benchmark").select("item_id", "text", answer.alias("answer")).withColumn("level", F.explode(F.array(*map(F.lit, range(4)))))
+    forms = F.array(F.col("text"), F.concat(F.lit(" "), "answer", F.lit("\n")), F.concat(F.lit("Answer: "), "answer"), F.concat(F.lit("Answer: "), "answer", F.lit("\nDone: yes")), F.lit(""))
+    each = own.select("item_id", "answer", "level", F.posexplode(forms).alias("form", "said"))
+    return each.select("item_id", "level", "form", format_checks(F.col("said"), F.col("answer"), F.col("level"))["passed"].alias("passed"))
 
 
 @query("x27_flatten", "SELECT event_id, concat('props/', k) AS path, json_extract_string(props, k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
@@ -196,18 +201,18 @@ def a28_deltas(spark, sf_dir):
 
 
 @query("p22_judge", """
-SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'not_an_array' WHEN 2 THEN 'unknown_verdict' ELSE 'empty_reason' END AS outcome FROM benchmark""")
+WITH want AS (SELECT source, count(*) AS n, string_agg(doc_id, ',' ORDER BY doc_id) AS ids FROM documents WHERE n_chars > 600 GROUP BY source),
+got AS (SELECT source, count(*) AS n, string_agg(l.doc_id, ',' ORDER BY l.doc_id) AS ids, bool_and(toxic IN (0, 1)) AS known, bool_and(quality = 1) AS told FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY source)
+SELECT w.source, CASE WHEN g.source IS NULL THEN 'not_an_array' WHEN g.n <> w.n THEN 'wrong_length' WHEN g.ids <> w.ids THEN 'wrong_ids' WHEN NOT told THEN 'empty_reason' ELSE 'accepted' END AS outcome FROM want w LEFT JOIN got g ON g.source = w.source""")
 def p22_judge(spark, sf_dir):
-    """Verdicts as JSON arrays, made from item ids with one flaw each, and what is said of them."""
-    flaws = ['[{"id": "a", "verdict": "pass", "reason": "x"}]', '{"id": "a"}', '[{"id": "a", "verdict": "maybe", "reason": "x"}]', '[{"id": "a", "verdict": "fail", "reason": " "}]']
-    raw = F.element_at(F.array(*map(F.lit, flaws)), (F.col("item_id") % 4 + 1).cast("int"))
-    kind = F.schema_of_variant(F.try_parse_json(raw))
-    rows = F.from_json(raw, "array<struct<id:string,verdict:string,reason:string>>")
-    outcome = (
-        F.when(kind.isNull() | ~F.startswith(kind, F.lit("ARRAY")), "not_an_array").when(~F.forall(rows, lambda r: r["verdict"].isin("pass", "fail")), "unknown_verdict")
-        .when(~F.forall(rows, lambda r: F.trim(r["reason"]) != ""), "empty_reason").otherwise("accepted")
-    )
-    return table(spark, sf_dir, "benchmark").select("item_id", outcome.alias("outcome"))
+    """Verdicts of a source's labels as a JSON array, poor ones without a reason, held against its longer documents, which were asked for."""
+    own, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "label_id")
+    asked = own.filter("n_chars > 600").groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    met = own.join(labels, F.col("doc_id") == F.col("label_id"))
+    verdict = F.struct(F.col("doc_id").cast("string").alias("id"), F.when(F.col("toxic") == 1, "fail").otherwise("pass").alias("verdict"), F.when(F.col("quality") == 1, F.col("lang")).otherwise(" ").alias("reason"))
+    said = met.groupBy(F.col("source").alias("s")).agg(F.sort_array(F.collect_list(F.struct("doc_id", verdict.alias("v")))).alias("l")).select("s", F.to_json("l.v").alias("raw"))
+    whole = asked.join(said, F.col("source") == F.col("s"), "left")
+    return whole.select("source", validation.judge_reason(F.coalesce("raw", F.lit("{}")), F.transform("ids", lambda i: i.cast("string"))).alias("outcome"))
 
 
 @query("s09_interleave", """
@@ -337,14 +342,18 @@ def st_sessions(spark, sf_dir):
     return own.select("user_id", F.date_format("began", "yyyy-MM-dd HH:mm:ss").alias("began"), "events")
 
 
-@query("k03_shards", """
-WITH t AS (SELECT vec_id, string_agg(concat(lpad(lower(to_hex(v % 256)), 2, '0'), lpad(lower(to_hex(v // 256)), 2, '0')), '' ORDER BY i) AS h
-    FROM (SELECT vec_id, i, (vec_id * 977 + i) % 50257 AS v FROM embeddings, range(0, 17) r(i)) GROUP BY vec_id)
-SELECT CAST(vec_id // 64 AS BIGINT) AS shard, sha256(unhex(string_agg(h, '' ORDER BY vec_id))) AS checksum, CAST(count(*) * 34 AS BIGINT) AS byte_size, CAST(count(*) AS BIGINT) AS sequences,
-       CAST(min(vec_id) // 16 AS BIGINT) AS first_block, CAST(max(vec_id) // 16 AS BIGINT) AS last_block FROM t GROUP BY 1""")
+@query("k03_shards", rf"""
+WITH {DOCS}, t AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS d, [length(x) FOR x IN regexp_extract_all(text, '[^\x20\x09-\x0D]+')] || [50256] AS t FROM docs WHERE n > 0),
+w AS (SELECT d, t, unnest(range(0, CAST(ceil((len(t) - 1) / 64.0) AS BIGINT))) AS w FROM t),
+s AS (SELECT row_number() OVER (ORDER BY d, w) - 1 AS seq, t[w * 64 + 1 : w * 64 + 65] || [50256 FOR i IN range(0, 65 - len(t[w * 64 + 1 : w * 64 + 65]))] AS x FROM w),
+h AS (SELECT seq, list_aggregate([printf('%02x%02x', v % 256, v // 256) FOR v IN x], 'string_agg', '') AS h FROM s)
+SELECT CAST(seq // 64 AS BIGINT) AS shard, sha256(unhex(string_agg(h, '' ORDER BY seq))) AS checksum, CAST(count(*) * 130 AS BIGINT) AS byte_size, CAST(count(*) AS BIGINT) AS sequences,
+       CAST(min(seq) // 16 AS BIGINT) AS first_block, CAST(max(seq) // 16 AS BIGINT) AS last_block FROM h GROUP BY 1""")
 def k03_shards(spark, sf_dir):
-    """The manifest of shards of four blocks of sixteen sequences of seventeen tokens."""
+    """The manifest of the corpus in shards of four blocks of sixteen windows; tokens are the lengths of words."""
     from siltstone.sources import shards
 
-    token = F.transform(F.sequence(F.lit(0), F.lit(16)), lambda i: ((F.col("vec_id") * 977 + i) % 50_257).cast("int"))
-    return shards.manifest(shards.build(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), token.alias("tokens")), 16, 4))
+    tokens = F.transform(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0), F.length)
+    windows = packing.windows(docs(spark, sf_dir).filter("n > 0").select("doc_id", tokens.alias("t")), "t", 64, 50_256, 50_256)
+    numbered = running(windows.select("doc_id", "window", "window_tokens"), [], ["doc_id", "window"])
+    return shards.manifest(shards.build(numbered.select((F.col("number") - 1).alias("seq"), F.col("window_tokens").alias("tokens")), 16, 4))
