@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -48,10 +49,11 @@ def smallest(rows: DataFrame, by: str, order: list[str], k: int) -> DataFrame:
 
 
 def mixed_order(rows: DataFrame, source: str, order: list[str], size: str, shares: dict[str, int]) -> DataFrame:
-    """rows of the sources in shares, with ``sort_key``: what the source had taken before, over its share, a rational as DECIMAL."""
-    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col(source)]
+    """rows of the sources in shares, with ``sort_key``: what the source had taken before, over its share, as a whole number over a common denominator."""
+    whole = math.lcm(*shares.values())
+    weight = F.create_map(*[F.lit(x) for name, share in shares.items() for x in (name, whole // share)])[F.col(source)]
     placed = running(rows.filter(F.col(source).isin(*shares)), [source], order, [size])
-    return placed.withColumn("sort_key", (F.col(f"before_{size}").cast("decimal(20,0)") / share.cast("decimal(10,0)")).cast("decimal(30,6)")).drop("number", f"before_{size}")
+    return placed.withColumn("sort_key", F.col(f"before_{size}").cast("decimal(20,0)") * weight.cast("decimal(18,0)")).drop("number", f"before_{size}")
 
 
 def drop_oldest_pairs(turns: DataFrame, conversation: str, turn: str, size: str, most: int) -> DataFrame:

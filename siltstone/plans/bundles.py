@@ -646,3 +646,18 @@ def a04_domains(spark, sf_dir):
         F.count("*").alias("seen"), F.count_if(~F.col("good")).alias("rejected"), F.count_if(F.col("good") & ~F.col("first")).alias("duplicate"),
         F.count_if(F.col("first") & (F.col("n") <= 512)).alias("fit"), F.count_if(F.col("first") & (F.col("n") > 512)).alias("over_context"),
     )
+
+
+@query("d07_adapters", """
+WITH r AS (SELECT 'passages' AS source, 0 AS priority, item_id AS id, text FROM benchmark UNION ALL SELECT 'texts', 1, doc_id, text FROM documents UNION ALL SELECT 'answers', 2, conv_id * 1000 + turn, text FROM conversations WHERE role = 'assistant')
+SELECT source, id, row_number() OVER (ORDER BY priority, id) AS place, CAST(length(text) AS INTEGER) AS chars FROM r""")
+def d07_adapters(spark, sf_dir):
+    """Rows of three sources by their adapters, in the order of their priorities."""
+    from siltstone.sources.adapters import Adapters
+
+    own = Adapters()
+    own.add("answers", 2, lambda s, f: table(s, f, "conversations").filter("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"))
+    own.add("passages", 0, lambda s, f: table(s, f, "benchmark").select(F.col("item_id").alias("id"), "text"))
+    own.add("texts", 1, lambda s, f: table(s, f, "documents").select(F.col("doc_id").alias("id"), "text"))
+    rows = own.read(spark, sf_dir).select("source", "priority", "id", F.length("text").alias("chars"))
+    return running(rows, [], ["priority", "id"]).select("source", "id", F.col("number").alias("place"), "chars")

@@ -214,18 +214,23 @@ def o03_best_model(spark, sf_dir):
     return own.filter(F.col("before").isNull() | (F.col("value") > F.col("before"))).select("event_type", "event_id", F.round("value", 6).alias("metric"))
 
 
-@query("w17_schedule", """
-WITH c AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS step, count(*) OVER () AS n FROM events)
-SELECT event_id, round(CASE WHEN step <= n // 10 THEN 0.001 * step / (n // 10) WHEN step <= n - n // 5 THEN 0.001 ELSE 0.001 * (n - step) / (n // 5) END, 9) AS rate FROM c""")
+@query("w17_schedule", r"""
+WITH d AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM documents), c AS (SELECT doc_id, sum(n) OVER (ORDER BY doc_id) AS t, sum(n) OVER () AS z FROM d),
+g AS (SELECT doc_id, t::DOUBLE AS t, z // 50 AS w, z // 2 AS s, z - z // 50 - z // 2 AS d, z // 10 AS a, z // 20 AS se, z * 8 // 10 AS co, z - z * 8 // 10 AS cd FROM c)
+SELECT doc_id, round(CASE WHEN t < w THEN 0.001 * greatest(t, 1) / w WHEN t <= w + s THEN 0.001 WHEN t >= w + s + d THEN 0.0001 ELSE 0.0001 + 0.0009 * 0.5 * (1 + cos(pi() * (t - w - s) / d)) END, 9) AS plateau,
+    round(CASE WHEN t < w THEN 0.001 * greatest(t, 1) / w WHEN t <= a THEN 0.001 WHEN t <= a + se THEN 0.0008 + 0.0002 * 0.5 * (1 + cos(pi() * (t - a) / se)) WHEN t <= co THEN 0.0008 * pow((a + se) / t, 0.5)
+        ELSE 0.0008 * pow((a + se) / co::DOUBLE, 0.5) + (0.0001 - 0.0008 * pow((a + se) / co::DOUBLE, 0.5)) * least(1, (t - co) / cd) END, 9) AS power_law FROM g""")
 def w17_schedule(spark, sf_dir):
-    """Warm-up, stable and decay rates by step."""
+    """Rates of two schedules by committed tokens, after each document."""
     from siltstone.functions.ordered import running
-
-    own = running(table(spark, sf_dir, "events").select("event_id", "ts"), [], ["ts", "event_id"]).withColumnRenamed("number", "step")
-    total = own.agg(F.count("*").alias("n"))
-    warm, fall, step, n = F.floor(F.col("n") / 10), F.floor(F.col("n") / 5), F.col("step"), F.col("n")
-    rate = F.when(step <= warm, 0.001 * step / warm).when(step <= n - fall, 0.001).otherwise(0.001 * (n - step) / fall)
-    return own.crossJoin(F.broadcast(total)).select("event_id", F.round(rate, 9).alias("rate"))
+    from siltstone.operators import schedules
+
+    own = running(table(spark, sf_dir, "documents").select("doc_id", X.word_count(F.col("text")).alias("n")), [], ["doc_id"], ["n"]).withColumn("t", F.col("before_n") + F.col("n"))
+    met, z = own.crossJoin(F.broadcast(own.agg(F.sum("n").alias("z")))), F.col("z")
+    part = lambda k, m=1: F.floor(z * m / k)
+    plateau = schedules.plateau(F.col("t"), 0.001, part(50), part(2), z - part(50) - part(2), 0.1)
+    power = schedules.power_law(F.col("t"), 0.001, part(50), part(10), part(20), 0.8, 0.5, part(10, 8), z - part(10, 8), 0.1)
+    return met.select("doc_id", F.round(plateau, 9).alias("plateau"), F.round(power, 9).alias("power_law"))
 
 
 @query("j15_models_modes", """

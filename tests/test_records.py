@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import scalars as S, text as X
 from siltstone.functions.ordered import cut, running_max
-from siltstone.operators import batching, chat, decontaminate, metrics, mixture, selection, validation, verify
-from siltstone.sources import frames, jsonl, splits
+from siltstone.operators import batching, chat, decontaminate, metrics, mixture, schedules, selection, validation, verify
+from siltstone.sources import adapters, frames, jsonl, splits
 from siltstone.streaming import frontier
 
 TEXTS = ["", " a  b ", "Straße ΣΊΣΥΦΟΣ ﬁne ŉ İ", "tab\there\r\nline  \n\nend \n", 'quote " back \\ \x01 \x7f', "é 😀  x", "\x1c a\x1fb", "ÀÉÎ ẞ", "Ꭰ ꭰ µ ſ"]
@@ -247,3 +247,51 @@ def test_coverage_of_plans(spark):
     items = spark.createDataFrame([("a", 0, 6), ("a", 6, 10), ("b", 0, 3), ("b", 2, 4)], "path string, range_start long, range_end long")
     assert {r.path: r.exact for r in splits.coverage(items, files).collect()} == {"a": True, "b": False, "c": False}
     assert splits.coverage(splits.ranges(files, 3), files).filter("NOT exact").count() == 0
+
+
+def test_mixer_equals_a_loop(spark):
+    shares, target, seed = {"a": 0.5, "b": 0.3, "c": 0.2}, 400, 17
+    data = [("abc"[i % 3], i, 1 + (i * 37) % 23) for i in range(120)]
+    got = [(r.s, r.i) for r in sorted(mixture.mixed(spark.createDataFrame(data, "s string, i long, n long"), "s", "i", "n", shares, target, seed).collect(), key=lambda r: r.place)]
+    heads = {s: iter([x for x in data if x[0] == s]) for s in shares}
+    pending = {s: next(h) for s, h in heads.items()}
+    taken, left, draw, want = dict.fromkeys(shares, 0), target, random.Random(seed), []
+    while left > 0:
+        fits = {s: taken[s] / shares[s] for s, x in pending.items() if x and x[2] <= left}
+        if not fits:
+            break
+        ties = sorted(s for s, p in fits.items() if abs(p - min(fits.values())) <= 1e-12)
+        s = ties[draw.randrange(len(ties))]
+        want.append(pending[s][:2])
+        taken[s] += pending[s][2]
+        left -= pending[s][2]
+        pending[s] = next(heads[s], None)
+    assert got == want and left >= 0
+    with pytest.raises(ValueError):
+        mixture.mixed(spark.createDataFrame(data, "s string, i long, n long"), "s", "i", "n", {"a": 0.5}, target, seed)
+
+
+def test_mixed_order_is_exact_for_thirds(spark):
+    df = spark.createDataFrame([("a", 1, 1), ("a", 2, 1), ("a", 3, 1), ("a", 4, 1), ("b", 1, 1), ("b", 2, 1)], "s string, i long, n long")
+    got = selection.mixed_order(df, "s", ["i"], "n", {"a": 3, "b": 1}).orderBy("sort_key", "s").collect()
+    assert [(r.s, r.i) for r in got] == [("a", 1), ("b", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 2)]
+
+
+def test_schedules_meet_their_landmarks(spark):
+    at = lambda t, f: spark.range(1).select(f(F.lit(float(t)))).first()[0]
+    n = lambda x: F.lit(float(x))
+    plateau = lambda t: schedules.plateau(t, 1.0, n(10), n(40), n(50), 0.1)
+    assert [round(at(t, plateau), 6) for t in (5, 10, 50, 75, 100, 999)] == [0.5, 1.0, 1.0, 0.55, 0.1, 0.1]
+    power = lambda t: schedules.power_law(t, 1.0, n(10), n(20), n(5), 0.8, 0.5, n(100), n(10), 0.1)
+    assert [round(at(t, power), 6) for t in (5, 20, 25, 100, 105, 110)] == [0.5, 1.0, 0.8, 0.4, 0.25, 0.1]
+
+
+def test_adapters(spark):
+    own = adapters.Adapters()
+    own.add("b", 1, lambda s, _: s.createDataFrame([(1, "x", 0)], "id int, text string, more int"))
+    own.add("a", 0, lambda s, _: s.createDataFrame([(2, "y")], "id long, text string"))
+    assert [tuple(r) for r in own.read(spark, "").orderBy("priority").collect()] == [("a", 0, 2, "y"), ("b", 1, 1, "x")]
+    assert own.read(spark, "", ["b"]).count() == 1
+    for call in (lambda: own.add("a", 5, None), lambda: own.add("c", 0, None), lambda: own.read(spark, "", ["z"])):
+        with pytest.raises(ValueError):
+            call()
