@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from siltstone.functions.text import casefolded, sha, strip
 
@@ -114,12 +114,23 @@ def rule_checks(
     return checks | {"passed": passed}
 
 
-def nucleus(probabilities: Column, mass: float) -> Column:
-    """How many of the largest probabilities it takes to reach the mass."""
-    ordered = F.sort_array(probabilities, asc=False)
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
-    step = lambda a, p: F.when(a["sum"] >= mass, a).otherwise(F.struct((a["sum"] + p).alias("sum"), (a["n"] + 1).alias("n")))
-    return F.aggregate(ordered, start, step)["n"]
+def kept_tokens(probabilities: Column, most: int, mass: float) -> Column:
+    """Which tokens, by their places, a filter keeps: the most probable ones, of these as few as reach the mass, likeliest first, ties to the earlier."""
+    ranked = F.sort_array(F.transform(probabilities, lambda p, i: F.struct((-p).alias("p"), i.alias("i"))))
+    top = F.slice(ranked, 1, most)
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<int>").alias("kept"))
+    step = lambda a, x: F.when(a["sum"] >= mass, a).otherwise(F.struct((a["sum"] - x["p"]).alias("sum"), F.array_append(a["kept"], x["i"]).alias("kept")))
+    return F.aggregate(top, start, step)["kept"]
+
+
+def six_digits(number: Column) -> Column:
+    """A number with six digits that count, as %.6g has it."""
+    plain = F.format_string("%.5e", number.cast("double"))
+    exponent = F.regexp_extract(plain, r"e([+-]\d+)$", 1).cast("int")
+    bare = lambda t: F.when(F.contains(t, F.lit(".")), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
+    places = [F.when(exponent == e, bare(F.format_string(f"%.{5 - e}f", number.cast("double")))) for e in range(-4, 6)]
+    science = F.concat(bare(F.regexp_extract(plain, r"^([^e]+)e", 1)), F.regexp_extract(plain, r"(e[+-]\d+)$", 1))
+    return F.coalesce(*places, F.when(number == 0, "0"), science)
 
 
 def wrapped(kind: str, prompt: Column) -> Column:
@@ -141,3 +152,20 @@ def format_checks(text: Column, answer: Column, level: Column) -> dict[str, Colu
     form = F.when(level == 0, F.lit(True)).when(level == 1, bare == answer).when(level == 2, one).otherwise(F.coalesce(two, F.lit(False)))
     checks = {"content_correct": F.contains(casefolded(bare), casefolded(answer)), "non_empty": bare != "", "no_role_leak": ~has_role_leak(bare), "format_constraints": form}
     return checks | {"passed": checks["content_correct"] & checks["non_empty"] & checks["no_role_leak"] & form}
+
+
+def flattened(rows: DataFrame, keys: list[str], raw: str, depth: int = 4) -> DataFrame:
+    """(keys, path, value): every value of JSON objects that is no object itself, with the keys that lead to it joined by slashes.
+
+    Objects deeper than depth are given as they are.
+    """
+    level = rows.select(*keys, F.lit("").alias("path"), F.try_parse_json(raw).alias("v"))
+    found = None
+    for _ in range(depth):
+        inner = level.select(*keys, "path", F.inline(F.expr("transform(json_object_keys(to_json(v)), k -> struct(k AS key))")), "v")
+        inner = inner.select(*keys, F.concat("path", F.lit("/"), "key").alias("path"), F.try_variant_get("v", F.concat(F.lit("$['"), "key", F.lit("']")), "variant").alias("v"))
+        is_object = F.startswith(F.schema_of_variant("v"), F.lit("OBJECT"))
+        values = inner.filter(~F.coalesce(is_object, F.lit(False))).select(*keys, "path", F.try_variant_get("v", "$", "string").alias("value"))
+        found = values if found is None else found.unionByName(values)
+        level = inner.filter(is_object)
+    return found.unionByName(level.select(*keys, "path", F.to_json("v").alias("value"))).withColumn("path", F.substr("path", F.lit(2)))

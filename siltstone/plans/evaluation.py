@@ -195,13 +195,15 @@ def a29_telemetry(spark, sf_dir):
 
 
 @query("a33_ledger", """
-SELECT user_id, CAST(CAST(sum(CAST(value AS DECIMAL(18, 4)) * CAST(CASE event_type WHEN 'purchase' THEN 1.25 WHEN 'click' THEN 0.5 ELSE 0.1 END AS DECIMAL(6, 2))) AS DECIMAL(24, 6)) AS DOUBLE) AS cost
-FROM events GROUP BY user_id""")
+WITH c AS (SELECT user_id, CAST(sum(CAST(value AS DECIMAL(18, 4)) * CAST(CASE event_type WHEN 'purchase' THEN 1.25 WHEN 'click' THEN 0.5 ELSE 0.1 END AS DECIMAL(6, 2))) AS DECIMAL(24, 6)) AS cost FROM events GROUP BY user_id)
+SELECT user_id, CAST(cost AS DOUBLE) AS cost, CAST(CAST(cost * CAST(1.15 AS DECIMAL(4, 2)) AS DECIMAL(28, 8)) AS DOUBLE) AS planned, cost * CAST(1.15 AS DECIMAL(4, 2)) > 30000 AS over_cap, CAST(greatest(0, 30000 - CAST(cost * CAST(1.15 AS DECIMAL(4, 2)) AS DECIMAL(28, 8))) AS DOUBLE) AS left_over FROM c""")
 def a33_ledger(spark, sf_dir):
-    """Costs at a rate by kind, in exact decimals."""
+    """Costs at a rate by kind, in exact decimals, with a safety factor, against a cap."""
     rate = F.when(F.col("event_type") == "purchase", "1.25").when(F.col("event_type") == "click", "0.5").otherwise("0.1").cast("decimal(6,2)")
-    cost = F.sum(F.col("value").cast("decimal(18,4)") * rate).cast("decimal(24,6)").cast("double")
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(cost.alias("cost"))
+    own = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(F.col("value").cast("decimal(18,4)") * rate).cast("decimal(24,6)").alias("c"))
+    planned = (F.col("c") * F.lit("1.15").cast("decimal(4,2)")).cast("decimal(28,8)")
+    left = F.greatest(F.lit(0).cast("decimal(28,8)"), F.lit(30_000).cast("decimal(28,8)") - planned)
+    return own.select("user_id", F.col("c").cast("double").alias("cost"), planned.cast("double").alias("planned"), (planned > 30_000).alias("over_cap"), left.cast("double").alias("left_over"))
 
 
 @query("o03_best_model", """

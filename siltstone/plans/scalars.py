@@ -77,16 +77,19 @@ def x20_control_tokens(spark, sf_dir):
 
 
 @query("x22_nucleus", """
-WITH s AS (SELECT vec_id, [CAST(x AS DOUBLE) * 8 FOR x IN embedding[1:10]] AS z FROM embeddings),
-p AS (SELECT vec_id, list_reverse_sort([exp(x - list_max(z)) / list_sum([exp(y - list_max(z)) FOR y IN z]) FOR x IN z]) AS p FROM s)
-SELECT vec_id, CAST(1 + len([i FOR i IN range(1, 10) IF list_sum(p[1:i]) < 0.9]) AS INTEGER) AS kept FROM p""")
+WITH s AS (SELECT vec_id, [CAST(x AS DOUBLE) * 8 FOR x IN embedding] AS z FROM embeddings),
+p AS (SELECT vec_id, [exp(x - list_max(z)) / list_sum([exp(y - list_max(z)) FOR y IN z]) FOR x IN z] AS p FROM s),
+u AS (SELECT vec_id, unnest(p) AS p, unnest(range(0, len(p))) AS i FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, i) AS r FROM u),
+c AS (SELECT *, sum(p) OVER (PARTITION BY vec_id ORDER BY r) - p AS b FROM r WHERE r <= 20)
+SELECT vec_id, string_agg(i, ',' ORDER BY r) AS kept FROM c WHERE round(b, 9) < 0.9 GROUP BY vec_id""")
 def x22_nucleus(spark, sf_dir):
-    z = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 8)
+    """Of every vector's components, as logits of tokens, those that the twenty likeliest and a mass of 0.9 leave."""
+    z = F.transform("embedding", lambda x: x.cast("double") * 8)
     own = table(spark, sf_dir, "embeddings").select("vec_id", z.alias("z"))
-    exps = F.transform("z", lambda x: F.exp(x - F.array_max("z")))
-    own = own.select("vec_id", exps.alias("e"))
+    own = own.select("vec_id", F.transform("z", lambda x: F.exp(x - F.array_max("z"))).alias("e"))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    return own.select("vec_id", S.nucleus(F.transform("e", lambda x: x / total), 0.9).alias("kept"))
+    kept = S.kept_tokens(F.transform("e", lambda x: x / total), 20, 0.9)
+    return own.select("vec_id", F.array_join(kept.cast("array<string>"), ",").alias("kept"))
 
 
 @query("x24_quantity", r"""
@@ -110,10 +113,12 @@ def x25_slug(spark, sf_dir):
 
 
 @query("x26_markdown", r"""
-WITH f AS (SELECT doc_id, trim(regexp_replace(text, '[\s\x0B]+', ' ', 'g')) AS t FROM documents)
-SELECT doc_id, replace(CASE WHEN length(t) > 200 THEN concat(substr(t, 1, 199), '…') ELSE t END, '|', '\|') AS cell FROM f""")
+WITH f AS (SELECT doc_id, trim(regexp_replace(text, '[\s\x0B]+', ' ', 'g')) AS t, n_chars FROM documents)
+SELECT doc_id, replace(CASE WHEN length(t) > 200 THEN concat(substr(t, 1, 199), '…') ELSE t END, '|', '\|') AS cell, printf('%.6g', n_chars * 1234.5678 / 7) AS large, printf('%.6g', n_chars / 3e8::DOUBLE) AS small FROM f""")
 def x26_markdown(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", S.markdown_cell(F.col("text")).alias("cell"))
+    """Texts and numbers as cells of a table."""
+    n = F.col("n_chars").cast("double")
+    return table(spark, sf_dir, "documents").select("doc_id", S.markdown_cell(F.col("text")).alias("cell"), S.six_digits(n * 1234.5678 / 7).alias("large"), S.six_digits(n / 3e8).alias("small"))
 
 
 @query("x31_seed", """

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from siltstone.functions import text as X
 from siltstone.functions.ordered import running
+from siltstone.functions.scalars import control_tokens, flattened
 from siltstone.operators import chat, decontaminate, packing, selection, validation
 from siltstone.plans.corpus import CONTEXT, DOCS, FOLDED, PER_BLOCK, docs, sizes
 from siltstone.plans.registry import query, table
@@ -151,11 +152,15 @@ def x19_formats(spark, sf_dir):
     return each.select("item_id", "level", "form", format_checks(F.col("said"), F.col("answer"), F.col("level"))["passed"].alias("passed"))
 
 
-@query("x27_flatten", "SELECT event_id, concat('props/', k) AS path, json_extract_string(props, k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+@query("x27_flatten", """
+WITH d AS (SELECT event_id, event_type, user_id, json_extract_string(props, '$.k') AS k FROM events)
+SELECT event_id, 'event/kind' AS path, event_type AS value FROM d UNION ALL SELECT event_id, 'event/by/user' AS path, CAST(user_id AS VARCHAR) AS value FROM d UNION ALL SELECT event_id, 'props/k' AS path, k AS value FROM d
+UNION ALL SELECT event_id, 'id' AS path, CAST(event_id AS VARCHAR) AS value FROM d""")
 def x27_flatten(spark, sf_dir):
-    """Nested keys as paths, a row each."""
-    own = table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("k", "value"))
-    return own.select("event_id", F.concat(F.lit("props/"), "k").alias("path"), "value")
+    """Objects within objects as paths, a row for each value that is none."""
+    kind = F.struct(F.col("event_type").alias("kind"), F.struct(F.col("user_id").alias("user")).alias("by"))
+    raw = F.concat(F.lit('{"event":'), F.to_json(kind), F.lit(',"props":'), "props", F.lit(',"id":'), "event_id", F.lit("}"))
+    return flattened(table(spark, sf_dir, "events").select("event_id", raw.alias("raw")), ["event_id"], "raw")
 
 
 @query("x35_planned", f"WITH {DOCS} SELECT cluster, CAST(ceil(sum(n) / ({CONTEXT * PER_BLOCK})::DOUBLE) AS BIGINT) AS blocks, CAST(sum(n) * 4 // 100 AS BIGINT) AS budget FROM docs GROUP BY cluster")
@@ -165,17 +170,27 @@ def x35_planned(spark, sf_dir):
     return own.select("cluster", F.ceil(F.col("t") / (CONTEXT * PER_BLOCK)).alias("blocks"), F.floor(F.col("t") * 4 / 100).alias("budget"))
 
 
-@query("a21_protocol", """
-WITH r AS (SELECT conv_id, list(role ORDER BY turn) AS r FROM conversations GROUP BY conv_id)
-SELECT CAST(count(*) AS BIGINT) AS cases, round(avg((list_position(r, 'user') IS NOT NULL AND list_position(r, 'assistant') IS NOT NULL AND list_position(r, 'user') < list_position(r, 'assistant'))::INT), 9) AS ordered_rate,
-       round(avg((r[-1] = 'assistant')::INT), 9) AS ended_rate, round(avg(len(r)), 9) AS mean_turns FROM r""")
+@query("a21_protocol", rf"""
+WITH {MADE}, spaced AS (SELECT doc_id, domain, good, replace(replace(replace(o, '</think>', ' </think> '), '<think>', ' <think> '), '<answer>', ' <answer> ') AS s FROM parsed),
+t AS (SELECT *, regexp_extract_all(s, '\n|[^\x20\x09-\x0D]+') AS t FROM spaced),
+c AS (SELECT *, len([x FOR x IN t IF x = '<think>']) AS s1, len([x FOR x IN t IF x = '</think>']) AS e1, len([x FOR x IN t IF x = '<answer>']) AS a1, coalesce(list_position(t, '<think>'), 0) AS s0, coalesce(list_position(t, '</think>'), 0) AS e0, coalesce(list_position(t, '<answer>'), 0) AS a0 FROM t)
+SELECT domain, CAST(count(*) AS BIGINT) AS cases, round(avg((s1 > 0)::INT), 9) AS started, round(avg((e1 > 0)::INT), 9) AS ended, round(avg((a1 > 0)::INT), 9) AS answered, round(avg((s1 = 1 AND e1 = 1 AND a1 = 1)::INT), 9) AS once_each,
+       round(avg((s1 > 0 AND e1 > 0 AND a1 > 0 AND s0 < e0 AND e0 < a0)::INT), 9) AS ordered, round(avg((s0 = 1)::INT), 9) AS leads, round(avg(good::INT), 9) AS valid, round(avg(len(t)), 6) AS mean_tokens,
+       round(avg(CASE WHEN e0 > s0 AND s0 > 0 THEN e0 - s0 - 1 END), 6) AS mean_reasoning FROM c GROUP BY domain""")
 def a21_protocol(spark, sf_dir):
-    roles = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("m")).select(F.col("m.role").alias("r"))
-    user, assistant = F.array_position("r", "user"), F.array_position("r", "assistant")
+    """How well outputs keep to the marks of reasoning and answer."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    whole = F.concat(F.lit("<think>"), F.substr("text", F.lit(1), half), F.lit("</think><answer>"), F.substr("text", half + 1), F.lit("</answer>"))
+    made = F.when(F.col("doc_id") % 7 == 0, F.col("text")).when(F.col("doc_id") % 7 == 1, F.concat(F.lit("<think>"), "text")).otherwise(whole)
+    own = table(spark, sf_dir, "documents").select(F.col("lang").alias("domain"), chat.reasoning_tokens(made).alias("t"), X.parsed_output(made).isNotNull().alias("good"))
+    marks = control_tokens(F.col("t"), ["<think>", "</think>", "<answer>"])
+    n, at = [marks[f"n_{i}"] for i in range(3)], [marks[f"at_{i}"] for i in range(3)]
     rate = lambda c: F.round(F.avg(c.cast("int")), 9)
-    return roles.agg(
-        F.count("*").alias("cases"), rate((user > 0) & (assistant > 0) & (user < assistant)).alias("ordered_rate"),
-        rate(F.element_at("r", -1) == "assistant").alias("ended_rate"), F.round(F.avg(F.size("r")), 9).alias("mean_turns"),
+    inside = F.when((at[0] >= 0) & (at[1] > at[0]), at[1] - at[0] - 1)
+    return own.groupBy("domain").agg(
+        F.count("*").alias("cases"), rate(n[0] > 0).alias("started"), rate(n[1] > 0).alias("ended"), rate(n[2] > 0).alias("answered"), rate((n[0] == 1) & (n[1] == 1) & (n[2] == 1)).alias("once_each"),
+        rate((at[0] >= 0) & (at[0] < at[1]) & (at[1] < at[2])).alias("ordered"), rate(at[0] == 0).alias("leads"), rate(F.col("good")).alias("valid"), F.round(F.avg(F.size("t")), 6).alias("mean_tokens"),
+        F.round(F.avg(inside), 6).alias("mean_reasoning"),
     )
 
 
