@@ -661,3 +661,21 @@ def d07_adapters(spark, sf_dir):
     own.add("texts", 1, lambda s, f: table(s, f, "documents").select(F.col("doc_id").alias("id"), "text"))
     rows = own.read(spark, sf_dir).select("source", "priority", "id", F.length("text").alias("chars"))
     return running(rows, [], ["priority", "id"]).select("source", "id", F.col("number").alias("place"), "chars")
+
+
+@query("e02_queued")
+def e02_queued(spark, sf_dir):
+    """Documents through queues of 32 a cluster, one leaving for each that arrives once ten clusters and 4,000 tokens wait; a fold without SQL, tested against a plain loop."""
+    from siltstone.streaming import scheduler
+
+    own = sizes(spark, sf_dir).select("cluster", "doc_id", "n")
+    return scheduler.queued(own, "cluster", "doc_id", "n", {c: 1 + c % 3 for c in validation.ACCEPTED_CLUSTERS}, "17", scheduler.Limits(32, 10, 4000, 200))
+
+
+@query("p19_bounded")
+def p19_bounded(spark, sf_dir):
+    """The same with every cluster's share of the last 20,000 tokens kept within 0.05 of its own, or brought nearer; what it does is tested."""
+    from siltstone.streaming import scheduler
+
+    own = sizes(spark, sf_dir).select("cluster", "doc_id", "n")
+    return scheduler.queued(own, "cluster", "doc_id", "n", {c: 1 + c % 3 for c in validation.ACCEPTED_CLUSTERS}, "17", scheduler.Limits(512, 10, 4000, 200, "0.05", 20_000))

@@ -13,7 +13,7 @@ from siltstone.functions import scalars as S, text as X
 from siltstone.functions.ordered import cut, running_max
 from siltstone.operators import batching, chat, decontaminate, metrics, mixture, schedules, selection, validation, verify
 from siltstone.sources import adapters, frames, jsonl, splits
-from siltstone.streaming import frontier
+from siltstone.streaming import frontier, scheduler
 
 TEXTS = ["", " a  b ", "Straße ΣΊΣΥΦΟΣ ﬁne ŉ İ", "tab\there\r\nline  \n\nend \n", 'quote " back \\ \x01 \x7f', "é 😀  x", "\x1c a\x1fb", "ÀÉÎ ẞ", "Ꭰ ꭰ µ ſ"]
 
@@ -295,3 +295,72 @@ def test_adapters(spark):
     for call in (lambda: own.add("a", 5, None), lambda: own.add("c", 0, None), lambda: own.read(spark, "", ["z"])):
         with pytest.raises(ValueError):
             call()
+
+
+def plain_scheduler(data, units, seed, limits):
+    """One document after another, from the definition."""
+    queues, sent, since, out, whole = {g: [] for g in units}, dict.fromkeys(units, 0), 0, [], sum(units.values())
+
+    def send(groups):
+        total = sum(sent.values())
+        lack = {g: units[g] * total - sent[g] * whole for g in groups}
+        g = min((g for g in groups if lack[g] == max(lack.values())), key=lambda t: hashlib.sha256(f"{seed}\0{len(out)}\0{t}".encode()).digest())
+        i, n = queues[g].pop(0)
+        sent[g] += n
+        out.append((g, i))
+
+    for g, i, n in data:
+        if len(queues[g]) >= limits.queue:
+            send([g])
+            since = 0
+        queues[g].append((i, n))
+        since += 1
+        populated = [x for x in queues if queues[x]]
+        if (len(populated) >= limits.groups and sum(m for q in queues.values() for _, m in q) >= limits.size) or since >= limits.waiting:
+            send(populated)
+            since = 0
+    so_far = len(out)
+    while any(queues.values()):
+        send([x for x in queues if queues[x]])
+    return out, so_far
+
+
+def test_queued_scheduler_equals_its_definition(spark):
+    random.seed(6)
+    units, data = {1: 3, 2: 2, 3: 1}, [(random.choice([1, 1, 1, 2, 3]), i, random.randint(1, 9)) for i in range(400)]
+    for limits in (scheduler.Limits(queue=4, groups=2, size=20, waiting=7), scheduler.Limits(queue=100, groups=3, size=60, waiting=1000)):
+        got = scheduler.queued(spark.createDataFrame(data, "g long, i long, n long").repartition(5), "g", "i", "n", units, "s", limits).collect()
+        assert [(r.g, r.i) for r in sorted(got, key=lambda r: r.place)] == plain_scheduler(data, units, "s", limits)[0]
+
+
+def test_mixture_bound_is_kept_or_approached():
+    random.seed(7)
+    units = {1: 1, 2: 1, 3: 2}
+    desk = scheduler.Desk(units, "s", scheduler.Limits(queue=1000, groups=1, bound="0.2", window=100))
+    before = None
+    for i in range(2000):
+        for _ in desk.arrive(random.choice([1, 2, 3]), i, random.randint(1, 5)):
+            now = desk._error()
+            assert before is None or now <= desk_bound or now < before
+            before = now
+        desk_bound = 0.2
+    assert sum(desk.sent.values()) > 1000 and before <= 0.2
+
+
+def test_scheduler_state_survives_a_restart(spark, tmp_path):
+    random.seed(8)
+    units, limits = {1: 3, 2: 2, 3: 1}, scheduler.Limits(queue=6, groups=2, size=15, waiting=9)
+    data = [(random.choice([1, 2, 3]), i, random.randint(1, 9)) for i in range(300)]
+    rows = spark.createDataFrame(data, "g long, i long, n long")
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    for k in range(3):  # three runs of the query, each from where the last one ended
+        rows.filter(F.col("i").between(100 * k, 100 * k + 99)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        left = scheduler.scheduled_stream(stream, "g", "i", "n", units, "s", limits)
+        left.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    want, so_far = plain_scheduler(data, units, "s", limits)
+    got = [(r.g, r.i) for r in spark.read.parquet(out).orderBy("place").collect()]
+    assert got == want[:so_far] and 200 < so_far < 300
+    other = scheduler.Desk({1: 1}, "s", limits)
+    with pytest.raises(ValueError):
+        other.loads(scheduler.Desk(units, "s", limits).dumps())
