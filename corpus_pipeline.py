@@ -41,10 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, ids, round_trip): every row's text as token ids, and whether they decode to the text."""
-    own = bpe.codec(ranks_path())
-    encoded = pick(docs, "doc_id", "source", "text").withColumn("ids", bpe.encode_column(F.col("text"), own))
-    same = bpe.decode_column(F.col("ids"), own) == F.coalesce("text", F.lit("")).cast("binary")
-    return encoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    own = pick(docs, "doc_id", "source", "text").withColumn("e", bpe.round_trip_column(F.col("text"), bpe.codec(ranks_path())))
+    return own.select("doc_id", "source", F.size("e.ids").cast("long").alias("n_tokens"), "e.ids", "e.round_trip")
 
 
 STAGES = [
