@@ -31,9 +31,10 @@ import numpy as np
 import pandas as pd
 import regex
 import xxhash
+from pyspark import Broadcast, SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siltstone.llm.common import pick, shared
+from siltstone.llm.common import chunks, pick, shared
 
 #: The pattern of the public byte-level vocabularies: a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -122,7 +123,7 @@ class Codec:
     Ids are kept as little-endian 32-bit numbers in byte strings, which are joined rather than copied one by one.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, memory: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, memory: int = 200_000):
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
@@ -131,6 +132,7 @@ class Codec:
         self._start()
 
     def _start(self) -> None:
+        self.told: Broadcast | None = None
         ranks = {token: rank for rank, token in self.tokens.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
         # what two neighbours merge to, by the rank of the first and then of the second: every token cut in two tokens
@@ -240,14 +242,21 @@ def codec(path: str, pattern: str = PATTERN) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
+def _told(own: Codec) -> Broadcast:
+    """The codec, broadcast once for all queries of a session, so that a worker holds it once."""
+    if own.told is None or own.told._sc is not SparkContext._active_spark_context:
+        own.told = shared(own)
+    return own.told
+
+
 def encode_column(text: Column, own: Codec) -> Column:
     """Token ids of each whole text, array<int>."""
-    told = shared(own)
+    told = _told(own)
 
     @F.pandas_udf("array<int>")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         packed = told.value.packed
-        for texts in batches:
+        for texts in chunks(batches):
             yield pd.Series([np.frombuffer(packed(t), dtype="<i4") for t in texts], dtype=object)
 
     return encoded(text)
@@ -255,20 +264,35 @@ def encode_column(text: Column, own: Codec) -> Column:
 
 def decode_column(ids: Column, own: Codec) -> Column:
     """Bytes of each array of ids, binary."""
-    told = shared(own)
+    told = _told(own)
 
     @F.pandas_udf("binary")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         decode = told.value.decode
-        for rows in batches:
+        for rows in chunks(batches):
             yield pd.Series([decode(None if x is None else x.tolist()) for x in rows], dtype=object)
 
     return decoded(ids)
 
 
+def round_trip_column(text: Column, own: Codec) -> Column:
+    """(ids array<int>, round_trip boolean) of each whole text: its ids, and whether they decode to its bytes, in one pass."""
+    told = _told(own)
+
+    @F.pandas_udf("ids array<int>, round_trip boolean")
+    def turned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = told.value
+        for texts in chunks(batches):
+            ids = [np.frombuffer(codec.packed(t), dtype="<i4") for t in texts]
+            same = [codec.decode(x.tolist()) == (t or "").encode("utf-8", "surrogatepass") for x, t in zip(ids, texts)]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "round_trip": pd.Series(same, dtype=bool)})
+
+    return turned(text)
+
+
 def digests_column(text: Column, own: Codec) -> Column:
     """(n_tokens, ids_sha256, decoded_sha256) of each whole text: its ids, and what they decode to, in one pass."""
-    told = shared(own)
+    told = _told(own)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digested(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -1,17 +1,21 @@
 """Helpers that the operators share.
 
-No operator changes a setting of the session.  Spark bounds Arrow batches by rows and by bytes, so a batch of
+No operator leaves a setting of the session changed.  Spark bounds Arrow batches by rows and by bytes, so a batch of
 very long texts is a short one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+
+import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siltstone.functions.ordered import cut
 
-__all__ = ["ByPlace", "cut", "key_of", "pick", "shared"]
+__all__ = ["ByPlace", "chunks", "cut", "key_of", "pick", "shared", "small_batches"]
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -46,6 +50,25 @@ def key_of(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """While what is written at once, by cut(), runs: Arrow batches of so many rows.  Then the session has its own setting again."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def chunks(batches: Iterable[pd.Series], rows: int = 256) -> Iterator[pd.Series]:
+    """The same rows in short pieces, so that what is made of them, which may be larger than they are, goes out piece by piece."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
 def shared(value) -> Broadcast:
     """A value whose size does not grow with the data, broadcast to the workers."""
     return SparkSession.active().sparkContext.broadcast(value)

@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from siltstone.llm.common import pick, shared
+from siltstone.llm.common import chunks, pick, shared
 from siltstone.llm.html_pages import page
 
 #: Elements without content, without an end tag, and those whose content is not markup.  Fixed values.
@@ -343,7 +343,7 @@ def extract(
 
     @F.pandas_udf("string")
     def extracted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for markup in batches:
+        for markup in chunks(batches):
             yield pd.Series([text for group in page_groups(markup) for text in extract_pages(group, told.value)], dtype=object)
 
     out = pick(pages, id_col, url_col, html_col).select(id_col, url_col, extracted(F.col(html_col)).alias("text"))

@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siltstone.llm.common import ByPlace, pick
+from siltstone.llm.common import ByPlace, chunks, pick
 
 #: Kinds in the order that breaks ties; the first three are the strong ones.
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
@@ -208,8 +208,9 @@ def masked_column(text: Column) -> Column:
     """Each whole text with its spans masked; null stays null."""
 
     @F.pandas_udf("string")
-    def hidden(texts: pd.Series) -> pd.Series:
-        return pd.Series([masked(t) for t in texts], dtype=object)
+    def hidden(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in chunks(batches):
+            yield pd.Series([masked(t) for t in texts], dtype=object)
 
     return hidden(text)
 

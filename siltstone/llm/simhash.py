@@ -30,7 +30,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siltstone.llm.common import ByPlace, cut, key_of, pick
+from siltstone.llm.common import ByPlace, cut, key_of, pick, small_batches
 
 #: Fingerprints in a tile, about.
 TILE = 2048
@@ -198,7 +198,7 @@ def to_members(members: DataFrame, roots: DataFrame, node: str) -> DataFrame:
 
 def named(reps: DataFrame, rooted: DataFrame, node: str, least: Column) -> DataFrame:
     """(node, named): for every row of reps, known by node, the smallest of its component, or its own if rooted lacks it."""
-    placed = reps.select(node, least.alias("own")).join(rooted.withColumnRenamed("node", node), node, "left")
+    placed = cut(reps.select(node, least.alias("own")).join(rooted.withColumnRenamed("node", node), node, "left"))
     grouped = placed.filter("root IS NOT NULL")
     smallest = grouped.groupBy("root").agg(F.min("own").alias("named"))
     alone = placed.filter("root IS NULL").select(node, F.col("own").alias("named"))
@@ -210,7 +210,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among a node's neighbours, then that label's own label.
     """
-    both = cut(edges.union(edges.select("b", "a")).distinct())
+    with small_batches(edges.sparkSession, 64):
+        both = cut(edges.union(edges.select("b", "a")).distinct())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
     labels = cut(labels)
     while True:
@@ -231,8 +232,9 @@ def near_duplicates(
     fingerprint is 16 lowercase hex digits; component_id the smallest id that is reachable over
     links of at most radius differing bits.
     """
-    own = cut(pick(docs, id_col, text_col).select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), shingle_words).alias("fp")))
-    reps = own.groupBy("fp").agg(F.min("id").alias("rep"))
+    with small_batches(docs.sparkSession):
+        own = cut(pick(docs, id_col, text_col).select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), shingle_words).alias("fp")))
+    reps = cut(own.groupBy("fp").agg(F.min("id").alias("rep")))
     nodes = reps.select(_class_of(F.col("fp")).alias("k"), F.array("fp", F.lit(0).cast("long"), "fp").alias("record"))
     rooted = components(forest(nodes, neighbour_steps(radius), Rule(radius)))
     return own.join(named(reps, rooted, "fp", F.col("rep")), "fp").select(
@@ -361,9 +363,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pd.Series([np.sort(shingle_hashes(t, shingle_words).view(np.int64)) for t in texts], dtype=object)
 
     texts = pick(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("text_key"))
-    own = cut(texts.select("id", "text_key", taken(F.col("text")).alias("f")).select("id", "text_key", "f.*"))
+    with small_batches(docs.sparkSession):
+        own = cut(texts.select("id", "text_key", taken(F.col("text")).alias("f")).select("id", "text_key", "f.*"))
     place = F.struct(F.col("id").isNull().alias("last"), "id", "text_key")
-    reps = own.groupBy("whole").agg(F.min(place).alias("rep"), F.first("size").alias("size"), F.first("words").alias("words"))
+    reps = cut(own.groupBy("whole").agg(F.min(place).alias("rep"), F.first("size").alias("size"), F.first("words").alias("words")))
     band = F.floor(F.log(F.greatest("size", F.lit(1))) / F.log(F.lit(1 / LONG_RULE.least_ratio))).cast("int")
     nodes = reps.filter(F.col("size") >= LEAST_SIZE).select(band.alias("k"), F.concat(F.array("whole", "size"), "words").alias("record"))
     candidates = components(forest(nodes, [0, 1], LONG_RULE, tile=4 * TILE)).withColumnRenamed("node", "whole")
@@ -372,7 +375,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     met = texts.withColumn("key", key_of(F.col("id"))).join(asked, ["key", "text_key"])
     members = met.select("root", "node", F.concat(F.array("node"), "words", hashes(F.col("text"))).alias("record"))
-    rooted = components(settle(cut(members)))
+    with small_batches(docs.sparkSession):
+        members = cut(members)
+    rooted = components(settle(members))
     stays = F.col("id").eqNullSafe(F.col("named.id")) & (F.col("text_key") == F.col("named.text_key"))
     return own.join(named(reps, rooted, "whole", F.col("rep")), "whole").select(
         F.col("id").alias(id_col), "text_key", F.col("named.id").alias("component_id"), stays.alias("stays")

@@ -1,7 +1,10 @@
 import hashlib
+import math
+import os
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import pytest
@@ -9,7 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, licences, secrets, simhash, toxicity
+from siltstone.llm import bpe, licences, queries, secrets, simhash, toxicity
 from siltstone.llm.queries import ranks_path
 from tests.llm.helpers import EDGE, edge, empty, rows
 
@@ -445,6 +448,42 @@ def test_toxicity_scores_do_not_depend_on_what_is_remembered():
     assert plain == [toxicity.Scorer(model).scores([t])[0] for t in joined]
 
 
+def brute_toxicity(model, text):
+    """Every window by itself, with compressors of its own."""
+    words = (text or "").lower().split()
+
+    def margin(window, pair, strong):
+        toxic, ordinary = (len(toxicity._compressor(d, strong).compress(window)) for d in pair)
+        return ordinary - toxic
+
+    def wide(t):
+        units = t.encode("utf-16-le", "surrogatepass")
+        return b"".join(toxicity._CODES[units[i] + 256 * units[i + 1]].tobytes() for i in range(0, len(units), 2))
+
+    long = [words[i : i + 16] for i in range(0, max(1, len(words) - 4), 12)] if words else []
+    found = [
+        [margin(wide(f" {w} {w} "), model.short, True) for w in set(words)] if all(model.short) else [],
+        [margin(" ".join(w).encode(), model.long, False) for w in long] if all(model.long) else [],
+    ]
+    sums = [sum(sorted((m for m in ms if m > 0), reverse=True)[: toxicity.TOP]) for ms in found]
+    z = sum(w * x for w, x in zip(model.weights, (*sums, math.log(max(toxicity.LEAST_WORDS, len(set(words)))), 1.0)))
+    return 1 / (1 + math.exp(-max(-60.0, min(60.0, z)))) if any(model.weights) else 0.0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_toxicity_query_equals_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    assert all(model.short) and all(model.long) and any(model.weights)
+    got = {r.doc_id: r for r in queries.op1_toxicity(spark, "/root/testdata/sf0.001").collect()}
+    rows_ = docs.collect()
+    assert len(got) == len(rows_)
+    for r in rows_[::4]:
+        own = got[r.doc_id]
+        assert own.score == pytest.approx(brute_toxicity(model, r.text), abs=1e-12)
+        assert own.predicted == (own.score >= 0.3) and own.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 def test_labels_that_contradict_one_another_are_not_learnt_from(spark):
     d = spark.createDataFrame([(i, f"text number {i}") for i in range(8)], "doc_id long, text string")
     y = spark.createDataFrame([(i, t) for i in range(8) for t in (0, 1)], "doc_id long, toxic int")
