@@ -63,9 +63,10 @@ def little_endian(tokens: Column) -> Column:
 
 
 def from_little_endian(raw: Column) -> Column:
-    hexed = F.hex(raw)
+    """The numbers of pairs of bytes, low byte first; raw is a column that is there already, as it is read once for each number."""
     count = (F.octet_length(raw) / 2).cast("int")
-    each = lambda i: F.conv(F.concat(F.substr(hexed, i * 4 + 3, F.lit(2)), F.substr(hexed, i * 4 + 1, F.lit(2))), 16, 10).cast("int")
+    byte = lambda at: F.hex(F.substr(raw, at, F.lit(1)))
+    each = lambda i: F.conv(F.concat(byte(i * 2 + 2), byte(i * 2 + 1)), 16, 10).cast("int")
     return F.when(count == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), each))
 
 

@@ -31,15 +31,29 @@ def _foldings() -> tuple[str, str, list[tuple[str, str]]]:
     return "".join(single), "".join(single.values()), [(c, f) for c, f in changed.items() if len(f) > 1]
 
 
+@lru_cache(maxsize=1)
+def _rare() -> str:
+    """A pattern for characters near those that lower case does not fold, as a few ranges, since a class of many single ones is slow."""
+    singles, _, several = _foldings()
+    ranges: list[list[int]] = []
+    for n in sorted(map(ord, singles + "".join(c for c, _ in several if c != "ß"))):
+        if ranges and n - ranges[-1][1] <= 64:
+            ranges[-1][1] = n
+        else:
+            ranges.append([n, n])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
 def casefolded(text: Column) -> Column:
-    """Full Unicode case folding.  Sharp s is common, so it has a step of its own; texts with another character that becomes several are few."""
+    """Full Unicode case folding.  Sharp s is common, so it has a step of its own; the others are looked for first, as few texts hold one."""
     singles, folds, several = _foldings()
-    low = F.replace(F.translate(F.lower(text), singles, folds), F.lit("ß"), F.lit("ss"))
-    whole = low
+    low = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    whole = F.translate(low, singles, folds)
     for char, fold in several:
         if char != "ß":
             whole = F.replace(whole, F.lit(char), F.lit(fold))
-    return F.when(F.rlike(low, F.lit(f"[{''.join(c for c, _ in several)}]")), whole).otherwise(low)
+    plain = ~F.rlike(low, F.lit(r"[\xB5\x{149}-\x{10FFFF}]"))
+    return F.when(plain, low).when(~F.rlike(low, F.lit(_rare())), low).otherwise(whole)
 
 
 def collapsed(text: Column) -> Column:

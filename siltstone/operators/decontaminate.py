@@ -16,7 +16,7 @@ WORDS = 4
 
 
 def _hashes(words: Column, k: int) -> Column:
-    """Hashes of all runs of k words."""
+    """Hashes of all runs of k words; words is a column that is there already, as it is read once for each run."""
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, k), " ")))
     return F.when(F.size(words) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
 
@@ -41,7 +41,8 @@ def contaminated(docs: DataFrame, probes: DataFrame, key: str, body: str, probe:
     for k in sorted(r.kind for r in long.select("kind").distinct().collect()):
         mark = F.xxhash64(F.array_join(F.slice(words, 2, k), " ")) if k else F.xxhash64(F.substr("probe", F.lit(1), F.lit(least)))
         sought = long.filter(F.col("kind") == k).select("probe", mark.alias("mark"))
-        marks = _hashes(F.split("body", " "), k) if k else _windows(F.col("body"), least)
-        met = texts.select("id", F.explode(marks).alias("mark")).join(sought, "mark").select("id", "probe").distinct()
+        cut = texts.select("id", F.split("body", " ").alias("words")) if k else texts
+        marks = _hashes(F.col("words"), k) if k else _windows(F.col("body"), least)
+        met = cut.select("id", F.explode(marks).alias("mark")).join(sought, "mark").select("id", "probe").distinct()
         found.append(met.join(texts, "id").filter(F.contains("body", "probe")).select("id"))
     return reduce(DataFrame.union, found).distinct().withColumnRenamed("id", key)

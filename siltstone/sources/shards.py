@@ -36,9 +36,8 @@ def decode(shards: DataFrame, sequence_tokens: int, per_block: int) -> DataFrame
     step = sequence_tokens * 2
     parts = F.sequence(F.lit(0), (F.col("byte_size") / step).cast("int") - 1)
     own = shards.filter("byte_size > 0").select("first_block", "payload", F.explode(parts).alias("i"))
-    return own.select(
-        (F.col("first_block") * per_block + F.col("i")).alias("seq"), from_little_endian(F.substr("payload", F.col("i") * step + 1, F.lit(step))).alias("tokens")
-    )
+    own = own.select((F.col("first_block") * per_block + F.col("i")).alias("seq"), F.substr("payload", F.col("i") * step + 1, F.lit(step)).alias("part"))
+    return own.select("seq", from_little_endian(F.col("part")).alias("tokens"))
 
 
 def reblocked(shards: DataFrame, sequence_tokens: int, per_block: int, new_per_block: int, new_blocks: int) -> DataFrame:
