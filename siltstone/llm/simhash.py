@@ -187,13 +187,13 @@ def forest(nodes: DataFrame, steps: list[int], rule: Rule, tile: int = TILE) ->
     return met.select("left", "right", "width", itself.alias("itself")).mapInPandas(compare, "a long, b long")
 
 
-def to_members(members: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+def to_members(members: DataFrame, roots: DataFrame, node: str, how: str = "inner") -> DataFrame:
     """members (node, root, ...) with what roots, one row for each root of several members, knows of theirs.
 
     A component may hold a large part of all nodes, so its members are dealt to SALTS parts and its root goes to each.
     """
     spread = roots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return members.withColumn("salt", F.pmod(F.xxhash64(node), F.lit(SALTS)).cast("int")).join(spread, ["root", "salt"]).drop("salt")
+    return members.withColumn("salt", F.pmod(F.xxhash64(node), F.lit(SALTS)).cast("int")).join(spread, ["root", "salt"], how).drop("salt")
 
 
 def named(reps: DataFrame, rooted: DataFrame, node: str, least: Column) -> DataFrame:
@@ -319,8 +319,9 @@ def settle(members: DataFrame, tile: int = SET_TILE) -> DataFrame:
     members has root, a group of candidates, node, and record, as settled() takes it.  A group is
     dealt to tiles of about tile shingles, which are compared two by two.
     """
-    groups = members.groupBy("root").agg(F.ceil(F.sum(F.size("record")) / tile).cast("int").alias("parts"))
-    dealt = members.join(groups, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    large_groups = members.groupBy("root").agg(F.ceil(F.sum(F.size("record")) / tile).cast("int").alias("parts")).filter("parts > 1")
+    dealt = to_members(members, large_groups, "node", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     tiles = dealt.groupBy("root", "part").agg(F.first("parts").alias("parts"), F.collect_list("record").alias("tile"))
     large = cut(tiles.filter("parts > 1"))
     left = large.select("root", F.col("part").alias("p1"), F.col("tile").alias("left"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("p2"))
