@@ -21,11 +21,12 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
 from struct import pack
+from weakref import ref
 
 import numpy as np
 import pandas as pd
@@ -98,17 +99,17 @@ class _Memory(dict):
     """What is known of stretches that follow a blank; what is not is found on first use.
 
     Two generations of at most limit entries: when one is full, it becomes the older, and what is used of
-    that goes on.
+    that goes on.  The codec that finds is referred to weakly, so that a worker that is done with it frees both at once.
     """
 
-    def __init__(self, find, limit: int):
+    def __init__(self, codec: Codec, find: Callable[[Codec, str], bytes], limit: int):
         super().__init__()
-        self.find, self.limit, self.older = find, limit, {}
+        self.codec, self.find, self.limit, self.older = ref(codec), find, limit, {}
 
     def __missing__(self, stretch: str) -> bytes:
         found = self.older.get(stretch)
         if found is None:
-            found = self.find(stretch)
+            found = self.find(self.codec(), stretch)
         if len(stretch) <= 64:
             if len(self) >= self.limit:
                 self.older = dict(self)
@@ -123,7 +124,7 @@ class Codec:
     Ids are kept as little-endian 32-bit numbers in byte strings, which are joined rather than copied one by one.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, memory: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, memory: int = 300_000):
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
@@ -150,7 +151,7 @@ class Codec:
         self.bytes_of, self.decimal = blank.copy(), blank
         for rank, token in self.tokens.items():
             self.bytes_of[rank], self.decimal[rank] = token, str(rank)
-        self.after_blank, self.bare = _Memory(self._after_blank, self.memory), _Memory(self._match, self.memory // 4)
+        self.after_blank, self.bare = _Memory(self, Codec._after_blank, self.memory), _Memory(self, Codec._match, self.memory // 4)
         self.split = regex.compile(self.pattern).findall
         self.cut = re.compile(f" (?=[^{SPACE}])").split
         self.runs = re.compile(f" [{SPACE}]").search
