@@ -164,7 +164,7 @@ def json_list(answer: Column) -> Column:
 def snippet(text: Column, start: Column, end: Column, before: int = 120, after: int = 80) -> Column:
     """The span from start to end, widened to whole words, in brackets, with so many characters around it; dots where the text goes on."""
     word = r"[\p{L}\p{N}_'’]*"
-    a = start - F.length(F.regexp_extract(F.substr(text, F.lit(1), start), f"{word}$", 0))
+    a = start - F.length(F.regexp_extract(F.substr(text, F.lit(1), start), rf"{word}\z", 0))  # $ would match before a last line feed, too
     b = end + F.length(F.regexp_extract(F.substr(text, end + 1), f"^{word}", 0))
     first, last = F.greatest(F.lit(0), a - before), F.least(F.length(text), b + after)
     part = lambda i, j: F.substr(text, i + 1, j - i)

@@ -64,6 +64,12 @@ def test_snippet(spark):
     assert column(spark, ["a b c"], lambda t: X.snippet(t, F.lit(2), F.lit(3))) == ["a [b] c"]
 
 
+def test_snippet_of_a_word_after_a_line_end(spark):
+    for end in ("\n", "\r", "\r\n", "\u0085", "\u2028"):
+        at = len("one two" + end)
+        assert column(spark, ["one two" + end + "three four"], lambda t: X.snippet(t, F.lit(at), F.lit(at))) == ["one two [three] four"]
+
+
 def test_contaminated_equals_all_pairs(spark):
     random.seed(1)
     words = ["a", "bb", "ccc", "dddd", "longerword", "x" * 40]
