@@ -4,6 +4,8 @@ import hashlib
 import json
 import os
 import random
+from collections import deque
+from fractions import Fraction
 
 import pytest
 from pyspark.errors import PySparkException
@@ -353,6 +355,79 @@ def test_mixture_bound_is_kept_or_approached():
     assert sum(desk.sent.values()) > 1000 and before <= 0.2
 
 
+def plain_bounded(data, units, seed, limits):
+    """The same under a bound: before one leaves, the window that each head would make is summed anew."""
+    queues, left, since, whole, bound = {g: [] for g in units}, [], 0, sum(units.values()), Fraction(limits.bound)
+
+    def error(gone):
+        last = [g for g, n in gone for _ in range(n)][-limits.window :]
+        return max(abs(Fraction(last.count(g), len(last)) - Fraction(u, whole)) for g, u in units.items()) if last else Fraction(0)
+
+    def send(groups):
+        sent = {g: sum(n for h, _, n in left if h == g) for g in units}
+        lack = {g: units[g] * sum(sent.values()) - sent[g] * whole for g in groups}
+        g = min((g for g in groups if lack[g] == max(lack.values())), key=lambda t: hashlib.sha256(f"{seed}\0{len(left)}\0{t}".encode()).digest())
+        left.append((g, *queues[g].pop(0)))
+
+    for g, i, n in data:
+        if len(queues[g]) >= limits.queue:
+            send([g])
+            since = 0
+        queues[g].append((i, n))
+        since += 1
+        waiting = [x for x in queues if queues[x]]
+        if (len(waiting) >= limits.groups and sum(m for q in queues.values() for _, m in q) >= limits.size) or since >= limits.waiting:
+            gone = [(h, m) for h, _, m in left]
+            now = error(gone)
+            then = {x: error([*gone, (x, queues[x][0][1])]) for x in waiting}
+            welcome = [x for x in waiting if not left or (then[x] <= bound if now <= bound else then[x] < now)]
+            if welcome:
+                send(welcome)
+                since = 0
+    while any(queues.values()):
+        send([x for x in queues if queues[x]])
+    return [(g, i) for g, i, _ in left]
+
+
+@pytest.mark.parametrize("bound, window", [("0.05", 40), ("0.2", 25), ("0", 30), ("0.1", 1000)])
+def test_bounded_scheduler_equals_its_definition(bound, window):
+    rng, units = random.Random(window), {1: 3, 2: 2, 3: 1, 4: 1}
+    limits = scheduler.Limits(queue=6, groups=2, size=15, waiting=9, bound=bound, window=window)
+    data = [(rng.choice([1, 1, 2, 3, 4]), i, rng.choice([1, 2, 5, 9, 45])) for i in range(300)]
+    desk, out = scheduler.Desk(units, "s", limits), []
+    for k, row in enumerate(data):
+        out += desk.arrive(*row)
+        if k % 50 == 0:  # what is kept of the window is made again with a state
+            again = scheduler.Desk(units, "s", limits)
+            again.loads(desk.dumps())
+            desk = again
+    assert [(g, i) for g, i, _, _ in out + desk.finish()] == plain_bounded(data, units, "s", limits)
+
+
+def test_bounded_scheduler_does_not_read_its_window_for_each_arrival():
+    read = 0
+
+    class Counted(deque):
+        def __iter__(self):
+            nonlocal read
+            for x in super().__iter__():
+                read += 1
+                yield x
+
+        def __reversed__(self):
+            nonlocal read
+            for x in super().__reversed__():
+                read += 1
+                yield x
+
+    rng, units = random.Random(9), dict.fromkeys(range(8), 1)
+    desk = scheduler.Desk(units, "s", scheduler.Limits(queue=50, groups=4, bound="0.05", window=1000))
+    desk.recent = Counted()
+    for i in range(3000):
+        desk.arrive(rng.randrange(8), i, rng.randint(1, 3))
+    assert len(desk.recent) > 400 and read < 20 * 3000
+
+
 def test_scheduler_state_survives_a_restart(spark, tmp_path):
     random.seed(8)
     units, limits = {1: 3, 2: 2, 3: 1}, scheduler.Limits(queue=6, groups=2, size=15, waiting=9)
