@@ -173,7 +173,8 @@ def forest(nodes: DataFrame, steps: list[int], rule: Rule, tile: int = TILE) ->
     )
     left = tiles.select(F.col("k").alias("k1"), F.col("part").alias("p1"), F.col("tile").alias("left"), "width")
     right = tiles.select(F.col("k").alias("k2"), F.col("part").alias("p2"), F.col("tile").alias("right"))
-    met = pairs.join(left, ["k1", "p1"]).join(right, ["k2", "p2"])
+    # tiles hold every fingerprint, whatever size Spark takes them for, so they never go through the driver
+    met = pairs.join(left.hint("merge"), ["k1", "p1"]).join(right.hint("merge"), ["k2", "p2"])
     itself = (F.col("k1") == F.col("k2")) & (F.col("p1") == F.col("p2"))
 
     def compare(batches):
@@ -187,12 +188,14 @@ def forest(nodes: DataFrame, steps: list[int], rule: Rule, tile: int = TILE) ->
     return met.select("left", "right", "width", itself.alias("itself")).mapInPandas(compare, "a long, b long")
 
 
-def to_members(members: DataFrame, roots: DataFrame, node: str, how: str = "inner") -> DataFrame:
+def to_members(members: DataFrame, roots: DataFrame, node: str, how: str = "inner", few: bool = False) -> DataFrame:
     """members (node, root, ...) with what roots, one row for each root of several members, knows of theirs.
 
     A component may hold a large part of all nodes, so its members are dealt to SALTS parts and its root goes to each.
+    Spark's size check sees the roots as they are before that, SALTS times too small, so unless roots are few they are not broadcast.
     """
     spread = roots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = spread if few else spread.hint("merge")
     return members.withColumn("salt", F.pmod(F.xxhash64(node), F.lit(SALTS)).cast("int")).join(spread, ["root", "salt"], how).drop("salt")
 
 
@@ -211,7 +214,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among a node's neighbours, then that label's own label.
     """
     with small_batches(edges.sparkSession, 64):
-        both = cut(edges.union(edges.select("b", "a")).distinct())
+        ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = cut(edges.select(F.explode(ways).alias("e")).select("e.a", "e.b").distinct())  # edges made twice may turn out the other way round
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
     labels = cut(labels)
     while True:
@@ -320,7 +324,7 @@ def settle(members: DataFrame, tile: int = SET_TILE) -> DataFrame:
     dealt to tiles of about tile shingles, which are compared two by two.
     """
     large_groups = members.groupBy("root").agg(F.ceil(F.sum(F.size("record")) / tile).cast("int").alias("parts")).filter("parts > 1")
-    dealt = to_members(members, large_groups, "node", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = to_members(members, large_groups, "node", "left", few=True).withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     tiles = dealt.groupBy("root", "part").agg(F.first("parts").alias("parts"), F.collect_list("record").alias("tile"))
     large = cut(tiles.filter("parts > 1"))

@@ -504,3 +504,29 @@ def test_toxicity_edges(spark):
     assert toxicity.score(empty(spark), blank).count() == 0
     assert toxicity.drop_toxic(edge(spark), blank).count() == len(EDGE)
     assert secrets.mask(edge(spark)).columns == edge(spark).columns and secrets.mask(edge(spark)).count() == len(EDGE)
+
+
+def test_components_of_edges_that_turn_round_when_made_again(spark):
+    def turned(batches):
+        for b in batches:
+            yield b.assign(**({"a": b["b"], "b": b["a"]} if os.urandom(1)[0] % 2 else {}))
+
+    pairs = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(64)], "a long, b long").repartition(64).mapInPandas(turned, "a long, b long")
+    got = {r.node: r.root for r in simhash.components(pairs).collect()}
+    assert got == {i: i - i % 2 for i in range(128)}
+
+
+def plan_of(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_roots_in_many_copies_and_tiles_are_not_broadcast(spark):
+    roots = spark.range(50).select(F.col("id").alias("root"), F.col("id").alias("above"))
+    members = spark.range(500).select(F.col("id").alias("node"), (F.col("id") % 50).alias("root"))
+    met = simhash.to_members(members, roots, "node")
+    assert met.count() == 500 and "BroadcastHashJoin" not in plan_of(met)
+    nodes = spark.range(300).select(F.lit(1).alias("k"), F.array("id", F.lit(0).cast("long"), "id").alias("record"))
+    found = simhash.forest(nodes, [0], simhash.Rule(1), tile=50)
+    plan = plan_of(found)
+    assert plan.split("Initial Plan")[0].count("SortMergeJoin") == 2
